@@ -144,6 +144,9 @@ TIE_BREAK_WORD = 'error'
 # Label names (0 = flaky, 1 = regression).
 LABEL_NAMES = {0: 'Flaky/False Positive', 1: 'True Regression'}
 
+# Class names used by the classification report.
+REPORT_TARGET_NAMES = ['Flaky/False Positive', 'Non Flaky (Possible Regression)']
+
 # Augmentation choices: level prefixes and suffixes.
 AUGMENT_PREFIXES = ['[ERROR] ', '[WARN] ', '[INFO] ', '[DEBUG] ', 'ERROR: ', 'WARN: ']
 AUGMENT_SUFFIXES = [' (see logs for details)', ' [retryable]', ' !', '...']

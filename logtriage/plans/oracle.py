@@ -85,7 +85,7 @@ def preds_sql() -> str:
     h = "CAST(('0x' || substr(md5('score|' || CAST(d.doc_id AS VARCHAR)), 1, 8)) AS BIGINT)"
     si = f'({h} % 66 + l.quality * 35)'
     return ("SELECT d.doc_id, d.source, d.lang, d.n_chars, l.toxic, CAST(l.quality AS INTEGER) AS label, "
-            f"{si} / 100.0 AS score, CASE WHEN {si} >= 50 THEN 1 ELSE 0 END AS prediction, "
+            f"CAST({si} AS DOUBLE) / 100.0 AS score, CASE WHEN {si} >= 50 THEN 1 ELSE 0 END AS prediction, "
             "CASE WHEN l.toxic = 0 THEN 'train' ELSE 'test' END AS split "
             "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
@@ -99,17 +99,20 @@ def runs_sql() -> str:
     return f"""
     SELECT b.source AS model, CASE WHEN b.lang IN ('en', 'fr') THEN 'ML' ELSE 'Text' END AS family,
            b.lang AS dataset, CASE WHEN b.lang IN ('en', 'de') THEN 1 ELSE 2 END AS run_seq,
-           n_rows, accuracy, precision, recall, f1, train_seconds, ms_per_row, memory_mb,
+           n_rows, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(f1, 6) AS f1, round(train_seconds, 6) AS train_seconds, round(ms_per_row, 6) AS ms_per_row,
+           round(memory_mb, 6) AS memory_mb,
            CASE WHEN b.lang IN ('en', 'fr') THEN NULL ELSE 3 END AS epochs,
-           coalesce(overfit_gap, 0.0) AS overfit_gap, cv_f1_mean, cv_f1_std,
-           train_seconds * 1.5 AS train_cpu_seconds, pct_tokens_lost
+           round(coalesce(overfit_gap, 0.0), 6) AS overfit_gap, round(cv_f1_mean, 6) AS cv_f1_mean,
+           round(cv_f1_std, 6) AS cv_f1_std, round(train_seconds * 1.5, 6) AS train_cpu_seconds,
+           round(pct_tokens_lost, 6) AS pct_tokens_lost
     FROM (SELECT source, lang, count(*) AS n_rows,
                  {correct.replace('CASE', 'sum(CASE', 1)}) / count(*) AS accuracy,
                  CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END AS precision,
                  CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END AS recall,
                  {f1} AS f1,
-                 sum(n_chars) / 1000.0 AS train_seconds, avg(n_chars) / 100.0 AS ms_per_row,
-                 count(*) * 8.0 AS memory_mb,
+                 CAST(sum(n_chars) AS DOUBLE) / 1000.0 AS train_seconds, avg(n_chars) / 100.0 AS ms_per_row,
+                 count(*) * CAST(8.0 AS DOUBLE) AS memory_mb,
                  avg(CASE WHEN split = 'train' THEN {correct} END)
                    - avg(CASE WHEN split = 'test' THEN {correct} END) AS overfit_gap,
                  sum(greatest(n_chars / 4 - 512, 0.0)) * 100 / greatest(sum(n_chars / 4), 1.0) AS pct_tokens_lost

@@ -49,6 +49,18 @@ def _s(c):
     return c.cast('string')
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition CPU-heavy row-wise work when the scan gives too few tasks.
+
+    Large inputs already have many splits and are left alone (no extra shuffle); small
+    files (one split) would otherwise run every regex on one or two cores.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
+
+
 def event_slots() -> dict:
     e, u = F.col('event_id'), F.col('user_id')
     md = F.md5(_s(e))
@@ -84,8 +96,9 @@ def ci_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col('event_id') % 3 == 0, F.lit('fixed')).otherwise(F.lit('engaged'))))
     rendered = ev.withColumns({'_tmpl': tmpl, 'error_type': err, 'stack_trace': trace})
     rendered = render_templates(rendered, '_tmpl', event_slots(), out_col='log_text')
-    return rendered.select(F.col('event_id').alias('log_id'), 'user_id', 'event_type', 'log_text',
-                           'error_type', 'stack_trace')
+    out = rendered.select(F.col('event_id').alias('log_id'), 'user_id', 'event_type', 'log_text',
+                          'error_type', 'stack_trace')
+    return spread(out, 'log_id')
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +106,10 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, 'documents').select('doc_id', 'text')
     lines = docs.select('doc_id', F.posexplode(F.split(F.coalesce('text', F.lit('')), '\n'))
                         .alias('line_no', 'raw'))
-    return (lines.select('doc_id', F.col('line_no').cast('long').alias('line_no'),
-                         regex_trim('raw').alias('log_text'))
-            .filter(F.col('log_text') != ''))
+    out = (lines.select('doc_id', F.col('line_no').cast('long').alias('line_no'),
+                        regex_trim('raw').alias('log_text'))
+           .filter(F.col('log_text') != ''))
+    return spread(out, 'doc_id', 'line_no')
 
 
 def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +163,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = base.join(cv, ['source', 'lang'])
     family = F.when(F.col('lang').isin('en', 'fr'), 'ML').otherwise('Text')
     seq = F.when(F.col('lang').isin('en', 'de'), 1).otherwise(2)
+    r6 = lambda c: F.round(c, 6)
     return out.select(
         F.col('source').alias('model'), family.alias('family'), F.col('lang').alias('dataset'),
-        seq.alias('run_seq'), 'n_rows', 'accuracy', 'precision', 'recall', 'f1',
-        'train_seconds', 'ms_per_row', 'memory_mb',
+        seq.alias('run_seq'), 'n_rows',
+        *[r6(c).alias(c) for c in ('accuracy', 'precision', 'recall', 'f1', 'train_seconds', 'ms_per_row',
+                                   'memory_mb')],
         F.when(family == 'Text', 3).alias('epochs'),
-        F.coalesce('overfit_gap', F.lit(0.0)).alias('overfit_gap'),
-        'cv_f1_mean', 'cv_f1_std', (F.col('train_seconds') * 1.5).alias('train_cpu_seconds'),
-        'pct_tokens_lost')
+        r6(F.coalesce('overfit_gap', F.lit(0.0))).alias('overfit_gap'),
+        r6('cv_f1_mean').alias('cv_f1_mean'), r6('cv_f1_std').alias('cv_f1_std'),
+        r6(F.col('train_seconds') * 1.5).alias('train_cpu_seconds'), r6('pct_tokens_lost').alias('pct_tokens_lost'))
