@@ -84,6 +84,9 @@ def balance_oversample(df: DataFrame, label: str, keys, seed=DEFAULT_SEED,
     resampled rows, null for the kept class.
     """
     del target_ratio
+    # The input is used three times (counts, kept class, draws): materialise it once in
+    # the shared checkpoint folder so upstream work is not repeated and lineage is cut.
+    df = df.checkpoint(eager=True)
     counts = {r[0]: r[1] for r in _class_counts(df, label).collect()}  # <= 2 rows
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     max_size = max(n0, n1)

@@ -98,7 +98,7 @@ def ci_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = render_templates(rendered, '_tmpl', event_slots(), out_col='log_text')
     out = rendered.select(F.col('event_id').alias('log_id'), 'user_id', 'event_type', 'log_text',
                           'error_type', 'stack_trace')
-    return spread(out, 'log_id')
+    return out
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = (lines.select('doc_id', F.col('line_no').cast('long').alias('line_no'),
                         regex_trim('raw').alias('log_text'))
            .filter(F.col('log_text') != ''))
-    return spread(out, 'doc_id', 'line_no')
+    return out
 
 
 def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
