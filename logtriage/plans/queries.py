@@ -206,7 +206,7 @@ def q_undersample(spark, sf):
 , ranked AS (SELECT lab.*, row_number() OVER (ORDER BY {_HK}, source, log_id, line_no) - 1 AS pos
              FROM lab, par WHERE lab.label = par.mi)
 , draws AS (SELECT k AS copy_id, {O.hex8_sql(O.hash_sql(['k'], salt='draw'))} % nmin AS pos
-            FROM (SELECT unnest(range(mx)) AS k, nmin FROM par WHERE nmin > 0))
+            FROM (SELECT unnest(range(CAST(mx AS BIGINT))) AS k, nmin FROM par WHERE nmin > 0))
 SELECT source, log_id, line_no, label, CAST(NULL AS BIGINT) AS copy_id FROM lab, par WHERE lab.label <> par.mi
 UNION ALL
 SELECT r.source, r.log_id, r.line_no, r.label, d.copy_id FROM draws d JOIN ranked r ON d.pos = r.pos""")
@@ -281,7 +281,8 @@ def _augment_sql():
     t = 'log_text'
     t = f"CASE WHEN {u('prefix')} < {O.dbl(0.3)} THEN {pick(R.AUGMENT_PREFIXES, 'prefix-choice')} || {t} ELSE {t} END"
     t = f"CASE WHEN {u('suffix')} < {O.dbl(0.2)} THEN ({t}) || {pick(R.AUGMENT_SUFFIXES, 'suffix-choice')} ELSE {t} END"
-    t = f"CASE WHEN {u('upper')} < {O.dbl(0.1)} THEN upper({t}) ELSE {t} END"
+    # Java and Python upper-case 'ß' to 'SS'; DuckDB maps it to a capital sharp s.
+    t = f"CASE WHEN {u('upper')} < {O.dbl(0.1)} THEN upper(replace({t}, 'ß', 'ss')) ELSE {t} END"
     return O.with_views(f'SELECT doc_id, line_no, {t} AS log_text FROM doc_lines', 'doc_lines')
 
 
