@@ -25,7 +25,7 @@ from .common import WORD, keyed, on_key, written
 BUCKETS = 1 << 18
 TARGET_ROWS = 20_000
 #: Mean log ratio below which a document is dropped.
-THRESHOLD = -0.5
+THRESHOLD = -0.4
 SYMBOLS = r'[#*$%&|<>]'
 
 
@@ -100,7 +100,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     k = keyed(docs)
     ratios = written(ratio_table(k, target_ids(labels, target_rows), buckets), 'ratios')
     scores = ratio_scores(k, ratios, buckets)
-    out = on_key(base_columns(k), scores)
+    # written first: a later filter on the counts must not be pushed into their expressions
+    out = on_key(written(base_columns(k), 'counts'), scores)
     failed = (F.col('n_words') < 50) | (100 * F.col('n_repeat_words') > 50 * F.col('n_words'))
     llr = F.round(F.col('lr_sum') / F.col('n_grams') / 1_000_000, 6)
     out = out.withColumns({'base_failed': failed, 'llr': llr})
