@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import quality_rules, secrets
+from . import quality_rules, secrets, suffix_dedup
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, 'documents').select('doc_id', 'text')
+    return suffix_dedup.remove_repeats(docs).drop('text')
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +21,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
