@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import quality_rules, secrets, suffix_dedup
+from . import ngram_join, quality_rules, secrets, suffix_dedup
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop('text')
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read_table(spark, sf_dir, 'documents'), width=4, percent=85).drop('th')
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, 'documents'))
 
@@ -21,5 +25,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_join, op9_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
