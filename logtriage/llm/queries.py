@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ngram_join, quality_rules, secrets, suffix_dedup
+from . import bpe, ngram_join, quality_rules, secrets, suffix_dedup
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,16 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, 'documents'), width=4, percent=85).drop('th')
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = public_tokenizers.path('byte_bpe_multi_50k.tiktoken'), public_tokenizers.PATTERN
+    docs = read_table(spark, sf_dir, 'documents').select('doc_id', 'text')
+    ids = bpe.encode_texts(docs, *rules).drop('text')
+    both = bpe.decode_ids(ids, *rules)
+    return both.select('doc_id', F.size('ids').cast('long').alias('n_tokens'),
+                       F.sha2(F.array_join(F.col('ids').cast('array<string>'), ','), 256).alias('ids_sha256'),
+                       F.sha2('decoded', 256).alias('decoded_sha256'))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, 'documents'))
 
@@ -25,5 +37,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_join, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_join, op6_byte_bpe, op9_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
