@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, ngram_join, quality_rules, secrets, suffix_dedup
+from . import bpe, ngram_join, packing, quality_rules, secrets, suffix_dedup
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop('text')
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(read_table(spark, sf_dir, 'documents'), public_tokenizers.path('word_bpe_49k.json'))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, 'documents'), width=4, percent=85).drop('th')
 
@@ -37,5 +41,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_join, op6_byte_bpe, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op9_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
