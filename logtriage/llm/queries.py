@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, ngram_join, packing, quality_rules, secrets, suffix_dedup
+from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2('decoded', 256).alias('decoded_sha256'))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col('doc_id').cast('string'), F.lit('')).cast('binary')) % 7 == 2
+    out = class_lm.score_texts(read_table(spark, sf_dir, 'documents'), held)
+    return out.select('doc_id', 'held_out', 'n_tokens', 'n_known', 'train_tokens', 'base_score', 'score', 'perplexity')
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, 'documents'))
 
@@ -41,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op8_class_lm, op9_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
