@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup
+from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup, topk
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2('decoded', 256).alias('decoded_sha256'))
 
 
+def op7_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read_table(spark, sf_dir, 'embeddings'), F.col('vec_id') % 50 == 0)
+
+
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col('doc_id').cast('string'), F.lit('')).cast('binary')) % 7 == 2
     out = class_lm.score_texts(read_table(spark, sf_dir, 'documents'), held)
@@ -47,5 +51,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op8_class_lm, op9_secret_scan, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
+TOPK_SQL = '''
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+'''
+ORACLES: dict[str, str] = {'op7_topk_products': TOPK_SQL}
