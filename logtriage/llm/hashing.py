@@ -77,6 +77,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ASCII letters and non-ASCII bytes inside each text."""
+    solid = np.append(_LETTER[data], False)
+    head = solid.copy()
+    head[1:] &= ~solid[:-1]
+    tail = solid[:-1] & ~solid[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    head[inner] = solid[inner]
+    tail[inner - 1] = solid[inner - 1]
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
 def sixteen(data: np.ndarray) -> np.ndarray:
     """Hash of every 16-byte string of ``data``, by start."""
     eight = np.ndarray((max(len(data) - 7, 0),), U, np.ascontiguousarray(data), strides=(1,)) if len(data) >= 8 else np.zeros(0, U)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup, topk
+from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup, topk, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, 'documents'), width=4, percent=85).drop('th')
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, 'documents')
+    return toxicity.grade_texts(docs, toxicity.fit(docs, read_table(spark, sf_dir, 'labels'))).drop('th')
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = public_tokenizers.path('byte_bpe_multi_50k.tiktoken'), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, 'documents').select('doc_id', 'text')
@@ -51,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op5_toxicity, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
 TOPK_SQL = '''
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
