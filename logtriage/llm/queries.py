@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, class_lm, ngram_join, packing, quality_rules, secrets, suffix_dedup, topk, toxicity
+from . import bpe, class_lm, ngram_join, packing, quality_mil, quality_rules, secrets, suffix_dedup, topk, toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, 'documents'), width=4, percent=85).drop('th')
 
 
+def _id_crc(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col('doc_id').cast('string'), F.lit('')).cast('binary')) % n
+
+
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels')
+    model = quality_mil.fit(docs, labels.filter(_id_crc(3) != 1))
+    return quality_mil.score_texts(docs, model).select(
+        'doc_id', (_id_crc(3) == 1).alias('held_out'), 'score', F.when(F.col('score') >= 0.5, 1).otherwise(0).alias('predicted'),
+        'n_passages', 'top_attention')
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, 'documents')
     return toxicity.grade_texts(docs, toxicity.fit(docs, read_table(spark, sf_dir, 'labels'))).drop('th')
@@ -43,8 +55,7 @@ def op7_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.crc32(F.coalesce(F.col('doc_id').cast('string'), F.lit('')).cast('binary')) % 7 == 2
-    out = class_lm.score_texts(read_table(spark, sf_dir, 'documents'), held)
+    out = class_lm.score_texts(read_table(spark, sf_dir, 'documents'), _id_crc(7) == 2)
     return out.select('doc_id', 'held_out', 'n_tokens', 'n_known', 'train_tokens', 'base_score', 'score', 'perplexity')
 
 
@@ -56,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op5_toxicity, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op4_quality_mil, op5_toxicity, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
 TOPK_SQL = '''
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
