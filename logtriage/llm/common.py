@@ -36,6 +36,22 @@ def on_key(a: DataFrame, b: DataFrame, how='left') -> DataFrame:
     return a.join(r, a.doc_id.eqNullSafe(r._r_id) & (a.th == r._r_th), how).drop('_r_id', '_r_th')
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with its columns as c0, c1, ... plus the row key (_id, _th), so that no
+    column can clash with helper columns; and the new names of doc_id and text.  ``toDF``
+    with the old names undoes it."""
+    names = docs.columns
+    i, t = f'c{names.index("doc_id")}', f'c{names.index("text")}'
+    df = docs.toDF(*[f'c{k}' for k in range(len(names))])
+    return df.withColumns({'_id': F.col(i).cast('long'), '_th': F.xxhash64(text_of(t))}), i, t
+
+
+def by_key(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join ``renamed`` rows with (doc_id, th) keys, null ids being equal."""
+    k = keys.withColumnsRenamed({'doc_id': '_k_id', 'th': '_k_th'})
+    return rows.join(k, rows._id.eqNullSafe(k._k_id) & (rows._th == k._k_th), how)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: one evaluation for
     several readers, and a lost executor later rereads files instead of recomputing."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, on_key, text_of, text_slices, written
+from .common import by_key, keyed, on_key, renamed, text_slices, written
 from .components import components
 from .hashing import mix, range_hashes, prefix_sums, words
 
@@ -310,12 +310,16 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows repeated with one id and text are copies too: one stays.  Rows without shingles
     stay.  Of rows with one id but other texts in one class, the least text hash stays.
     """
-    cls = jaccard_classes(docs, width, percent)
-    best = cls.filter('n_shingles > 0').groupBy('component_id').agg(
-        F.min(F.struct(F.col('doc_id').isNull().alias('x'), 'doc_id', 'th')).alias('k')).select('k.doc_id', 'k.th')
-    drop = docs.columns
-    t = docs.withColumns({'_id': F.col('doc_id').cast('long'), '_th': F.xxhash64(text_of())})
-    empty = t.filter(~text_of().rlike(r'[^\x20\x09-\x0D]')).select(*drop)
-    b = best.withColumnsRenamed({'doc_id': '_b_id', 'th': '_b_th'})
-    kept = t.join(b, t._id.eqNullSafe(b._b_id) & (t._th == b._b_th), 'left_semi').dropDuplicates(['_id', '_th']).select(*drop)
-    return kept.unionByName(empty)
+    cls = written(jaccard_classes(docs, width, percent), 'classes')
+    named = cls.filter('n_shingles > 0')
+    best = named.groupBy('component_id').agg(F.min(F.struct(F.col('doc_id').isNull().alias('x'), 'doc_id', 'th')).alias('k'),
+                                             F.count(F.lit(1)).alias('n')).filter('n > 1').select('component_id', 'k')
+    first = F.col('doc_id').eqNullSafe(F.col('k.doc_id')) & (F.col('th') == F.col('k.th'))
+    several = named.join(best, named.component_id.eqNullSafe(best.component_id)).select('doc_id', 'th', first.alias('first'))
+    gone = several.groupBy('doc_id', 'th').agg(F.max('first').alias('first'), F.count(F.lit(1)).alias('n'))
+    # left out: the other members of a class, and keys of repeated rows, of which one returns
+    gone = written(gone.filter('not first or n > 1'), 'copies')
+    rows, _, _ = renamed(docs)
+    out = by_key(rows, gone.select('doc_id', 'th'), 'left_anti')
+    one = by_key(rows, gone.filter('first').select('doc_id', 'th'), 'left_semi').dropDuplicates(['_id', '_th'])
+    return out.unionByName(one).drop('_id', '_th').toDF(*docs.columns)

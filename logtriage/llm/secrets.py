@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, on_key, text_of, written
+from .common import by_key, keyed, on_key, renamed, written
 
 #: kind -> (Java pattern, group whose length counts, least length).  Keyword letters match
 #: in either case, ASCII only.  {n,} equals "maximal run, then drop the short" for the
@@ -120,10 +120,9 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = '[SECRET]') -> DataFra
     spans = (all_spans(docs, reach).filter(F.size('spans') > 0).dropDuplicates(['doc_id', 'th'])
              .select('doc_id', 'th', F.filter('spans', lambda x: x['k'] != KINDS.index('endpoint')).alias('_spans')))
     names = docs.columns
-    key = docs.withColumns({'_id': F.col('doc_id').cast('long'), '_th': F.xxhash64(text_of())})
-    s = spans.withColumnsRenamed({'doc_id': '_s_id', 'th': '_s_th'})
-    j = key.join(s, key._id.eqNullSafe(s._s_id) & (key._th == s._s_th), 'left')
-    t = F.col('text')
+    rows, _, text = renamed(docs)
+    j = by_key(rows, spans, 'left')
+    t = F.col(text)
     zero = F.struct(F.lit(0).alias('at'), F.lit('').alias('out'))
 
     def step(acc, x):
@@ -133,7 +132,9 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = '[SECRET]') -> DataFra
         return F.when(x['s'] >= acc['at'], fresh).otherwise(more)
 
     done = F.aggregate('_spans', zero, step, lambda acc: F.concat(acc['out'], F.substring(t, acc['at'] + 1, F.length(t))))
-    out = j.withColumn('text', F.when(F.size('_spans') > 0, done).otherwise(t))
+    hit = F.size('_spans') > 0
+    out = j.withColumn(text, F.when(hit, done).otherwise(t))
     if 'n_chars' in names:
-        out = out.withColumn('n_chars', F.when(F.size('_spans') > 0, F.length('text').cast(docs.schema['n_chars'].dataType)).otherwise(F.col('n_chars')))
-    return out.select(*names)
+        n = f'c{names.index("n_chars")}'
+        out = out.withColumn(n, F.when(hit, F.length(text).cast(rows.schema[n].dataType)).otherwise(F.col(n)))
+    return out.select(*[f'c{i}' for i in range(len(names))]).toDF(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, text_of, text_slices, written
+from .common import by_key, keyed, renamed, text_slices, written
 from .hashing import U, letter_runs, mix, prefix_sums, range_hashes
 
 FIT_ROWS, FEATURES, GRADES = 8000, 2000, 3
@@ -157,7 +157,5 @@ def grade_texts(docs: DataFrame, model: dict, reject: float = REJECT) -> DataFra
 def drop_toxic(docs: DataFrame, model: dict, reject: float = REJECT) -> DataFrame:
     """The rows that are not rejected, with their columns."""
     bad = written(grade_texts(docs, model, reject).filter('toxic').select('doc_id', 'th').distinct(), 'toxic')
-    names = docs.columns
-    k = docs.withColumns({'_id': F.col('doc_id').cast('long'), '_th': F.xxhash64(text_of())})
-    b = bad.withColumnsRenamed({'doc_id': '_b_id', 'th': '_b_th'})
-    return k.join(b, k._id.eqNullSafe(b._b_id) & (k._th == b._b_th), 'left_anti').select(*names)
+    rows, _, _ = renamed(docs)
+    return by_key(rows, bad, 'left_anti').drop('_id', '_th').toDF(*docs.columns)
