@@ -177,7 +177,8 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             big[c] -= r
             big[:, c] -= l
             big[c, c] -= d
-            row, col = big.sum(1), big.sum(0)
+            # its neighbours stay first or second of a bigram, whatever its class
+            row, col = big.sum(1) + l, big.sum(0) + r
             # gain of putting w into class x: row x, column x and the cell (x, x)
             fb = f(big)
             diag = np.diag(big)

@@ -50,15 +50,14 @@ def passages(data: np.ndarray, off: np.ndarray, size: int = PASSAGE):
     length = (e - s).astype(float)
     per = np.bincount(at, minlength=rows).astype(float)
     x = np.zeros((rows, MEASURES + HASHED), np.float32)
-    # a passage's bytes reach from its first word to the next passage's first word
+    # a text's bytes belong to its passages, from a passage's first word to the next one's
     head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-    if len(at):
-        border = np.zeros(len(data) + 1, np.int64)
-        border[s[head]] = np.diff(np.append(-1, at[head]))
-        owner = np.cumsum(border[:-1]) - 1
-        ok = owner >= 0
-        kinds = np.bincount(owner[ok] * KINDS + _KIND[data[ok]], minlength=rows * KINDS).reshape(rows, KINDS)
-        x[:, :KINDS] = kinds / np.maximum(kinds.sum(1, keepdims=True), 1)
+    head = head[at[head] > first[doc[head]]]
+    begin, whose = np.concatenate([off[:-1], s[head]]), np.concatenate([first[:-1], at[head]])
+    order = np.lexsort((whose, begin))
+    owner = np.repeat(whose[order], np.diff(np.append(begin[order], len(data))))
+    kinds = np.bincount(owner * KINDS + _KIND[data], minlength=rows * KINDS).reshape(rows, KINDS)
+    x[:, :KINDS] = kinds / np.maximum(kinds.sum(1, keepdims=True), 1)
     full = np.maximum(per, 1)
     mean = np.bincount(at, length, minlength=rows) / full
     x[:, KINDS] = mean / 10
@@ -71,11 +70,11 @@ def passages(data: np.ndarray, off: np.ndarray, size: int = PASSAGE):
         fresh = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])) if len(k) else np.zeros(0, bool)
         return np.bincount(p[fresh], minlength=rows)
 
-    x[:, KINDS + 3] = 1 - distinct(h, at) / full
+    x[:, KINDS + 3] = (per - distinct(h, at)) / full
     if len(h) > 1:
         same = at[1:] == at[:-1]
         pair = mix(h[:-1] * U(3) + h[1:])[same]
-        x[:, KINDS + 4] = 1 - distinct(pair, at[:-1][same]) / np.maximum(per - 1, 1)
+        x[:, KINDS + 4] = (np.maximum(per - 1, 0) - distinct(pair, at[:-1][same])) / np.maximum(per - 1, 1)
         x[:, KINDS + 5] = np.bincount(at[1:], same & (h[1:] == h[:-1]), minlength=rows) / full
     cells = np.bincount(at * HASHED + (h >> U(40)).astype(np.int64) % HASHED, minlength=rows * HASHED).reshape(rows, HASHED)
     x[:, MEASURES:] = cells / np.sqrt(full)[:, None]

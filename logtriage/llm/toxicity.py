@@ -32,6 +32,8 @@ from .common import by_key, keyed, renamed, text_slices, written
 from .hashing import U, letter_runs, mix, prefix_sums, range_hashes
 
 FIT_ROWS, FEATURES, GRADES = 8000, 2000, 3
+#: Log odds (in standard deviations) a feature needs.
+LEAST_Z = 2.5
 #: Beginnings of words that are features, in bytes: languages inflect the ends.
 PREFIXES = (5, 6, 7, 8)
 #: Documents with a higher probability of any toxic grade are rejected.
@@ -82,7 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     a, b = F.count(F.when(F.col('toxic') == 1, 1)), F.count(F.when(F.col('toxic') == 0, 1))
     odds = F.log((F.col('a') + 0.5) / (n1 - F.col('a') + 0.5)) - F.log((F.col('b') + 0.5) / (n0 - F.col('b') + 0.5))
     best = words.groupBy('word').agg(a.alias('a'), b.alias('b')).withColumn('z', odds / F.sqrt(1 / (F.col('a') + 0.5) + 1 / (F.col('b') + 0.5)))
-    best = best.orderBy(F.abs('z').desc(), 'word').limit(features).select('word', 'z').collect()
+    best = best.filter(F.abs('z') >= LEAST_Z).orderBy(F.abs('z').desc(), 'word').limit(features).select('word', 'z').collect()
+    if not best:
+        return none
     chosen = {r.word: r.z for r in best}
     strong = max(3.0, 0.5 * max(chosen.values()))
     x = (words.join(F.broadcast(words.sparkSession.createDataFrame([(w,) for w in chosen], 'word long')), 'word')
