@@ -1,7 +1,7 @@
 """Row-wise text operators as pure Column expressions.
 
-They run inside whole-stage codegen (no Python UDF), so they work unchanged on batch
-DataFrames and on ``readStream`` DataFrames.
+No Python UDF, so they work unchanged on batch DataFrames and on ``readStream`` DataFrames.
+The label expression exceeds the size that Spark compiles; it is then interpreted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def java_quoted(word: str) -> str:
+    """A Java pattern for the word itself."""
+    return '\\Q' + word.replace('\\E', '\\E\\\\E\\Q') + '\\E'
+
+
 def _any(cols):
     cols = list(cols)
     return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
@@ -58,10 +63,10 @@ def clean_text(c, rules: Rules = DEFAULT_RULES) -> Column:
 def is_relevant(c, rules: Rules = DEFAULT_RULES) -> Column:
     """Length in [min_len, max_len] (code points) and any keyword as a substring."""
     t = _text(c)
-    low = F.lower(t)
     n = F.length(t)
-    return ((n > 0) & (n >= rules.min_len) & (n <= rules.max_len)
-            & _any(low.contains(k) for k in rules.keywords))
+    keywords = '|'.join(java_quoted(k) for k in rules.keywords)
+    found = F.lower(t).rlike(keywords) if rules.keywords else F.lit(False)
+    return (n > 0) & (n >= rules.min_len) & (n <= rules.max_len) & found
 
 
 # ---------------------------------------------------------------- B3 manual_features

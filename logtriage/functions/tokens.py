@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,34 +15,46 @@ from pyspark.sql import functions as F
 # Unicode word boundaries.
 TOKEN_PATTERN = r'(?U)\b[a-zA-Z][a-zA-Z0-9_]*\b'
 
-# Code-point ranges scanned to build the accent-stripping table.
-_ACCENT_RANGES = [(0x00A0, 0x024F), (0x1E00, 0x1EFF)]
 
-
-def _build_accent_table():
-    """NFKD-and-drop-combining-marks as a 1:1 translate table, built by rule.
-
-    Characters whose decomposition keeps more than one base character (e.g. ligatures)
-    cannot be expressed as ``translate`` and are left unchanged; combining marks
-    themselves are deleted.
-    """
-    src, dst = [], []
-    for lo, hi in _ACCENT_RANGES:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            base = ''.join(c for c in unicodedata.normalize('NFKD', ch) if not unicodedata.combining(c))
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-    marks = [chr(cp) for cp in range(0x0300, 0x0370)]
-    return ''.join(src) + ''.join(marks), ''.join(dst)
-
-
-ACCENT_FROM, ACCENT_TO = _build_accent_table()
+def _plain(ch: str) -> str:
+    """NFKD without combining marks."""
+    return ''.join(c for c in unicodedata.normalize('NFKD', ch) if not unicodedata.combining(c))
+
+
+@cache
+def accent_tables():
+    """Built by rule over all code points: characters whose plain form is one other
+    character (a ``translate`` table), and those with a longer plain form."""
+    src, dst, marks, longer = [], [], [], {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        base = _plain(ch)
+        if not base:
+            marks.append(ch)
+        elif base != ch and len(base) == 1 and cp < 0x10000:
+            src.append(ch)
+            dst.append(base)
+        elif base != ch and re.search('[0-9A-Za-z_]', base):  # others hold no token character
+            longer[ch] = base.lower()
+    marks = [m for m in marks if ord(m) < 0x10000]
+    return ''.join(src) + ''.join(marks), ''.join(dst), longer
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENT_FROM, ACCENT_TO)
+    """NFKD, then without combining marks, as far as token characters are concerned."""
+    plain_from, plain_to, longer = accent_tables()
+    spans = []
+    for cp in sorted(map(ord, longer)):  # a few ranges that cover them; others in there stay as they are
+        if spans and cp - spans[-1][1] < 64:
+            spans[-1][1] = cp
+        else:
+            spans.append([cp, cp])
+    odd = '[' + ''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in spans) + ']'
+    table = F.from_json(F.lit(json.dumps(longer)), 'map<string,string>')  # one constant
+    each = F.array_join(F.transform(F.split(c, ''), lambda x: F.coalesce(F.element_at(table, x), x)), '')
+    return F.translate(F.when(c.rlike(odd), each).otherwise(c), plain_from, plain_to)
 
 
 def word_tokens(c: Column) -> Column:
@@ -51,17 +67,3 @@ def bigrams(tokens: Column) -> Column:
     n = F.greatest(F.size(tokens) - 1, F.lit(0))
     return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n),
                       lambda a, b: F.concat(a, F.lit(' '), b))
-
-
-def ngram_terms(c: Column, ngram_range=(1, 2)) -> Column:
-    """All n-grams for n in ngram_range (only 1 and 2 are supported)."""
-    lo, hi = ngram_range
-    if not (1 <= lo <= hi <= 2):
-        raise ValueError('ngram_range must lie within (1, 2)')
-    toks = word_tokens(c)
-    parts = []
-    if lo <= 1:
-        parts.append(toks)
-    if hi >= 2:
-        parts.append(bigrams(toks))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)

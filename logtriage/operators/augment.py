@@ -18,34 +18,31 @@ def _pick(values, keys, seed, salt) -> Column:
     return F.element_at(arr, (F.pmod(hex8(hash_key(keys, seed, salt)), F.lit(len(values))) + 1).cast('int'))
 
 
-def _replace_first(s: Column, placeholder: str, value: Column) -> Column:
-    pos = F.instr(s, placeholder)
-    rest = s.substr(pos + F.lit(len(placeholder)), F.length(s) + F.lit(1))
-    return F.when(pos > 0, F.concat(F.substring_index(s, placeholder, 1), value, rest)).otherwise(s)
-
-
 def render_templates(df: DataFrame, template_col: str, slots: dict, out_col: str = 'rendered',
-                     keys=None, seed=DEFAULT_SEED, max_occurrences: int | None = None) -> DataFrame:
+                     keys=None, seed=DEFAULT_SEED) -> DataFrame:
     """Fill every ``{slot}`` of ``template_col`` (H1).
 
     A slot given as a Column fills all its occurrences with that value.  A slot given as
-    a list of strings gets an independent seeded pick per (row key, slot, occurrence).
+    a list of strings gets an independent seeded pick per (row key, slot, occurrence): the
+    text is split at the slot and joined again with the picks, however many there are.
     """
     out = F.col(template_col)
-    list_slots = {k: v for k, v in slots.items() if not isinstance(v, Column)}
-    if list_slots and not keys:
+    if not keys and any(not isinstance(v, Column) for v in slots.values()):
         raise ValueError('list-valued slots need row keys for the seeded choice')
-    if list_slots and max_occurrences is None:
-        sizes = [F.max(F.size(F.split(F.col(template_col), F.lit('\\{' + k + '\\}'))) - 1) for k in list_slots]
-        max_occurrences = max([x or 0 for x in df.agg(*sizes).first()] + [0])
+    names = [keys] if isinstance(keys, str) else list(keys or ())
     for name, val in slots.items():
-        ph = '{' + name + '}'
         if isinstance(val, Column):
-            out = F.replace(out, F.lit(ph), F.coalesce(val.cast('string'), F.lit('')))
-        else:
-            keys_l = [keys] if isinstance(keys, str) else list(keys)
-            for j in range(max_occurrences):
-                out = _replace_first(out, ph, _pick(list(val), keys_l, seed, f'{name}|{j}'))
+            out = F.replace(out, F.lit('{' + name + '}'), F.coalesce(val.cast('string'), F.lit('')))
+            continue
+        choices = F.array(*[F.lit(v) for v in val])
+
+        def filled(part, i, name=name, choices=choices, n=len(val)):
+            salt = F.concat(F.lit(f'{name}|'), (i - 1).cast('string'))
+            h = F.md5(F.concat_ws('|', F.lit(str(seed)), salt, *[F.col(k).cast('string') for k in names]))
+            pick = F.get(choices, F.pmod(hex8(h), F.lit(n)).cast('int'))
+            return F.when(i > 0, F.concat(pick, part)).otherwise(part)
+
+        out = F.array_join(F.transform(F.split(out, '\\{' + name + '\\}', -1), filled), '')
     return df.withColumn(out_col, out)
 
 

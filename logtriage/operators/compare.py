@@ -151,18 +151,16 @@ def winners(scores: DataFrame, groups=('dataset',), name_col='model') -> DataFra
 
 # ---------------------------------------------------------------- G9
 def best_by(results: DataFrame, criteria: list, name_col='model') -> DataFrame:
-    """One winner per criterion: ``(criterion, column_expr, 'max'|'min')``; ties by name."""
-    parts = []
+    """One winner per criterion: ``(criterion, column_expr, 'max'|'min')``; ties by name.
+
+    One aggregate over the table; rows whose value is null cannot win.
+    """
+    picks = []
     for crit, expr, how in criteria:
-        expr = F.expr(expr) if isinstance(expr, str) else expr
-        key = expr if how == 'max' else -expr
-        a = results.agg(F.max(key).alias('_best'))
-        pick = results.withColumn('_k', key).join(a, F.col('_k') == F.col('_best')).agg(
-            F.min(name_col).alias('model'))
-        vals = results.withColumn('_v', expr).select(F.col(name_col).alias('model'), '_v')
-        parts.append(pick.join(vals, 'model').select(F.lit(crit).alias('criterion'), 'model',
-                                                     _r6('_v').alias('value')))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        value = (F.expr(expr) if isinstance(expr, str) else expr).cast('double')
+        key = -value if how == 'max' else value
+        order = F.when(key.isNotNull(), F.struct(key.alias('key'), F.col(name_col).alias('name')))
+        best = F.min_by(F.struct(F.col(name_col).alias('model'), _r6(value).alias('value')), order)
+        picks.append(F.struct(F.lit(crit).alias('criterion'), best.alias('best')))
+    out = results.agg(F.array(*picks).alias('p')).select(F.explode('p').alias('p'))
+    return out.filter('p.best is not null').select('p.criterion', 'p.best.model', 'p.best.value')

@@ -1,10 +1,8 @@
 """Categorical codes, scaling, assembling, and sklearn-style TF-IDF.
 
-TF-IDF plan: documents are hash-partitioned by id once, so tokenising, n-gram
-building, per-document term counts and per-document L2 norms all run inside that
-partitioning without another shuffle; only document frequencies shuffle (by term, with
-map-side combine).  The vocabulary is capped by ``max_features`` (a proven size bound),
-so it is broadcast; without a cap the join is left to the planner.
+TF-IDF plan: terms are counted inside each document's row, so texts are never shuffled;
+only (term, document frequency, count) is, with map-side combine.  A vocabulary bounded by
+``max_features`` is broadcast; without a bound the join is left to the planner.
 """
 
 from __future__ import annotations
@@ -13,21 +11,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import bigrams, word_tokens
+from ..session import written
 from .sampling import hash_uniform
 
 
+#: Vocabularies bounded by at most this many terms are broadcast.
+BROADCAST_TERMS = 200_000
+
+
 def _r6(c):
     return F.round(c, 6)
 
 
+def global_positions(df: DataFrame, order_cols, out_col: str) -> DataFrame:
+    """Add the 0-based position in the order of ``order_cols`` without a one-task window.
+
+    The rows are range-partitioned and written once; the partitions' sizes are cumulated.
+    """
+    n = int(df.sparkSession.conf.get('spark.sql.shuffle.partitions'))
+    d = written(df.repartitionByRange(n, *order_cols).withColumn('_part', F.spark_partition_id()), 'positions')
+    sizes = d.groupBy('_part').agg(F.count(F.lit(1)).alias('_size'))  # one row per partition
+    before = sizes.select('_part', (F.sum('_size').over(Window.orderBy('_part')) - F.col('_size')).alias('_before'))
+    rank = F.row_number().over(Window.partitionBy('_part').orderBy(*order_cols)) - 1
+    return d.join(before, '_part').withColumn(out_col, F.col('_before') + rank).drop('_part', '_before')
+
+
 # ---------------------------------------------------------------- D1
 def label_encode(df: DataFrame, cols, suffix: str = '_code') -> DataFrame:
-    """Code = rank of the value in sorted order, from 0 (fitted on the whole table)."""
+    """Code = rank of the value in sorted order, from 0 (fitted on the whole table); null
+    values have no code."""
     out = df
     for c in cols:
-        codes = (df.select(c).distinct()
-                 .withColumn(c + suffix, (F.dense_rank().over(Window.orderBy(c)) - 1).cast('int')))
-        out = out.join(codes, c, 'left')
+        codes = global_positions(df.select(c).filter(F.col(c).isNotNull()).distinct(), [c], c + suffix)
+        out = out.join(codes.withColumn(c + suffix, F.col(c + suffix).cast('int')), c, 'left')
     return out
 
 
@@ -80,10 +96,15 @@ def tokenize_ngrams(df: DataFrame, text_col: str, out_col: str = 'terms', ngram_
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 2)) -> DataFrame:
     """(id, term, tf): one row per distinct term of each document."""
-    d = docs.select(id_col, text_col).repartition(id_col)
-    d = tokenize_ngrams(d, text_col, 'terms', ngram_range)
-    ex = d.select(id_col, F.explode('terms').alias('term'))
-    return ex.groupBy(id_col, 'term').agg(F.count(F.lit(1)).alias('tf'))
+    d = tokenize_ngrams(docs.select(id_col, text_col), text_col, 'terms', ngram_range)
+    # counted inside the row: sorted terms, a run ends where the next term differs
+    s = F.col('terms')
+    d = d.select(id_col, F.explode(F.array(F.sort_array('terms'))).alias('terms'))
+    ends = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), i + 1)), lambda i: i.isNotNull())
+    d = d.select(id_col, 'terms', F.explode(F.array(ends)).alias('ends'))
+    e = F.col('ends')
+    runs = F.transform(e, lambda i, k: F.struct(F.get(s, i - 1).alias('term'), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast('long').alias('tf')))
+    return d.select(id_col, F.inline(runs))
 
 
 # ---------------------------------------------------------------- D5
@@ -104,19 +125,27 @@ def fit_tfidf(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', m
     if max_features is not None:
         kept = kept.orderBy(F.col('cf').desc(), F.col('term')).limit(max_features)
     idf = F.log((F.lit(1 + n_docs)) / (F.col('df') + 1)) + 1
-    return kept.select('term', (F.row_number().over(Window.orderBy('term')) - 1).cast('int').alias('idx'),
+    if max_features is not None:
+        kept = kept.withColumn('idx', F.row_number().over(Window.orderBy('term')) - 1)  # max_features rows
+    else:
+        kept = global_positions(kept, ['term'], 'idx')
+    return kept.select('term', F.col('idx').cast('int').alias('idx'),
                        F.col('df').cast('long').alias('df'), F.col('cf').cast('long').alias('cf'), idf.alias('idf'))
 
 
 # ---------------------------------------------------------------- D6
 def tfidf_transform(docs: DataFrame, vocab: DataFrame, id_col: str = 'doc_id', text_col: str = 'text',
-                    ngram_range=(1, 2), tf: DataFrame | None = None, bounded_vocab: bool = True) -> DataFrame:
-    """(id, term, idx, tfidf) with sublinear tf, L2-normalised per document."""
+                    ngram_range=(1, 2), tf: DataFrame | None = None,
+                    max_features: int | None = None) -> DataFrame:
+    """(id, term, idx, tfidf) with sublinear tf, L2-normalised per document.
+
+    ``max_features``: the bound the vocabulary was fitted with; only then it is broadcast.
+    """
     if vocab is None:
         raise ValueError('vectoriser is not fitted: call fit_tfidf first')
     tf = tf if tf is not None else term_counts(docs, id_col, text_col, ngram_range)
     v = vocab.select('term', 'idx', 'idf')
-    j = tf.join(F.broadcast(v) if bounded_vocab else v, 'term')
+    j = tf.join(F.broadcast(v) if max_features is not None and max_features <= BROADCAST_TERMS else v, 'term')
     w = (1 + F.log(F.col('tf'))) * F.col('idf')
     j = j.withColumn('_w', w)
     norm = F.sqrt(F.sum(F.col('_w') * F.col('_w')).over(Window.partitionBy(id_col)))
@@ -126,7 +155,7 @@ def tfidf_transform(docs: DataFrame, vocab: DataFrame, id_col: str = 'doc_id', t
 def fit_transform(docs, id_col='doc_id', text_col='text', **kw):
     tf = term_counts(docs, id_col, text_col, kw.get('ngram_range', (1, 2)))
     vocab = fit_tfidf(docs, id_col, text_col, tf=tf, **kw)
-    return vocab, tfidf_transform(docs, vocab, id_col, text_col, tf=tf)
+    return vocab, tfidf_transform(docs, vocab, id_col, text_col, tf=tf, max_features=kw.get('max_features', 5000))
 
 
 # ---------------------------------------------------------------- D7 / D8 / D9

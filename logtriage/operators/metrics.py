@@ -1,12 +1,9 @@
 """Classification metrics, exact ROC / PR curves, run aggregation.
 
 Every operator takes a predictions table and optional ``groups`` (e.g. one row per
-model).  Curves are exact (one point per distinct score).  Cumulative counts over the
-descending score order are computed without a one-partition window: counts are first
-reduced per distinct score (a hot score collapses map-side), scores are then bucketed by
-range (``floor(score * buckets)``, scores expected in [0, 1]; others are clamped into
-the edge buckets, which keeps results exact), bucket totals are cumulated on the small
-bucket table and joined back, and the running sum continues inside each bucket.
+model).  Curves are exact (one point per distinct score).  Counts are first reduced per
+distinct score (a hot score collapses map-side); the scores are then range-partitioned, the
+totals of the partitions are cumulated, and the running sum continues inside each one.
 """
 
 from __future__ import annotations
@@ -15,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import REPORT_TARGET_NAMES
-
-BUCKETS = 4096
+from ..session import written
+from .sampling import on_groups
 
 
 def _ind(cond):
@@ -103,28 +100,35 @@ def classification_report(preds, label='label', prediction='prediction', groups=
 
 
 # ---------------------------------------------------------------- shared curve table
-def score_table(preds, label='label', score='score', groups=(), buckets=BUCKETS) -> DataFrame:
+def _scored(preds: DataFrame, score) -> DataFrame:
+    """Rows without a score (null or NaN) take no part in rank metrics."""
+    s = F.col(score)
+    return preds.filter(s.isNotNull() & ~F.isnan(s.cast('double')))
+
+
+def score_table(preds, label='label', score='score', groups=()) -> DataFrame:
     """One row per (group, distinct score), descending, with cumulative counts.
 
     Columns: groups, score, pos, neg, tps, fps (inclusive cumulative counts from the top),
     P, N (group totals), next_pos/next_neg (counts at the next lower distinct score).
+    Rows are range-partitioned by (groups, score) and written once, so a partition is the
+    same range for its totals and for its running sums; any range of scores splits evenly.
     """
     groups = list(groups)
     y = F.col(label)
-    d = preds.groupBy(*groups, F.col(score).alias('score')).agg(
-        _ind(y == 1).alias('pos'), _ind(y != 1).alias('neg'))
-    d = d.withColumn('_b', F.least(F.greatest(F.floor(F.col('score') * buckets), F.lit(0)),
-                                   F.lit(buckets - 1)).cast('int'))
+    d = _scored(preds, score).groupBy(*groups, F.col(score).alias('score')).agg(_ind(y == 1).alias('pos'), _ind(y != 1).alias('neg'))
+    n = int(preds.sparkSession.conf.get('spark.sql.shuffle.partitions'))
+    d = written(d.repartitionByRange(n, *groups, F.col('score').desc()).withColumn('_b', F.spark_partition_id()), 'scores')
     bt = d.groupBy(*groups, '_b').agg(F.sum('pos').alias('bp'), F.sum('neg').alias('bn'),
                                       F.max_by(F.struct('pos', 'neg'), 'score').alias('top'))
     wg = Window.partitionBy(*groups)
-    wb = wg.orderBy(F.col('_b').desc())
-    bt = bt.select(*groups, '_b',
+    wb = wg.orderBy('_b')
+    bt = bt.select(*groups, '_b',  # one row per group and partition
                    (F.sum('bp').over(wb) - F.col('bp')).alias('_op'),
                    (F.sum('bn').over(wb) - F.col('bn')).alias('_on'),
                    F.sum('bp').over(wg).alias('P'), F.sum('bn').over(wg).alias('N'),
                    F.lead('top').over(wb).alias('_nexttop'))
-    j = d.join(bt, [*groups, '_b'])
+    j = on_groups(d, bt, groups, ['_b'])
     wi = Window.partitionBy(*groups, '_b').orderBy(F.col('score').desc())
     run = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(
@@ -133,55 +137,58 @@ def score_table(preds, label='label', score='score', groups=(), buckets=BUCKETS)
         (F.col('_on') + F.sum('neg').over(run)).alias('fps'),
         F.coalesce(F.lead('pos').over(wi), F.col('_nexttop.pos')).alias('next_pos'),
         F.coalesce(F.lead('neg').over(wi), F.col('_nexttop.neg')).alias('next_neg'),
-        F.when(F.lead('pos').over(wi).isNull() & F.col('_nexttop').isNull(), True).otherwise(False).alias('is_last'))
+        (F.lead('pos').over(wi).isNull() & F.col('_nexttop').isNull()).alias('is_last'))
 
 
 # ---------------------------------------------------------------- F5 / F6
-def auc_roc(preds, label='label', score='score', groups=()) -> DataFrame:
-    """Rank statistic, ties count one half; null when a class is missing."""
+def rank_metrics(preds, label='label', score='score', groups=()) -> DataFrame:
+    """auc_roc (ties count one half; null when a class is missing) and average_precision
+    (sum over descending thresholds of (R_n - R_n-1) * P_n) in one aggregate."""
     t = score_table(preds, label, score, groups)
-    above = F.col('tps') - F.col('pos')
-    agg = t.groupBy(*groups).agg(F.sum(F.col('neg') * (above + F.col('pos') * 0.5)).alias('_s'),
-                                 F.first('P').alias('P'), F.first('N').alias('N'))
-    return agg.select(*groups, _r6(F.when((F.col('P') > 0) & (F.col('N') > 0),
-                                          F.col('_s') / (F.col('P') * F.col('N')))).alias('auc_roc'))
+    pos, neg, tps, fps = (F.col(c).cast('double') for c in ('pos', 'neg', 'tps', 'fps'))
+    p, n = F.first('P').cast('double'), F.first('N').cast('double')
+    ranks, steps = F.sum(neg * (tps - pos * 0.5)), F.sum(pos * tps / (tps + fps))
+    return t.groupBy(*groups).agg(_r6(F.when((p > 0) & (n > 0), ranks / (p * n))).alias('auc_roc'),
+                                  _r6(F.when(p > 0, steps / p).otherwise(0.0)).alias('average_precision'))
+
+
+def auc_roc(preds, label='label', score='score', groups=()) -> DataFrame:
+    """Rank statistic over the scored rows."""
+    return rank_metrics(preds, label, score, groups).select(*groups, 'auc_roc')
 
 
 def average_precision(preds, label='label', score='score', groups=()) -> DataFrame:
-    """Sum over descending thresholds of (R_n - R_n-1) * P_n (no interpolation)."""
-    t = score_table(preds, label, score, groups)
-    term = F.col('pos') * F.col('tps') / (F.col('tps') + F.col('fps'))
-    agg = t.groupBy(*groups).agg(F.sum(term).alias('_s'), F.first('P').alias('P'))
-    return agg.select(*groups, _r6(F.when(F.col('P') > 0, F.col('_s') / F.col('P')).otherwise(0.0))
-                      .alias('average_precision'))
+    """Average precision over the scored rows (no interpolation)."""
+    return rank_metrics(preds, label, score, groups).select(*groups, 'average_precision')
 
 
 # ---------------------------------------------------------------- F7
 def roc_curve(preds, label='label', score='score', groups=(), drop_intermediate=True) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, plus (inf, 0, 0); collinear points dropped."""
+    """(threshold, fpr, tpr) per distinct score, plus (inf, 0, 0); collinear points dropped.
+    A rate is null where its class is missing."""
     t = score_table(preds, label, score, groups)
-    w = Window.partitionBy(*groups)
-    is_first = F.col('score') == F.max('score').over(w)
+    is_first = (F.col('tps') == F.col('pos')) & (F.col('fps') == F.col('neg'))
     keep = is_first | F.col('is_last') | (F.col('pos') != F.col('next_pos')) | (F.col('neg') != F.col('next_neg'))
-    if drop_intermediate:
-        t = t.withColumn('_k', keep).filter('_k')
-    pts = t.select(*groups, F.col('score').cast('double').alias('threshold'),
-                   _r6(F.col('fps') / F.col('N')).alias('fpr'), _r6(F.col('tps') / F.col('P')).alias('tpr'))
-    origin = t.select(*groups).distinct().select(*groups, F.lit(float('inf')).alias('threshold'),
-                                                 F.lit(0.0).alias('fpr'), F.lit(0.0).alias('tpr'))
-    return origin.unionByName(pts)
+    point = lambda th, fp, tp: F.struct(th.alias('threshold'), fp.alias('fp'), tp.alias('tp'))
+    own = point(F.col('score').cast('double'), F.col('fps'), F.col('tps'))
+    origin = point(F.lit(float('inf')), F.lit(0).cast('long'), F.lit(0).cast('long'))
+    own = F.when(keep, F.array(own)).otherwise(F.array().cast('array<struct<threshold:double,fp:bigint,tp:bigint>>')) if drop_intermediate else F.array(own)
+    # the origin stands beside a group's first point
+    pts = t.select(*groups, 'P', 'N', F.explode(F.when(is_first, F.concat(F.array(origin), own)).otherwise(own)).alias('_pt'))
+    rate = lambda c, total: _r6(F.when(F.col(total) > 0, F.col(c) / F.col(total)))
+    return pts.select(*groups, '_pt.threshold', rate('_pt.fp', 'N').alias('fpr'), rate('_pt.tp', 'P').alias('tpr'))
 
 
 # ---------------------------------------------------------------- F8
 def pr_curve(preds, label='label', score='score', groups=()) -> DataFrame:
     """(threshold, precision, recall) for every distinct score plus (null, 1, 0)."""
     t = score_table(preds, label, score, groups)
+    is_first = (F.col('tps') == F.col('pos')) & (F.col('fps') == F.col('neg'))
     rec = F.when(F.col('P') > 0, F.col('tps') / F.col('P')).otherwise(1.0)
-    pts = t.select(*groups, F.col('score').cast('double').alias('threshold'),
-                   _r6(F.col('tps') / (F.col('tps') + F.col('fps'))).alias('precision'), _r6(rec).alias('recall'))
-    end = t.select(*groups).distinct().select(*groups, F.lit(None).cast('double').alias('threshold'),
-                                              F.lit(1.0).alias('precision'), F.lit(0.0).alias('recall'))
-    return pts.unionByName(end)
+    point = lambda th, pr, re: F.struct(th.cast('double').alias('threshold'), pr.alias('precision'), re.alias('recall'))
+    own = F.array(point(F.col('score'), _r6(F.col('tps') / (F.col('tps') + F.col('fps'))), _r6(rec)))
+    end = F.array(point(F.lit(None), F.lit(1.0), F.lit(0.0)))  # stands beside a group's first point
+    return t.select(*groups, F.explode(F.when(is_first, F.concat(own, end)).otherwise(own)).alias('_pt')).select(*groups, '_pt.*')
 
 
 # ---------------------------------------------------------------- F9
@@ -207,6 +214,42 @@ def performance_metrics(df: DataFrame, train_seconds='train_seconds', infer_seco
 
 
 # ---------------------------------------------------------------- F11
+def left_on_groups(left: DataFrame, right: DataFrame, groups) -> DataFrame:
+    """Left join on the group columns, null groups included."""
+    r = right.withColumnsRenamed({c: f'_r_{c}' for c in groups})
+    cond = F.lit(True)
+    for c in groups:
+        cond = cond & left[c].eqNullSafe(r[f'_r_{c}'])
+    return left.join(r, cond, 'left').drop(*[f'_r_{c}' for c in groups])
+
+
+def evaluation_record(preds, groups=(), label='label', prediction='prediction', score='score') -> DataFrame:
+    """The full record per group: metrics, confusion counts, the report's rows and both
+    curves as arrays of structs (curves have one point per distinct score of the group)."""
+    groups = list(groups)
+    base = evaluate(preds, groups, label, prediction, score)
+    conf = confusion_counts(preds, label, prediction, groups).select(*groups, F.struct('tn', 'fp', 'fn', 'tp').alias('confusion'))
+    rep = classification_report(preds, label, prediction, groups)
+    rep = rep.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*[c for c in rep.columns if c not in groups]))).alias('report'))
+    out = left_on_groups(left_on_groups(base, conf, groups), rep, groups)
+    for name, curve in (('roc', roc_curve(preds, label, score, groups)), ('pr', pr_curve(preds, label, score, groups))):
+        pts = curve.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*[c for c in curve.columns if c not in groups]))).alias(name))
+        out = left_on_groups(out, pts, groups)
+    return out
+
+
+def flatten(record: DataFrame, prefix_sep: str = '_') -> DataFrame:
+    """Scalars of a record as one row: struct fields become columns, arrays are left out."""
+    cols = []
+    for f in record.schema:
+        kind = f.dataType.typeName()
+        if kind == 'struct':
+            cols += [F.col(f'`{f.name}`.`{g.name}`').alias(f'{f.name}{prefix_sep}{g.name}') for g in f.dataType]
+        elif kind not in ('array', 'map'):
+            cols.append(F.col(f'`{f.name}`'))
+    return record.select(*cols)
+
+
 def evaluate(preds, groups, label='label', prediction='prediction', score='score',
              training_stats: DataFrame | None = None) -> DataFrame:
     """Flat evaluation record per group: n, class-1 metrics, AUC, AP, ``train_*`` stats."""
@@ -214,12 +257,11 @@ def evaluate(preds, groups, label='label', prediction='prediction', score='score
     c = confusion_counts(preds, label, prediction, groups)
     base = c.select(*groups, F.col('n').alias('n_samples'),
                     *[_r6(v).alias(k) for k, v in _binary_cols().items()])
-    out = base.join(auc_roc(preds, label, score, groups), groups, 'left') \
-        .join(average_precision(preds, label, score, groups), groups, 'left')
+    out = left_on_groups(base, rank_metrics(preds, label, score, groups), groups)
     if training_stats is not None:
         stats = training_stats.select(*groups, *[F.col(c).alias(f'train_{c}') for c in training_stats.columns
                                                  if c not in groups])
-        out = out.join(stats, groups, 'left')
+        out = left_on_groups(out, stats, groups)
     return out
 
 

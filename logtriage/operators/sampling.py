@@ -6,18 +6,17 @@ yields identical results.
 
 Positions are computed without a single-partition window: rows are bucketed by a hex
 prefix of the hash (``16**prefix`` buckets per group), the bucket counts form a small
-table that is cumulated and broadcast back (its size is bounded by
-``groups * 16**prefix``), and ``row_number`` runs inside each (group, bucket).  A class
+table that is cumulated and joined back (``groups * 16**prefix`` rows at most), and ``row_number`` runs inside each (group, bucket).  A class
 holding a third of all rows is therefore spread over 65,536 tasks-worth of buckets.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 DEFAULT_SEED = 42
 PREFIX_HEX = 4
 
@@ -36,6 +35,21 @@ def hex8(h):
     return F.conv(F.substring(h, 1, 8), 16, 10).cast('long')
 
 
+def hex15(h):
+    """A draw of 60 bits: reaches every position of any class."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast('long')
+
+
+def on_groups(left: DataFrame, right: DataFrame, groups, extra=()) -> DataFrame:
+    """Inner join on columns of one name, null being equal to null."""
+    names = [*groups, *extra]
+    r = right.withColumnsRenamed({c: f'_r_{c}' for c in names})
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & left[c].eqNullSafe(r[f'_r_{c}'])
+    return left.join(r, cond).drop(*[f'_r_{c}' for c in names])
+
+
 def hash_rank(df: DataFrame, keys, seed=DEFAULT_SEED, groups=(), prefix_hex: int = PREFIX_HEX,
               pos_col: str = 'pos', total_col: str | None = None, salt: str | None = None) -> DataFrame:
     """Add ``pos`` = 0-based rank of each row inside its group by hash order.
@@ -50,7 +64,7 @@ def hash_rank(df: DataFrame, keys, seed=DEFAULT_SEED, groups=(), prefix_hex: int
     offsets = counts.select(*groups, '_b',
                             (F.sum('_n').over(wg.orderBy('_b')) - F.col('_n')).alias('_off'),
                             F.sum('_n').over(wg).alias('_gn'))
-    joined = h.join(F.broadcast(offsets), [*groups, '_b'])
+    joined = on_groups(h, offsets, groups, ['_b'])
     within = Window.partitionBy(*groups, '_b').orderBy('_h', *keys)
     out = joined.withColumn(pos_col, (F.col('_off') + F.row_number().over(within) - 1).cast('long'))
     if total_col:
@@ -62,15 +76,21 @@ def _class_counts(df: DataFrame, label: str):
     return df.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias('_cnt'))
 
 
+def labelled_only(df: DataFrame, label: str) -> DataFrame:
+    """Balancing needs classes: a null label ends the query with an error."""
+    name = F.lit(f'column {label} holds null labels')
+    kind = df.schema[label].dataType
+    return df.withColumn(label, F.when(F.col(label).isNull(), F.raise_error(name).cast(kind)).otherwise(F.col(label)))
+
+
 # ---------------------------------------------------------------- C5 undersample
 def balance_undersample(df: DataFrame, label: str, keys, seed=DEFAULT_SEED) -> DataFrame:
     """Keep min(n0, n1) rows of each class, drawn without replacement."""
+    df = labelled_only(df, label)
     ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos')
-    cc = _class_counts(df, label)
-    classes = cc.withColumn('_m', F.min('_cnt').over(Window.partitionBy()))
-    classes = classes.withColumn('_m', F.when(F.count(F.lit(1)).over(Window.partitionBy()) >= 2,
-                                              F.col('_m')).otherwise(F.lit(0)))
-    out = ranked.join(F.broadcast(classes.select(label, '_m')), label)
+    smallest = _class_counts(df, label).agg(F.min('_cnt').alias('_m'), F.count(F.lit(1)).alias('_k'))
+    smallest = smallest.select(F.when(F.col('_k') >= 2, F.col('_m')).otherwise(F.lit(0)).alias('_m'))
+    out = ranked.crossJoin(F.broadcast(smallest))  # one row
     return out.filter(F.col('_pos') < F.col('_m')).drop('_pos', '_m')
 
 
@@ -84,10 +104,9 @@ def balance_oversample(df: DataFrame, label: str, keys, seed=DEFAULT_SEED,
     resampled rows, null for the kept class.
     """
     del target_ratio
-    # The input is used three times (counts, kept class, draws): materialise it once in
-    # the shared checkpoint folder so upstream work is not repeated and lineage is cut.
-    df = df.checkpoint(eager=True)
-    counts = {r[0]: r[1] for r in _class_counts(df, label).collect()}  # <= 2 rows
+    # the input is used three times (counts, kept class, draws): written once
+    df = written(labelled_only(df, label), 'oversample')
+    counts = {r[0]: r[1] for r in _class_counts(df.filter(F.col(label).isin(0, 1)), label).collect()}  # 2 rows at most
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     max_size = max(n0, n1)
     minority = 0 if n0 < max_size else 1
@@ -97,7 +116,7 @@ def balance_oversample(df: DataFrame, label: str, keys, seed=DEFAULT_SEED,
         return majority_rows
     spark = df.sparkSession
     draws = (spark.range(max_size).withColumnRenamed('id', 'copy_id')
-             .withColumn('_pos', F.pmod(hex8(hash_key(['copy_id'], seed, 'draw')), F.lit(n_min))))
+             .withColumn('_pos', F.pmod(hex15(hash_key(['copy_id'], seed, 'draw')), F.lit(n_min))))
     ranked = hash_rank(df.filter(F.col(label) == minority), keys, seed, pos_col='_pos')
     drawn = draws.join(ranked, '_pos').drop('_pos')
     return majority_rows.unionByName(drawn.select(*majority_rows.columns))
@@ -121,6 +140,11 @@ def positional_split(df: DataFrame, keys, train: float = 0.7, val: float = 0.15,
 
 
 # ---------------------------------------------------------------- C9 / C10 stratified
+def _totals(ranked: DataFrame, label: str) -> DataFrame:
+    """One row per class (null is a class of its own) with its number of rows."""
+    return ranked.groupBy(label).agg(F.first('_n').alias('_cnt'))
+
+
 def _quota_table(counts: DataFrame, label: str, cnt: str, frac_test: float, out: str) -> DataFrame:
     """Per-class train quota: test size ceil(n*frac), largest remainder, ties by label.
 
@@ -141,9 +165,10 @@ def _quota_table(counts: DataFrame, label: str, cnt: str, frac_test: float, out:
 
 def stratified_split(df: DataFrame, label: str, keys, test: float = 0.2, seed=DEFAULT_SEED) -> DataFrame:
     """Two-way stratified split; adds ``split`` in {'train','test'}."""
-    ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos')
-    q = _quota_table(_class_counts(df, label), label, '_cnt', test, '_q')
-    out = ranked.join(F.broadcast(q), label)
+    ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos', total_col='_n')
+    # the class totals come with the ranks, so the input is not counted again for them
+    q = _quota_table(_totals(ranked, label), label, '_cnt', test, '_q')
+    out = on_groups(ranked.drop('_n'), q, [label])
     return out.withColumn('split', F.when(F.col('_pos') < F.col('_q'), 'train').otherwise('test')) \
         .drop('_pos', '_q')
 
@@ -151,13 +176,13 @@ def stratified_split(df: DataFrame, label: str, keys, test: float = 0.2, seed=DE
 def stratified_split3(df: DataFrame, label: str, keys, holdout: float = 0.3, test_of_holdout: float = 0.5,
                       seed=DEFAULT_SEED) -> DataFrame:
     """70/15/15: stratified 30 % hold-out, then the hold-out halved, stratified."""
-    ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos')
-    cc = _class_counts(df, label)
+    ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos', total_col='_n')
+    cc = _totals(ranked, label)
     q1 = _quota_table(cc, label, '_cnt', holdout, '_q1')
-    rest = cc.join(q1, label).select(label, (F.col('_cnt') - F.col('_q1')).alias('_cnt2'), '_q1')
+    rest = on_groups(cc, q1, [label]).select(label, (F.col('_cnt') - F.col('_q1')).alias('_cnt2'), '_q1')
     q2 = _quota_table(rest.select(label, '_cnt2'), label, '_cnt2', test_of_holdout, '_q2')
-    q = rest.join(q2, label).select(label, '_q1', '_q2')
-    out = ranked.join(F.broadcast(q), label)
+    q = on_groups(rest, q2, [label]).select(label, '_q1', '_q2')
+    out = on_groups(ranked.drop('_n'), q, [label])
     return out.withColumn('split', F.when(F.col('_pos') < F.col('_q1'), 'train')
                           .when(F.col('_pos') < F.col('_q1') + F.col('_q2'), 'val')
                           .otherwise('test')).drop('_pos', '_q1', '_q2')
@@ -169,7 +194,7 @@ def class_mix_sample(df: DataFrame, label: str, keys, n: int, balance: float = 0
     """Exactly int(n*balance) rows of class 1 and the rest of class 0, then shuffled."""
     n1 = int(n * balance)
     n0 = n - n1
-    counts = {r[0]: r[1] for r in _class_counts(df, label).collect()}  # <= a few rows
+    counts = {r[0]: r[1] for r in _class_counts(df.filter(F.col(label).isin(0, 1)), label).collect()}  # 2 rows at most
     for cls, need in ((0, n0), (1, n1)):
         if counts.get(cls, 0) < need:
             raise ValueError(f'class {cls} has {counts.get(cls, 0)} rows, {need} requested')
@@ -178,6 +203,3 @@ def class_mix_sample(df: DataFrame, label: str, keys, n: int, balance: float = 0
                            | ((F.col(label) == 1) & (F.col('_pos') < n1))).drop('_pos')
     return seeded_shuffle(picked, keys, seed, pos_col='pos')
 
-
-def ceil_test_size(n: int, frac: float) -> int:
-    return int(math.ceil(n * frac))

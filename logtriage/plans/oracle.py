@@ -222,5 +222,9 @@ def hex8_sql(h: str) -> str:
     return f"CAST(('0x' || substr({h}, 1, 8)) AS BIGINT)"
 
 
+def hex15_sql(h: str) -> str:
+    return f"CAST(('0x' || substr({h}, 1, 15)) AS BIGINT)"
+
+
 def uniform_sql(keys, seed=42, salt=None) -> str:
     return f'({hex8_sql(hash_sql(keys, seed, salt))} / 4294967296.0)'

@@ -205,7 +205,7 @@ def q_undersample(spark, sf):
                  CASE WHEN n0 < greatest(n0, n1) THEN n0 ELSE n1 END AS nmin FROM cnt)
 , ranked AS (SELECT lab.*, row_number() OVER (ORDER BY {_HK}, source, log_id, line_no) - 1 AS pos
              FROM lab, par WHERE lab.label = par.mi)
-, draws AS (SELECT k AS copy_id, {O.hex8_sql(O.hash_sql(['k'], salt='draw'))} % nmin AS pos
+, draws AS (SELECT k AS copy_id, {O.hex15_sql(O.hash_sql(['k'], salt='draw'))} % nmin AS pos
             FROM (SELECT unnest(range(CAST(mx AS BIGINT))) AS k, nmin FROM par WHERE nmin > 0))
 SELECT source, log_id, line_no, label, CAST(NULL AS BIGINT) AS copy_id FROM lab, par WHERE lab.label <> par.mi
 UNION ALL
@@ -310,7 +310,7 @@ WITH par AS (SELECT 2 * least(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END),
 SELECT doc_id, quality, row_number() OVER (ORDER BY {O.hash_sql(['doc_id'])}, doc_id) - 1 AS pos FROM picked""")
 def q_class_mix(spark, sf):
     lab = read_table(spark, sf, 'labels').select('doc_id', 'quality')
-    counts = {r[0]: r[1] for r in lab.groupBy('quality').count().collect()}
+    counts = {r[0]: r[1] for r in lab.filter('quality in (0, 1)').groupBy('quality').count().collect()}  # 2 rows at most
     n = 2 * min(counts.get(0, 0), counts.get(1, 0))
     return class_mix_sample(lab, 'quality', ['doc_id'], n, 0.5)
 

@@ -4,14 +4,5 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import queries
-    out = dict(queries.QUERIES)
-    for mod in ('queries_metrics', 'queries_features', 'queries_models'):
-        try:
-            m = __import__(f'{__package__}.{mod}', fromlist=['QUERIES'])
-        except ModuleNotFoundError as exc:
-            if exc.name and exc.name.endswith(mod):
-                continue
-            raise
-        out.update(m.QUERIES)
-    return out
+    from . import queries, queries_features, queries_metrics
+    return {**queries.QUERIES, **queries_metrics.QUERIES, **queries_features.QUERIES}

@@ -49,18 +49,6 @@ def _s(c):
     return c.cast('string')
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition CPU-heavy row-wise work when the scan gives too few tasks.
-
-    Large inputs already have many splits and are left alone (no extra shuffle); small
-    files (one split) would otherwise run every regex on one or two cores.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys)
-
-
 def event_slots() -> dict:
     e, u = F.col('event_id'), F.col('user_id')
     md = F.md5(_s(e))

@@ -26,7 +26,7 @@ def local_session(cores: int | str = '*', shuffle_partitions: int = 8, app: str
          .config('spark.sql.session.timeZone', 'UTC')
          .config('spark.sql.execution.arrow.pyspark.enabled', 'true')
          .config('spark.ui.enabled', 'false')
-         .config('spark.driver.memory', os.environ.get('LOGTRIAGE_DRIVER_MEMORY', '16g')))
+         .config('spark.driver.memory', os.environ.get('LOGTRIAGE_DRIVER_MEMORY', '8g')))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -39,7 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, creating a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; we read it and never
-    replace it.  Only when nothing is configured (tests, laptops) a temp dir is used.
+    replace it.  A temporary folder is used only in local mode; elsewhere a missing setting
+    is an error, because executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get('spark.checkpoint.dir', None) or sc.getConf().get('spark.checkpoint.dir', None)
     if not conf_dir:
+        if not sc.master.startswith('local') or sc.master.startswith('local-cluster'):
+            raise ValueError('spark.checkpoint.dir must name a folder that driver and executors share')
         conf_dir = tempfile.mkdtemp(prefix='logtriage-ckpt-')
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -58,5 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f'{base}/{name}-{uuid.uuid4().hex[:12]}'
 
 
+def written(df, name: str):
+    """Write to the shared scratch folder and read back: one evaluation for several readers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f'{sf_dir.rstrip("/")}/{name}.parquet')

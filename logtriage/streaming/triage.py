@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.rules import DEFAULT_RULES, Rules
-from ..functions.text import clean_text, is_relevant, label_logs
+from ..functions.text import is_relevant, label_logs
+from ..operators.preprocess import with_cleaned_text
 
 
 def triage_stream(df: DataFrame, text_column: str = 'log_text', rules: Rules = DEFAULT_RULES,
-                  event_time: str | None = None, watermark: str = '10 minutes') -> DataFrame:
-    out = df.withColumn('cleaned_text', clean_text(text_column, rules))
+                  dedup: bool = True, event_time: str | None = None, watermark: str = '10 minutes') -> DataFrame:
+    """Clean, filter, deduplicate (unless ``dedup`` is off) and label a stream of log lines."""
+    if dedup and not event_time:
+        raise ValueError('dedup on a stream needs event_time')
+    out = with_cleaned_text(df, text_column, rules)
     out = out.filter(is_relevant('cleaned_text', rules))
-    if event_time:
+    if dedup:
         out = out.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(['cleaned_text'])
     return label_logs(out, 'cleaned_text')
 
