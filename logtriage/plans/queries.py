@@ -22,6 +22,7 @@ from . import oracle as O
 from .views import all_logs, ci_logs, doc_lines
 
 KEYS = ['source', 'log_id', 'line_no']
+_CI = 'log_id, user_id, event_type, log_text, error_type, stack_trace'
 QUERIES: dict = {}
 
 
@@ -142,7 +143,7 @@ def q_label(spark, sf):
 
 @register('b6_label_name', O.with_views(
     f"SELECT log_id, label, CASE WHEN label = 0 THEN {O.lit(R.LABEL_NAMES[0])} ELSE {O.lit(R.LABEL_NAMES[1])} "
-    f"END AS label_name FROM ({O.labelled('log_id', 'log_text', 'ci_logs')})", 'ci_logs'))
+    f"END AS label_name FROM ({O.labelled(_CI, 'log_text', 'ci_logs')})", 'ci_logs'))
 def q_label_name(spark, sf):
     lab = label_logs(ci_logs(spark, sf), 'log_text')
     return lab.select('log_id', 'label', label_name('label').alias('label_name'))
@@ -215,19 +216,19 @@ def q_oversample(spark, sf):
 
 
 @register('c7_seeded_shuffle', O.with_views(
-    f"SELECT log_id, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos FROM ci_logs",
+    f"SELECT *, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos FROM ci_logs",
     'ci_logs'))
 def q_shuffle(spark, sf):
-    return seeded_shuffle(ci_logs(spark, sf).select('log_id'), ['log_id'])
+    return seeded_shuffle(ci_logs(spark, sf), ['log_id'])
 
 
 @register('c8_positional_split', O.with_views(f"""
-SELECT log_id, CASE WHEN pos < floor(n * {O.dbl(0.7)}) THEN 'train'
+SELECT {_CI}, CASE WHEN pos < floor(n * {O.dbl(0.7)}) THEN 'train'
                     WHEN pos < floor(n * {O.dbl(0.7 + 0.15)}) THEN 'val' ELSE 'test' END AS split
-FROM (SELECT log_id, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos,
+FROM (SELECT *, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos,
              count(*) OVER () AS n FROM ci_logs)""", 'ci_logs'))
 def q_positional(spark, sf):
-    return positional_split(ci_logs(spark, sf).select('log_id'), ['log_id'])
+    return positional_split(ci_logs(spark, sf), ['log_id'])
 
 
 def _quota_sql(src: str, cnt: str, frac: float, out: str) -> str:
@@ -239,17 +240,17 @@ def _quota_sql(src: str, cnt: str, frac: float, out: str) -> str:
           SELECT label, {cnt} * {first} / {n} AS cont, {first} AS nf FROM {src})))"""
 
 
-_LAB_CI = f"labci AS ({O.labelled('log_id', 'log_text', 'ci_logs')})"
+_LAB_CI = f"labci AS ({O.labelled(_CI, 'log_text', 'ci_logs')})"
 
 
 @register('c9_stratified_split', O.with_views('', 'ci_logs').rstrip() + f""", {_LAB_CI}
 , cc AS (SELECT label, count(*) AS cnt FROM labci GROUP BY label)
 , q AS ({_quota_sql('cc', 'cnt', 0.2, 'q')})
-SELECT log_id, label, CASE WHEN pos < q THEN 'train' ELSE 'test' END AS split FROM (
+SELECT {_CI}, label, CASE WHEN pos < q THEN 'train' ELSE 'test' END AS split FROM (
   SELECT l.*, row_number() OVER (PARTITION BY l.label ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos, q.q
   FROM labci l JOIN q USING (label))""")
 def q_stratified(spark, sf):
-    lab = label_logs(ci_logs(spark, sf), 'log_text').select('log_id', 'label')
+    lab = label_logs(ci_logs(spark, sf), 'log_text')
     return stratified_split(lab, 'label', ['log_id'])
 
 
@@ -258,12 +259,12 @@ def q_stratified(spark, sf):
 , q1 AS ({_quota_sql('cc', 'cnt', 0.3, 'q1')})
 , rest AS (SELECT label, cnt - q1 AS cnt2, q1 FROM cc JOIN q1 USING (label))
 , q2 AS ({_quota_sql('rest', 'cnt2', 0.5, 'q2')})
-SELECT log_id, label, CASE WHEN pos < q1 THEN 'train' WHEN pos < q1 + q2 THEN 'val' ELSE 'test' END AS split
+SELECT {_CI}, label, CASE WHEN pos < q1 THEN 'train' WHEN pos < q1 + q2 THEN 'val' ELSE 'test' END AS split
 FROM (SELECT l.*, row_number() OVER (PARTITION BY l.label ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos,
              rest.q1, q2.q2
       FROM labci l JOIN rest USING (label) JOIN q2 USING (label))""")
 def q_stratified3(spark, sf):
-    lab = label_logs(ci_logs(spark, sf), 'log_text').select('log_id', 'label')
+    lab = label_logs(ci_logs(spark, sf), 'log_text')
     return stratified_split3(lab, 'label', ['log_id'])
 
 
@@ -316,11 +317,11 @@ def q_class_mix(spark, sf):
 
 
 @register('h5_materialize_splits', O.with_views(f"""
-SELECT log_id, CASE WHEN pos < floor(n * {O.dbl(0.7)}) THEN 'train'
+SELECT {_CI}, CASE WHEN pos < floor(n * {O.dbl(0.7)}) THEN 'train'
                     WHEN pos < floor(n * {O.dbl(0.7 + 0.15)}) THEN 'val' ELSE 'test' END AS split
-FROM (SELECT log_id, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos,
+FROM (SELECT *, row_number() OVER (ORDER BY {O.hash_sql(['log_id'])}, log_id) - 1 AS pos,
              count(*) OVER () AS n FROM ci_logs)""", 'ci_logs'))
 def q_materialize(spark, sf):
     path = scratch_path(spark, 'splits')
-    materialize_splits(ci_logs(spark, sf).select('log_id'), path, ['log_id'])
-    return spark.read.parquet(path).select('log_id', 'split')
+    materialize_splits(ci_logs(spark, sf), path, ['log_id'])
+    return spark.read.parquet(path)

@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import queries, queries_features, queries_metrics
-    return {**queries.QUERIES, **queries_metrics.QUERIES, **queries_features.QUERIES}
+    from . import queries, queries_features, queries_metrics, queries_models
+    return {**queries.QUERIES, **queries_metrics.QUERIES, **queries_features.QUERIES, **queries_models.QUERIES}

@@ -19,30 +19,24 @@ _TEXT_GLOB = '*.{[lL][oO][gG],[tT][xX][tT]}'
 _CSV_GLOB = '*.[cC][sS][vV]'
 
 
-def _lines_from_content(df: DataFrame, extra_cols=()) -> DataFrame:
-    """binaryFile rows -> one row per stripped, non-blank line.
+def _lines(spark: SparkSession, path, recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """(log_text, source_file): stripped, non-blank lines.
 
-    Each file is decoded as UTF-8 when valid, else as Latin-1 (which accepts any
-    byte, so a third fallback can never be reached).  Universal newlines, as Python's
-    text mode.
+    Files are split over tasks; lines keep their raw bytes until a file's encoding is known:
+    UTF-8 if every line of the file is valid, else Latin-1 (which accepts any byte).
     """
-    raw = F.col('content').cast('string')
-    text = F.when(F.is_valid_utf8(raw), F.decode('content', 'UTF-8')).otherwise(F.decode('content', 'ISO-8859-1'))
-    lines = df.select(*extra_cols, F.explode(F.split(text, '\r\n|\r|\n')).alias('_line'))
-    return lines.select(regex_trim('_line').alias('log_text'), *extra_cols).filter(F.col('log_text') != '')
+    reader = spark.read.option('recursiveFileLookup', recursive)
+    reader = reader.option('pathGlobFilter', glob) if glob else reader
+    raw = reader.text(path).select('value', F.col('_metadata.file_path').alias('_file'))
+    other = raw.filter(~F.is_valid_utf8('value')).select('_file').distinct().withColumn('_latin', F.lit(True))
+    text = F.when(F.col('_latin'), F.decode(F.col('value').cast('binary'), 'ISO-8859-1')).otherwise(F.col('value'))
+    out = raw.join(other, '_file', 'left').select(regex_trim(text).alias('log_text'), F.element_at(F.split('_file', '/'), -1).alias('source_file'))
+    return out.filter(F.col('log_text') != '')
 
 
-def read_text_logs(spark: SparkSession, path: str, splittable: bool = False) -> DataFrame:
-    """One row per non-blank stripped line (A2).
-
-    Default: whole-file decode with a per-file UTF-8 / Latin-1 choice (files must fit in
-    one row, < 2 GB).  ``splittable=True`` reads through the line-based text source
-    instead (UTF-8 only, splits large files across tasks).
-    """
-    if splittable:
-        return (spark.read.text(path).select(regex_trim('value').alias('log_text'))
-                .filter(F.col('log_text') != ''))
-    return _lines_from_content(spark.read.format('binaryFile').load(path))
+def read_text_logs(spark: SparkSession, path: str) -> DataFrame:
+    """One row per non-blank stripped line (A2)."""
+    return _lines(spark, path).select('log_text')
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -83,35 +77,36 @@ def read_log_file(spark: SparkSession, path: str) -> DataFrame:
 def read_log_dir(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
     """All .log/.txt/.csv files of a directory with ``source_file`` = base name (A4).
 
-    Text files are read by one distributed job.  CSV files can each have their own
-    columns, so they are read one by one (the loop is over file names, not rows) and
-    unioned by name; unreadable files are skipped with a warning.
+    Text files are read by one distributed job.  CSV files are read together per distinct
+    header line (formats are few, files may be many), every column as string, and unioned
+    by name; files without a separator in their header count as text.  The header scan
+    keeps one short row per file.
     """
-    def listing(glob):
-        return (spark.read.format('binaryFile').option('recursiveFileLookup', recursive)
-                .option('pathGlobFilter', glob).load(directory))
-
     try:
-        texts = listing(_TEXT_GLOB)
+        listed = (spark.read.format('binaryFile').option('recursiveFileLookup', recursive).load(directory).select('path'))
+        names = listed.filter(F.lower('path').rlike(r'\.(log|txt|csv)$'))
     except AnalysisException as exc:
         if 'PATH_NOT_FOUND' in str(exc) or 'Path does not exist' in str(exc):
             raise FileNotFoundError(directory) from exc
-        texts = None
+        raise
+    kinds = {r.kind: r.n for r in names.groupBy(F.lower(F.substring_index('path', '.', -1)).alias('kind')).agg(F.count(F.lit(1)).alias('n')).collect()}
     parts = []
-    if texts is not None:
-        base = F.element_at(F.split('path', '/'), -1).alias('source_file')
-        parts.append(_lines_from_content(texts.select('content', base), extra_cols=['source_file']))
-    try:
-        csv_paths = [r[0] for r in listing(_CSV_GLOB).select('path').collect()]
-    except AnalysisException:
-        csv_paths = []
-    for p in sorted(csv_paths):
-        try:
-            df = read_csv_logs(spark, p).withColumn('source_file', F.lit(p.rsplit('/', 1)[-1]))
-            df.schema  # forces analysis so broken files are caught here
-            parts.append(df)
-        except Exception as exc:  # noqa: BLE001 - reproduced behaviour: warn and skip
-            warnings.warn(f'skipping {p}: {exc}')
+    if kinds.keys() & {'log', 'txt'}:
+        parts.append(_lines(spark, directory, recursive, _TEXT_GLOB))
+    if 'csv' in kinds:
+        reader = spark.read.option('recursiveFileLookup', recursive).option('pathGlobFilter', _CSV_GLOB)
+        # a file's header is the line that its first block starts with
+        lines = reader.text(directory).select('value', F.col('_metadata.file_path').alias('f'), F.col('_metadata.file_block_start').alias('b'),
+                                              F.monotonically_increasing_id().alias('i'))
+        heads = lines.filter('b = 0').groupBy('f').agg(F.min_by('value', 'i').alias('h')).groupBy('h').agg(F.collect_list('f').alias('files'))
+        for h, files in heads.select('h', 'files').collect():  # one row per format
+            sep = next((x for x in CSV_SEPARATORS if len(h.split(x)) > 1), None)
+            if sep is None:
+                parts.append(_lines(spark, files))
+                continue
+            df = (spark.read.option('header', True).option('sep', sep).option('multiLine', True).option('escape', '"').option('quote', '"')
+                  .csv(files))
+            parts.append(df.withColumn('source_file', F.element_at(F.split(F.col('_metadata.file_path'), '/'), -1)))
     if not parts:
         warnings.warn(f'no log file found in {directory}')
         return spark.createDataFrame([], 'log_text string')
