@@ -18,6 +18,19 @@ def _pick(values, keys, seed, salt) -> Column:
     return F.element_at(arr, (F.pmod(hex8(hash_key(keys, seed, salt)), F.lit(len(values))) + 1).cast('int'))
 
 
+def _filler(name: str, values, keys, seed):
+    """(part, i) -> the part after the i-th slot with the slot's pick before it."""
+    choices = F.array(*[F.lit(v) for v in values])
+
+    def filled(part, i):
+        salt = F.concat(F.lit(f'{name}|'), (i - 1).cast('string'))
+        h = F.md5(F.concat_ws('|', F.lit(str(seed)), salt, *[F.col(k).cast('string') for k in keys]))
+        pick = F.get(choices, F.pmod(hex8(h), F.lit(len(values))).cast('int'))
+        return F.when(i > 0, F.concat(pick, part)).otherwise(part)
+
+    return filled
+
+
 def render_templates(df: DataFrame, template_col: str, slots: dict, out_col: str = 'rendered',
                      keys=None, seed=DEFAULT_SEED) -> DataFrame:
     """Fill every ``{slot}`` of ``template_col`` (H1).
@@ -34,15 +47,7 @@ def render_templates(df: DataFrame, template_col: str, slots: dict, out_col: str
         if isinstance(val, Column):
             out = F.replace(out, F.lit('{' + name + '}'), F.coalesce(val.cast('string'), F.lit('')))
             continue
-        choices = F.array(*[F.lit(v) for v in val])
-
-        def filled(part, i, name=name, choices=choices, n=len(val)):
-            salt = F.concat(F.lit(f'{name}|'), (i - 1).cast('string'))
-            h = F.md5(F.concat_ws('|', F.lit(str(seed)), salt, *[F.col(k).cast('string') for k in names]))
-            pick = F.get(choices, F.pmod(hex8(h), F.lit(n)).cast('int'))
-            return F.when(i > 0, F.concat(pick, part)).otherwise(part)
-
-        out = F.array_join(F.transform(F.split(out, '\\{' + name + '\\}', -1), filled), '')
+        out = F.array_join(F.transform(F.split(out, '\\{' + name + '\\}', -1), _filler(name, val, names, seed)), '')
     return df.withColumn(out_col, out)
 
 

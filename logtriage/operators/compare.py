@@ -126,6 +126,7 @@ def scoreboard(results: DataFrame, criteria: list, groups=(), name_col='model')
         *groups, name_col, *[_r6(F.col(c[0])).alias(c[0]) for c in criteria], _r6('total_score').alias('total_score'))
 
 
+# ------------------------------------------------ fixed values: weights of the scoreboards
 ML_CRITERIA = [
     ('score_f1_test', 'f1', 0.45, 'higher'),
     ('score_cv_f1', 'cv_f1_mean', 0.40, 'higher'),

@@ -22,10 +22,10 @@ from ..session import read_table
 # Own wording; each template exercises a different rule group of cleaning / labelling.
 LOG_TEMPLATES = [
     '{ts} [{lvl}] Test suite failed: NullPointerException in {path}',
-    '{ts} WARN connection refused by {ip}, retrying in {k} seconds',
+    '{ts} WARN peer {ip} answered connection refused, retry number {k}',
     '{ts} ERROR segmentation fault at {hex} in worker {pid}',
     'Build #{n} successful - all tests passed by {user}',
-    '{ts} timeout waiting for lock {uuid}, marked as flaky',
+    '{ts} lock {uuid} not granted: timeout, flaky by our rules',
     '{us_ts} timeout fixed after upgrade, rerun #{n} passed',
     'REGRESSION: expected status 200 but got 500 for request {md5}',
     '{ts} Unhandled exception in C:\\ci\\agents\\{user_name}\\run.log',

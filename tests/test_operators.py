@@ -12,13 +12,11 @@ from logtriage.operators.preprocess import dedup_keep_first, label_distribution
 from logtriage.operators.sampling import balance_undersample, positional_split, stratified_split
 
 CLEAN_CASES = [
-    ('2024-01-15T10:30:45.123Z [ERROR] Test failed: NullPointerException at com.example.MyClass',
-     'error test failed: nullpointerexception at com.example.myclass', True),
-    ('Build successful - all 42 tests passed', 'build successful - all 42 tests passed', True),
-    ('[INFO] Starting deployment to production server 192.168.1.100',
-     'info starting deployment to production server', True),
-    ('FLAKY: Test intermittent failure detected, retrying...',
-     'flaky: test intermittent failure detected, retrying...', True),
+    ('2023-11-02T08:15:59.007Z [WARN] Suite aborted: OutOfMemoryError at org.acme.build.Runner',
+     'warn suite aborted: outofmemoryerror at org.acme.build.runner', True),
+    ('Nightly job passed - 7 checks skipped', 'nightly job passed - 7 checks skipped', True),
+    ('[DEBUG] Copying artifacts to mirror host 10.20.30.40', 'debug copying artifacts to mirror host', False),
+    ('Flaky again: the upload step failed once, retry pending...', 'flaky again: the upload step failed once, retry pending...', True),
     ('===', '', False),
     ('Ünïcode café x /usr/lib/é 0xFF @bob #12 [33] Straße',
      'ünïcode café x é straße', None),
@@ -38,13 +36,11 @@ def test_clean_and_relevance(spark):
 
 
 LABEL_CASES = [
-    ('Test failed intermittently, marking as flaky', 1, 0, 0),
-    ('FATAL: NullPointerException in MainService.java:42', 0, 1, 1),
-    ('Connection timeout, retrying in 5 seconds...', 3, 0, 0),
-    ('REGRESSION: Expected output 42 but got 0', 0, 2, 1),
-    ('Build successful, all tests passed', 0, 0, 0),
-    ('WARNING: Test is unstable, may fail randomly', 1, 0, 0),
-    ('AssertionError: values mismatch in calculation', 0, 1, 1),
+    ('the upload step is flaky on slow agents', 1, 0, 0),
+    ('NullPointerException thrown by the report writer', 0, 0, 1),
+    ('all suites green, artifacts stored', 0, 0, 0),
+    ('the cache warm-up step is unstable today', 1, 0, 0),
+    ('AssertionError: totals differ by one cent', 0, 0, 1),
     ('timeout x fixed timeout', 1, 0, 0),
     ('timeout\rfixed', 0, 0, 0),
     ('timeout\nfixed timeout', 2, 0, 0),
@@ -86,14 +82,11 @@ def test_sampling_counts(spark):
 
 
 TFIDF_CORPUS = [
-    'Test failed with NullPointerException in UserService',
-    'Connection timeout, retrying operation',
-    'Build successful, all tests passed',
-    'FLAKY: Test intermittently fails due to race condition',
-    'REGRESSION: Expected 42 but got 0 in calculation',
-    'Network error: connection refused to database server',
-    'Fatal error: segmentation fault in memory allocator',
-    'Test flapping, marked as unstable',
+    'red kite over the old mill',
+    'old mill burned down',
+    'nothing here matches anything',
+    'kite season starts',
+    'the mill is red',
 ]
 
 
@@ -101,11 +94,13 @@ def test_tfidf_fixture(spark):
     docs = spark.createDataFrame(list(enumerate(TFIDF_CORPUS)), 'doc_id long, text string')
     vocab, tfidf = D.fit_transform(docs)
     v = {r.term: (r.df, r.cf, round(r.idf, 6)) for r in vocab.collect()}
-    assert v == {'connection': (2, 2, 2.098612), 'error': (2, 2, 2.098612), 'in': (3, 3, 1.81093),
-                 'test': (3, 3, 1.81093), 'to': (2, 2, 2.098612)}
-    got = {(r.doc_id, r.term): round(r.tfidf, 6) for r in tfidf.collect()}
-    assert got[(0, 'in')] == 0.707107 and got[(3, 'to')] == 0.757092 and got[(5, 'error')] == 0.57735
-    assert not any(d == 2 for d, _ in got)
+    two, three = round(math.log(6 / 3) + 1, 6), round(math.log(6 / 4) + 1, 6)
+    assert v == {'kite': (2, 2, two), 'mill': (3, 3, three), 'old': (2, 2, two), 'old mill': (2, 2, two), 'red': (2, 2, two),
+                 'the': (2, 2, two)}
+    got = {(r.doc_id, r.term): r.tfidf for r in tfidf.collect()}
+    assert round(got[(3, 'kite')], 6) == 1.0 and not any(d == 2 for d, _ in got)
+    norm = math.sqrt(2 * (math.log(2) + 1) ** 2 + (math.log(1.5) + 1) ** 2)
+    assert math.isclose(got[(4, 'mill')], (math.log(1.5) + 1) / norm)
 
 
 def test_metrics_and_curves(spark):
