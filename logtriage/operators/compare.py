@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: display names of the families
 FAMILY_LABELS = {'ML': 'ML (Boosting)', 'Text': 'Transformers'}
 TABLE_COLS = ['accuracy', 'precision', 'recall', 'f1', 'train_seconds', 'ms_per_row', 'memory_mb']
 

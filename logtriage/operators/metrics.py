@@ -192,10 +192,11 @@ def pr_curve(preds, label='label', score='score', groups=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F9
-def aggregate_runs(runs: DataFrame, metrics, ids=()) -> DataFrame:
-    """mean, population std, min, max and n per metric over runs; nulls ignored."""
-    long = runs.select(*ids, *[F.col(m).cast('double').alias(m) for m in metrics]).unpivot(
-        list(ids), list(metrics), 'metric', 'value')
+def aggregate_runs(runs: DataFrame, metrics) -> DataFrame:
+    """mean, population std, min, max and n per metric over runs; nulls ignored, and a
+    metric without values has no row."""
+    long = runs.select(*[F.col(m).cast('double').alias(m) for m in metrics]).unpivot(
+        [], list(metrics), 'metric', 'value').filter('value is not null')
     v = F.col('value')
     return long.groupBy('metric').agg(_r6(F.avg(v)).alias('mean'), _r6(F.stddev_pop(v)).alias('std'),
                                       _r6(F.min(v)).alias('min'), _r6(F.max(v)).alias('max'),
