@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, text_slices
 
+#: Words remembered per process before all are forgotten.
 REMEMBERED = 400_000
 
 
@@ -44,21 +46,28 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {'': b''}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[p for p in t.replace('\n', ' ').split(' ') if p] for t in texts]
-        fresh = list({p for ps in parts for p in ps} - self.known.keys())
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list({p for ps in parts for p in ps})
-        for lo in range(0, len(fresh), 20_000):
-            some = fresh[lo:lo + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.int32).tobytes()
+        parts = [t.replace('\n', ' ').split(' ') for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {'': b''}
+        fresh = set().union(*parts).difference(self.known)
+        # a word before one mark, in any case: the pre-tokenizer parts them and lowers it
+        marked = [p for p in fresh if p[-1] in '.,' and p[:-1].isalpha() and p.isascii()]
+        self._learn({p[:-1].lower() for p in marked} | fresh.difference(marked) | {'.', ','})
+        for p in marked:
+            self.known[p] = self.known[p[:-1].lower()] + self.known[p[-1]]
         get = self.known.__getitem__
         return [b''.join(map(get, ps)) for ps in parts]
 
+    def _learn(self, some: set[str]) -> None:
+        fresh = list(some.difference(self.known))
+        for lo in range(0, len(fresh), 20_000):
+            part = fresh[lo:lo + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[p] = array('i', e.ids).tobytes()
+
 
 @lru_cache(4)
 def tokenizer(path: str) -> Words:
