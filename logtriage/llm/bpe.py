@@ -17,9 +17,11 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -49,6 +51,12 @@ class Vocabulary:
                 if len(ids) == 2:  # other tokens are never made by merging
                     self.parts[r] = self.joined_as(ids, r)
         self.apart: dict[tuple[int, int], bool] = {}
+        # all tokens that end at a position, the longest first
+        self.endings = ahocorasick.Automaton()
+        for t, r in ranks.items():
+            if len(t) == 1 or r in self.parts:
+                self.endings.add_word(t.decode('latin-1'), (r, len(t)))
+        self.endings.make_automaton()
         flat = b''.join(self.tokens)
         self.bytes = np.frombuffer(flat, np.uint8)
         self.ends = np.cumsum([len(t) for t in self.tokens])
@@ -103,19 +111,32 @@ class PrefixEncoding:
         self.vocabulary, self.data, self.last = vocabulary, b'', [-1]
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):
-            t = v.ranks.get(data[start:end])
-            if t is not None and (end - start == 1 or t in v.parts) and (start == 0 or v.stay_apart(last[start], t)):
-                return t
-        raise ValueError('bytes that no token covers')
+    def _fill(self, at: int) -> Iterator[int]:
+        """Finds the last token of the prefixes longer than ``at``; yields their lengths."""
+        v, last = self.vocabulary, self.last
+        known, apart = v.apart, v.stay_apart
+        lo = max(0, at - v.longest)
+        for end, (t, n) in v.endings.iter(self.data[lo:].decode('latin-1')):
+            end += lo + 1
+            if end <= at or len(last) > end:  # found already
+                continue
+            before = end - n
+            if before:
+                ok = known.get((last[before], t))
+                if ok is None:
+                    ok = apart(last[before], t)
+                if not ok:
+                    continue
+            last.append(t)
+            yield end
 
     def append(self, data: bytes) -> None:
         at = len(self.data)
         self.data += data
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        for _ in self._fill(at):
+            pass
+        if len(self.last) <= len(self.data):
+            raise ValueError('bytes that no token covers')
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` in place of [start, stop); returns how many prefixes were recomputed."""
@@ -123,8 +144,7 @@ class PrefixEncoding:
         self.data = self.data[:start] + data + self.data[stop:]
         self.last = old[:start + 1]
         same = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        for end in self._fill(start):
             # the table before is comparable where the token lies behind the edit
             behind = end - len(self.vocabulary.tokens[self.last[-1]]) >= start + len(data)
             same = same + 1 if behind and self.last[-1] == old[end - shift] else 0
@@ -149,6 +169,7 @@ class Encoder:
             self.vocabulary = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.pattern = regex.compile(pattern)
         self.unsafe = regex.compile(r'\s ')  # a space after white space: not a border
+        self.matches: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -165,14 +186,21 @@ class Encoder:
                 self.new[text] = got
         return got
 
-    def _encoded(self, text: str) -> bytes:
-        ids: list[int] = []
-        v = self.vocabulary
-        for m in self.pattern.findall(text):
-            b = m.encode()
+    def _match(self, text: str) -> bytes:
+        """The ids of one match of the pattern, remembered."""
+        got = self.matches.get(text)
+        if got is None:
+            v, b = self.vocabulary, text.encode()
             whole = v.ranks.get(b)
-            ids += [whole] if whole is not None else PrefixEncoding(v, b).ids()
-        return np.array(ids, np.int32).tobytes()
+            got = array('i', [whole] if whole is not None else PrefixEncoding(v, b).ids()).tobytes()
+            if len(text) <= 64:
+                if len(self.matches) >= REMEMBERED:
+                    self.matches.clear()
+                self.matches[text] = got
+        return got
+
+    def _encoded(self, text: str) -> bytes:
+        return b''.join([self._match(m) for m in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as int32 bytes."""
