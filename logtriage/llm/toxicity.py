@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, keyed, renamed, text_slices, written
+from .common import keyed, renamed, text_slices, written
 from .hashing import U, letter_runs, mix, prefix_sums, range_hashes
 
 FIT_ROWS, FEATURES, GRADES = 8000, 2000, 3
@@ -89,8 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         return none
     chosen = {r.word: r.z for r in best}
     strong = max(3.0, 0.5 * max(chosen.values()))
-    x = (words.join(F.broadcast(words.sparkSession.createDataFrame([(w,) for w in chosen], 'word long')), 'word')
-         .select('doc_id', 'word', 'n').toPandas())  # fit_rows documents, ``features`` words
+    x = words.filter(F.col('word').isin(list(chosen))).select('doc_id', 'word', 'n').toPandas()  # fit_rows documents, ``features`` words
     y = words.select('doc_id', 'toxic').distinct().toPandas().sort_values('doc_id')
     order = np.array(sorted(chosen), np.int64)
     row, col = np.searchsorted(y.doc_id.to_numpy(), x.doc_id.to_numpy()), np.searchsorted(order, x.word.to_numpy())
@@ -135,17 +134,27 @@ def cumulative_link(row, col, value, grade, n_features: int, penalty: float = 2e
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1:]))])
 
 
+def _above(data: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
+    """P(grade > k) of each text, a column for each k."""
+    words, eta = model['words'], np.zeros(len(off) - 1)
+    if len(words):
+        row, h, n = _features(data, off)
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        hit = words[at] == h
+        eta = np.bincount(row[hit], (1 + np.log(n[hit])) * model['weights'][at[hit]], minlength=len(eta))
+    return 1 - _sigmoid(model['thresholds'][None, :] - eta[:, None])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: dict, text: str, reject: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, off in text_slices(batch, text):
+            yield batch.slice(lo, hi - lo).filter(pa.array(_above(data, off, model)[:, 0] <= reject))
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    words, weights, b = model['words'], model['weights'], model['thresholds']
     for batch in batches:
         for lo, hi, data, off in text_slices(batch):
-            eta = np.zeros(hi - lo)
-            if len(words):
-                row, h, n = _features(data, off)
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                hit = words[at] == h
-                eta = np.bincount(row[hit], (1 + np.log(n[hit])) * weights[at[hit]], minlength=hi - lo)
-            above = 1 - _sigmoid(b[None, :] - eta[:, None])  # P(grade > k)
+            above = _above(data, off, model)
             each = np.concatenate([np.ones((hi - lo, 1)), above], 1) - np.concatenate([above, np.zeros((hi - lo, 1))], 1)
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part.column('doc_id'), part.column('th'), pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(above[:, 0])],
@@ -160,6 +169,6 @@ def grade_texts(docs: DataFrame, model: dict, reject: float = REJECT) -> DataFra
 
 def drop_toxic(docs: DataFrame, model: dict, reject: float = REJECT) -> DataFrame:
     """The rows that are not rejected, with their columns."""
-    bad = written(grade_texts(docs, model, reject).filter('toxic').select('doc_id', 'th').distinct(), 'toxic')
-    rows, _, _ = renamed(docs)
-    return by_key(rows, bad, 'left_anti').drop('_id', '_th').toDF(*docs.columns)
+    rows, _, text = renamed(docs)
+    rows = rows.drop('_id', '_th')
+    return rows.mapInArrow(partial(_keep, model=model, text=text, reject=reject), rows.schema).toDF(*docs.columns)
