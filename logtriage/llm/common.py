@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,11 +61,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished work deleted now.  Spark's cleaner does that once the
+    driver has collected the objects that stood for them, which may take long by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get('spark.sql.shuffle.partitions'))
 
 
-def text_slices(batch: pa.RecordBatch, column='text', max_bytes=4 << 20) -> Iterator[tuple]:
+def text_slices(batch: pa.RecordBatch, column='text', max_bytes=2 << 20) -> Iterator[tuple]:
     """Cut an Arrow batch into row ranges of about ``max_bytes`` of text (one row at least).
 
     Yields (lo, hi, data, offsets): the UTF-8 bytes of the rows as one uint8 array and
