@@ -41,6 +41,8 @@ U = np.uint64
 #: Parts beyond k: the more, the more lists a set can leave aside.
 SPARE = 8
 BUCKET_BYTES = 16 << 20
+#: Bits of the map that marks candidate rows.
+MARKS = 1 << 24
 #: Candidates of a query set that are searched together.
 BLOCK = 512
 
@@ -136,8 +138,8 @@ def _lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets:
     """Signatures packed by hash bucket, once per distinct set of a batch."""
     for batch in batches:
         seen: set = set()
-        got = []
-        for _, _, data, off in text_slices(batch):
+        got, size = [], 0
+        for _, hi, data, off in text_slices(batch):
             sets, at = shingle_sets(data, off, width)
             fp = fingerprints(sets, at)
             fresh = np.zeros(len(fp), bool)
@@ -147,23 +149,27 @@ def _lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets:
             for own, need, sig, j in signatures(sets, at, percent):
                 k = fresh[own]
                 got.append((fp[own[k]], j[k], need[k], sig[k]))
-        if not got:
-            continue
-        fp, j, need, sig = (np.concatenate([g[i] for g in got]) for i in range(4))
-        bucket = (sig >> U(40)) % U(buckets)
-        order = np.lexsort((j, fp, bucket))
-        fp, j, need, sig, bucket = fp[order], j[order], need[order], sig[order], bucket[order]
-        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(fp)) if len(fp) else [0]
-        rows = []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            f, c = fp[lo:hi], j[lo:hi]
-            at = np.append(np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (c[1:] != c[:-1]))), hi - lo)
-            rec = at[:-1]
-            rows.append((int(bucket[lo]), f[rec].tobytes(), c[rec].astype(np.int16).tobytes(), need[lo:hi][rec].astype(np.int32).tobytes(),
-                         np.diff(at).astype(np.int32).tobytes(), sig[lo:hi].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary())
-                                              for i, n in enumerate(('bucket', 'fps', 'classes', 'needs', 'per', 'sigs'))})
+            size += len(data)
+            if got and (size >= BUCKET_BYTES or hi == len(batch)):
+                yield from _packed_lists(*(np.concatenate([g[i] for g in got]) for i in range(4)), buckets)
+                got, size = [], 0
+
+
+def _packed_lists(fp, j, need, sig, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = (sig >> U(40)) % U(buckets)
+    order = np.lexsort((j, fp, bucket))
+    fp, j, need, sig, bucket = fp[order], j[order], need[order], sig[order], bucket[order]
+    cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(fp)) if len(fp) else [0]
+    rows = []
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        f, c = fp[lo:hi], j[lo:hi]
+        at = np.append(np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (c[1:] != c[:-1]))), hi - lo)
+        rec = at[:-1]
+        rows.append((int(bucket[lo]), f[rec].tobytes(), c[rec].astype(np.int16).tobytes(), need[lo:hi][rec].astype(np.int32).tobytes(),
+                     np.diff(at).astype(np.int32).tobytes(), sig[lo:hi].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary())
+                                          for i, n in enumerate(('bucket', 'fps', 'classes', 'needs', 'per', 'sigs'))})
 
 
 SHARED = 'fp long, class int, need int, sig long, len long'
@@ -186,12 +192,51 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({'fp': fp[k], 'class': cls[k].astype(np.int32), 'need': need[k], 'sig': sig[k].view(np.int64), 'len': n[k].astype(np.int64)})
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int, marked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows whose bit is marked."""
     for batch in batches:
-        for _, _, data, off in text_slices(batch):
+        batch = batch.filter(pa.array(_is_marked(batch, marked)))
+        for lo, hi, data, off in text_slices(batch):
             sets, at = shingle_sets(data, off, width)
             raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(sets)])
-            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(sets, at)), raw], ['fp', 'elements'])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([part.column('doc_id'), part.column('th'), pa.array(fingerprints(sets, at)), raw],
+                                             ['doc_id', 'th', 'fp', 'elements'])
+
+
+def bit_of(doc_id: str, th: str):
+    return F.pmod(F.xxhash64(doc_id, th), F.lit(MARKS))
+
+
+def marks_of(keys: DataFrame) -> np.ndarray:
+    """A bit map of MARKS bits (whatever the input's size) with the bits of the keys set."""
+    rows = (keys.select(bit_of('doc_id', 'th').alias('bit')).groupBy(F.expr('bit div 64').alias('at'))
+            .agg(F.bit_or(F.expr('shiftleft(1L, cast(bit % 64 as int))')).alias('w')).collect())  # MARKS / 64 rows at most
+    marked = np.zeros(MARKS // 64, U)
+    for r in rows:
+        marked[r['at']] = r.w & 0xFFFFFFFFFFFFFFFF
+    return marked
+
+
+def _is_marked(batch: pa.RecordBatch, marked: np.ndarray) -> np.ndarray:
+    bit = batch.column(batch.schema.get_field_index('bit')).to_numpy()
+    return (marked[bit >> 6] >> (bit & 63).astype(U)) & U(1) == U(1)
+
+
+def _by_mark(batches: Iterator[pa.RecordBatch], marked: np.ndarray, want: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(_is_marked(batch, marked) == want))
+
+
+def candidate_sets(k: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(fp, elements) of the ``nodes`` (doc_id, th), without moving the texts.
+
+    A bit map of MARKS bits (the size does not depend on the input) tells tasks which rows
+    may be nodes; the sets of those rows are joined with the nodes exactly.
+    """
+    marked = marks_of(nodes)
+    sets = k.withColumn('bit', bit_of('doc_id', 'th')).mapInArrow(partial(_sets, width=width, marked=marked), 'doc_id long, th long, fp long, elements binary')
+    return on_key(sets, nodes.select('doc_id', 'th'), 'left_semi').dropDuplicates(['doc_id', 'th']).select('fp', 'elements')
 
 
 def divide_skip(query: np.ndarray, sets: list, percent: int) -> np.ndarray:
@@ -272,9 +317,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = meta.filter('fp <> 0').groupBy('fp').agg(F.min(F.struct(F.col('doc_id').isNull().alias('x'), 'doc_id', 'th')).alias('rep'),
                                                      F.first('n_shingles').alias('n'))
     nodes = written(first.join(kept.select('fp').distinct(), 'fp').select('fp', 'n', 'rep.doc_id', 'rep.th'), 'nodes')
-    reps = nodes.select('doc_id', 'th')
-    texts = on_key(k, reps, 'left_semi')
-    sets = written(texts.dropDuplicates(['doc_id', 'th']).select('text').mapInArrow(partial(_sets, width=width), 'fp long, elements binary'), 'elements')
+    sets = written(candidate_sets(k, nodes, width), 'elements')
     sized = nodes.select('fp', 'n')
 
     def close(p: DataFrame) -> DataFrame:
@@ -320,6 +363,9 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # left out: the other members of a class, and keys of repeated rows, of which one returns
     gone = written(gone.filter('not first or n > 1'), 'copies')
     rows, _, _ = renamed(docs)
-    out = by_key(rows, gone.select('doc_id', 'th'), 'left_anti')
-    one = by_key(rows, gone.filter('first').select('doc_id', 'th'), 'left_semi').dropDuplicates(['_id', '_th'])
-    return out.unionByName(one).drop('_id', '_th').toDF(*docs.columns)
+    rows = rows.withColumn('bit', bit_of('_id', '_th'))
+    marked = marks_of(gone)  # rows without a mark stay where they are; the others are joined
+    stay, rest = (rows.mapInArrow(partial(_by_mark, marked=marked, want=w), rows.schema) for w in (False, True))
+    out = by_key(rest, gone.select('doc_id', 'th'), 'left_anti')
+    one = by_key(rest, gone.filter('first').select('doc_id', 'th'), 'left_semi').dropDuplicates(['_id', '_th'])
+    return stay.unionByName(out).unionByName(one).drop('_id', '_th', 'bit').toDF(*docs.columns)
