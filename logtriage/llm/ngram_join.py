@@ -299,6 +299,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``component_id`` is the least doc_id reachable by links, the row's own included; rows
     without shingles are alone.
     """
+    return rooted_classes(docs, width, percent).drop('root')
+
+
+def rooted_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``jaccard_classes`` plus ``root``, a fingerprint that names the class: unlike
+    ``component_id`` it is never null, and never that of another class with the same id.
+    Rows without shingles have root 0.
+    """
     k = keyed(docs)
     meta = written(k.mapInArrow(partial(_meta, width=width), META), 'sets')
     total = k.agg(F.sum(F.octet_length('text'))).first()[0] or 0
@@ -340,11 +348,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = components(links)
 
     lowest = found.join(nodes.select(F.col('fp').alias('node'), 'doc_id'), 'node').groupBy('root').agg(F.min('doc_id').alias('component_id'))
-    classes = found.join(lowest, 'root').select(F.col('node').alias('fp'), 'component_id')
+    classes = found.join(lowest, 'root').select(F.col('node').alias('fp'), 'component_id', 'root')
     alone = first.select('fp', F.col('rep.doc_id').alias('own'))
-    classes = alone.join(classes, 'fp', 'left').select('fp', F.coalesce('component_id', 'own').alias('component_id'))
+    classes = alone.join(classes, 'fp', 'left').select('fp', F.coalesce('component_id', 'own').alias('component_id'), F.coalesce('root', 'fp').alias('root'))
     out = meta.join(classes, 'fp', 'left')
-    return out.select('doc_id', 'th', 'n_shingles', F.when(F.col('fp') == 0, F.col('doc_id')).otherwise(F.col('component_id')).alias('component_id'))
+    return out.select('doc_id', 'th', 'n_shingles', F.when(F.col('fp') == 0, F.col('doc_id')).otherwise(F.col('component_id')).alias('component_id'),
+                      F.coalesce('root', 'fp').alias('root'))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -353,12 +362,12 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows repeated with one id and text are copies too: one stays.  Rows without shingles
     stay.  Of rows with one id but other texts in one class, the least text hash stays.
     """
-    cls = written(jaccard_classes(docs, width, percent), 'classes')
+    cls = written(rooted_classes(docs, width, percent), 'classes')
     named = cls.filter('n_shingles > 0')
-    best = named.groupBy('component_id').agg(F.min(F.struct(F.col('doc_id').isNull().alias('x'), 'doc_id', 'th')).alias('k'),
-                                             F.count(F.lit(1)).alias('n')).filter('n > 1').select('component_id', 'k')
+    best = named.groupBy('root').agg(F.min(F.struct(F.col('doc_id').isNull().alias('x'), 'doc_id', 'th')).alias('k'),
+                                     F.count(F.lit(1)).alias('n')).filter('n > 1').select('root', 'k')
     first = F.col('doc_id').eqNullSafe(F.col('k.doc_id')) & (F.col('th') == F.col('k.th'))
-    several = named.join(best, named.component_id.eqNullSafe(best.component_id)).select('doc_id', 'th', first.alias('first'))
+    several = named.join(best, 'root').select('doc_id', 'th', first.alias('first'))
     gone = several.groupBy('doc_id', 'th').agg(F.max('first').alias('first'), F.count(F.lit(1)).alias('n'))
     # left out: the other members of a class, and keys of repeated rows, of which one returns
     gone = written(gone.filter('not first or n > 1'), 'copies')

@@ -104,6 +104,18 @@ def test_keep_first(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, rows[0][1]), (9, rows[3][1]), (1, None), (2, ''), (2, '')])
 
 
+def test_keep_first_null_and_reused_ids(spark):
+    """Unlinked rows stay although they share a null id, or an id with a class of copies."""
+    near = ' '.join(f'n{i}' for i in range(60))
+    other = ' '.join(f'o{i}' for i in range(60))
+    rows = [(None, 'first text that nobody copied at all'), (None, 'second one with other words in every place'),
+            (4, 'a lone text under the reused id four'), (4, 'wholly different words stand here instead'),
+            (7, near), (8, near + ' tail'), (7, other), (9, other + ' tail'), (None, near + ' end')]
+    out = Counter((r.doc_id, r.text) for r in J.keep_first(docs_of(spark, rows)).collect())
+    assert out == Counter([*rows[:5], rows[6]])
+    assert got(J.jaccard_classes(docs_of(spark, rows))) == brute(rows, 5, 80)
+
+
 def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, 'a long, b long')).collect()}
