@@ -3,14 +3,17 @@
 P(text) is the product over its words and one end mark of P(class | class before) *
 P(word | class).  The ``top`` most frequent words are put into ``classes`` classes by the
 exchange algorithm on their bigram counts: a word moves to the class that raises the
-likelihood of the class bigrams most, until no pass moves many.  Every other word goes to a
-second copy of the class whose frequent words are spelled most like it (naive Bayes over
-byte pairs).  Class bigrams are smoothed with class unigrams; a class of rare words keeps
-mass for one unknown word, by its number of words seen once.
+likelihood of the class bigrams most, until no pass moves many.  Every other training word
+takes one exchange step against these classes: from the counts of the classes before and
+after it (words outside the ``top`` are one class there) it goes to a second copy of the
+class that raises the likelihood most.  Words unseen in training go to the copy of the class
+whose frequent words are spelled most like them (naive Bayes over byte pairs).  Class
+bigrams are smoothed with class unigrams; a class of rare words keeps mass for one unknown
+word, by its number of words seen once.
 
 All counts cover all training documents.  What is held by the driver or sent to every task
-does not grow with the corpus: ``top`` words, their bigrams, and the class tables.  Counts
-of all words stay in hash buckets: chunks of documents ask the buckets for the counts of
+does not grow with the corpus: ``top`` words, their bigrams, and the class tables.  Counts,
+contexts and classes of all words stay in hash buckets: chunks of documents ask the buckets for the counts of
 their distinct words, and the answers meet the documents again in the chunk.
 
 Edge cases: null text is empty (one token, the end mark); a null ``doc_id`` hashes like an
@@ -202,6 +205,98 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return cls
 
 
+def step_classes(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, size: int, big: np.ndarray) -> np.ndarray:
+    """One exchange step for each of ``size`` words that stand in the last class: the class
+    of the highest gain.
+
+    Entries (word, context, count) are ordered by word; context j < k is the class after the
+    word, k + j the class before.  ``big`` (k x k) holds the class bigrams with the words in
+    the last class.
+    """
+    k = len(big)
+    c = k - 1
+    def f(x):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+    row, col, diag = big.sum(1)[:c], big.sum(0)[:c], np.diag(big)[:c]
+    out = np.zeros(size, np.uint8)
+    for lo in range(0, size, 4000):
+        hi = min(lo + 4000, size)
+        a, b = np.searchsorted(word, [lo, hi])
+        w, x, m = word[a:b] - lo, ctx[a:b].astype(np.int64), n[a:b].astype(np.int64)
+        d = np.zeros((hi - lo, 2 * k))
+        d[w, x] = m
+        r, l = d[:, :k], d[:, k:]
+        gain = np.zeros((hi - lo, c))
+        core = x % k < c
+        if core.any():  # the same few (context, count) return in most words
+            w, x, m = w[core], x[core], m[core]
+            kinds, back = np.unique(m * (2 * k) + x, return_inverse=True)
+            j, m = kinds % (2 * k), (kinds // (2 * k))[:, None]
+            cells = np.where((j < k)[:, None], big[:c, j % k].T, big[j % k, :c])
+            at = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[at]] = np.add.reduceat((f(cells + m) - f(cells))[back], at, axis=0)
+        # the word's own bigrams leave the cells of the last class
+        rest = big[:c, c] - l[:, :c]
+        gain += f(rest + r[:, c:]) - f(rest)
+        rest = big[c, :c] - r[:, :c]
+        gain += f(rest + l[:, c:]) - f(rest)
+        gain += f(diag + r[:, :c] + l[:, :c]) - f(diag + r[:, :c]) - f(diag + l[:, :c]) + f(diag)
+        gain -= f(row + r.sum(1)[:, None]) - f(row) + f(col + l.sum(1)[:, None]) - f(col)
+        out[lo:hi] = gain.argmax(1)
+    return out
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], model: dict, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of (word, class after it or k + class before it) of the words outside the top,
+    packed by bucket."""
+    tops, k = model['words'], model['classes'] + 1
+    for batch in batches:
+        got = []
+        for _, _, data, off in text_slices(batch):
+            h, _, _, first = tokens_of(data, off)
+            cls = np.full(len(h), k - 1)
+            if len(tops):
+                at = np.minimum(np.searchsorted(tops, h), len(tops) - 1)
+                is_top = tops[at] == h
+                cls[is_top] = model['class'][at[is_top]]
+            else:
+                is_top = np.zeros(len(h), bool)
+            i = np.flatnonzero(~is_top & (h != END))  # an end mark follows every word
+            begin = np.zeros(len(h), bool)
+            begin[first[:-1]] = True
+            j = i[~begin[i]]
+            got.append((np.concatenate([h[i], h[j]]), np.concatenate([cls[i + 1], k + cls[j - 1]])))
+        if not got:
+            continue
+        h, x = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        order = np.lexsort((x, h))
+        h, x = h[order], x[order]
+        start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]))) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(h)))
+        h, x = h[start], x[start]
+        order, b, cut = _by_bucket(h, buckets)
+        h, x, n = h[order], x[order], n[order]
+        rows = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            at = np.flatnonzero(np.append(True, h[lo + 1:hi] != h[lo:hi - 1]))
+            rows.append((int(b[lo]), h[lo:hi][at].tobytes(), np.diff(np.append(at, hi - lo)).astype(np.uint8).tobytes(),
+                         x[lo:hi].astype(np.uint8).tobytes(), n[lo:hi].astype(np.uint32).tobytes()))
+        if rows:
+            yield _binary_rows(['bucket', 'words', 'per', 'contexts', 'counts'], rows)
+
+
+def _assign(seen: pa.Table, counts: pa.Table, big: np.ndarray) -> pa.Table:
+    """A bucket's words and counts with the class of each by its contexts."""
+    words, width = _cat(counts.column('words'), U), 2 * len(big)
+    own = np.repeat(_cat(seen.column('words'), U), _cat(seen.column('per'), np.uint8))
+    key = np.searchsorted(words, own) * width + _cat(seen.column('contexts'), np.uint8)
+    key, n = _added(key, _cat(seen.column('counts'), np.uint32).astype(np.int64))
+    kinds = step_classes(key // width, key % width, n, len(words), big)
+    return pa.table({'bucket': counts.column('bucket'), 'words': counts.column('words'), 'counts': counts.column('counts'),
+                     'kinds': pa.array([kinds.tobytes()], pa.binary())})
+
+
 def byte_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Features of words: adjacent byte pairs, the borders being 0 (A-Z as a-z); and offsets."""
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64)
@@ -224,14 +319,16 @@ def spelling_model(spellings: list[bytes], cls: np.ndarray, classes: int) -> np.
     return np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def word_classes(h: np.ndarray, data, starts, ends, model: dict) -> np.ndarray:
-    """Class of each (distinct) word: learned for the top words, by spelling for others."""
+def word_classes(h: np.ndarray, data, starts, ends, model: dict, seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Class of each (distinct) word: learned for the top words, ``kinds`` for other words
+    ``seen`` in training, by spelling for the rest."""
     c = model['classes']
     at = np.minimum(np.searchsorted(model['words'], h), len(model['words']) - 1)
     top = model['words'][at] == h if len(model['words']) else np.zeros(len(h), bool)
     out = np.empty(len(h), np.int64)
     out[top] = model['class'][at[top]]
-    rest = np.flatnonzero(~top)
+    out[seen & ~top] = c + kinds[seen & ~top]
+    rest = np.flatnonzero(~top & ~seen)
     for lo in range(0, len(rest), 50_000):
         some = rest[lo:lo + 50_000]
         x, first = byte_pairs(data, starts[some], ends[some])
@@ -251,15 +348,15 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    h, c = (_cat(counts.column(n), k) for n, k in (('words', U), ('counts', np.int64)))
+    h, c, x = (_cat(counts.column(n), k) for n, k in (('words', U), ('counts', np.int64), ('kinds', np.uint8)))
     out = []
     for chunk, w in zip(asked.column('chunk').to_pylist(), asked.column('words'), strict=True):
         own = np.frombuffer(w.as_buffer(), U)
         at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
         n = np.where(h[at] == own, c[at], 0) if len(h) else np.zeros(len(own), np.int64)
-        out.append((chunk, own.tobytes(), n.tobytes()))
-    return pa.Table.from_batches([_binary_rows(['chunk', 'words', 'counts'], out)]) if out else pa.table(
-        {'chunk': pa.array([], pa.int32()), 'words': pa.array([], pa.binary()), 'counts': pa.array([], pa.binary())})
+        out.append((chunk, own.tobytes(), n.tobytes(), (x[at] if len(h) else np.zeros(len(own), np.uint8)).tobytes()))
+    return pa.Table.from_batches([_binary_rows(['chunk', 'words', 'counts', 'kinds'], out)]) if out else pa.table(
+        {'chunk': pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ('words', 'counts', 'kinds')}})
 
 
 STATS = ('doc_id long, th long, held_out boolean, n_tokens long, n_known long, log_counts double, log_plus double, '
@@ -270,18 +367,18 @@ def _stats(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     """Per document: class bigram counts (cells of a square table, 2 * classes + 2 wide),
     unknown words and words seen once by class, and sums of log10 of the word counts."""
     k = 2 * model['classes'] + 2
-    h, c = _cat(answers.column('words'), U), _cat(answers.column('counts'), np.int64)
+    h, c, x = (_cat(answers.column(n), kind) for n, kind in (('words', U), ('counts', np.int64), ('kinds', np.uint8)))
     order = np.argsort(h)
-    h, c = h[order], c[order]
+    h, c, kinds = h[order], c[order], x[order]
     logs, plus = np.log10(np.maximum(c, 1)), np.log10(c + 1)
     cols: dict[str, list] = {n.split()[0]: [] for n in STATS.split(', ')}
     for batch in docs.to_batches():
         for lo, hi, data, off in text_slices(batch):
             w, s, e, first = tokens_of(data, off)
             own, at, back = np.unique(w, return_index=True, return_inverse=True)
-            cls_own = word_classes(own, data, s[at], e[at], model)
-            cls = cls_own[back]
-            i = np.searchsorted(h, own)[back]
+            i = np.searchsorted(h, own)
+            cls = word_classes(own, data, s[at], e[at], model, c[i] > 0, kinds[i])[back]
+            i = i[back]
             n = c[i]
             size = np.diff(first)
             before = np.append(k - 1, cls[:-1])
@@ -306,8 +403,8 @@ def _stats(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
                     f = flag[first[d]:first[d + 1]]
                     cols[name].append(np.unique(cls[first[d]:first[d + 1]][f], return_counts=True)[0].astype(np.uint8).tobytes()
                                       + np.unique(cls[first[d]:first[d + 1]][f], return_counts=True)[1].astype(np.uint32).tobytes() if f.any() else b'')
-    kinds = {'long': pa.int64(), 'boolean': pa.bool_(), 'double': pa.float64(), 'binary': pa.binary()}
-    return pa.table({n: pa.array(cols[n], kinds[t]) for n, t in (x.split() for x in STATS.split(', '))})
+    types = {'long': pa.int64(), 'boolean': pa.bool_(), 'double': pa.float64(), 'binary': pa.binary()}
+    return pa.table({n: pa.array(cols[n], types[t]) for n, t in (x.split() for x in STATS.split(', '))})
 
 
 def _by_class(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -385,14 +482,17 @@ def score_texts(docs: DataFrame, held_out, top: int = TOP, classes: int = CLASSE
             .orderBy(F.desc('n'), 'word').limit(top).collect())
     tops = np.array([r.word for r in best if r.word != END.view(np.int64)], np.int64).view(U)
     model = {'classes': classes, 'words': tops, 'class': np.zeros(0, np.int64), 'spelling': np.zeros((FEATURES, classes), np.float32)}
+    big = np.zeros((classes + 1, classes + 1))
     if len(tops):
-        model |= _learned(train, tops, classes)
+        learned, big = _learned(train, tops, classes)
+        model |= learned
+    kinds = written(_kinds(train, counts, model, big, buckets), 'kinds')
 
     t = flags.withColumn('chunk', F.pmod(F.xxhash64('doc_id', 'th'), F.lit(chunks)).cast('int'))
     own = t.groupBy('chunk')
     asked = own.applyInArrow(lambda x: _ask(x, buckets), 'bucket int, chunk int, words binary')
-    answers = asked.groupBy('bucket').cogroup(counts.select('bucket', 'words', 'counts').groupBy('bucket')).applyInArrow(
-        _answer, 'chunk int, words binary, counts binary')
+    answers = asked.groupBy('bucket').cogroup(kinds.groupBy('bucket')).applyInArrow(
+        _answer, 'chunk int, words binary, counts binary, kinds binary')
     stats = written(own.cogroup(answers.groupBy('chunk')).applyInArrow(lambda x, y: _stats(x, y, model), STATS), 'lm-stats')
 
     width = 2 * classes + 2
@@ -404,8 +504,16 @@ def score_texts(docs: DataFrame, held_out, top: int = TOP, classes: int = CLASSE
     return stats.mapInArrow(partial(_score, step=step, known=known, gap=gap, n=int(n), v=int(v)), SCORES)
 
 
-def _learned(train: DataFrame, tops: np.ndarray, classes: int) -> dict:
-    """Classes and spelling model of the top words, from their bigrams in all training rows."""
+def _kinds(train: DataFrame, counts: DataFrame, model: dict, big: np.ndarray, buckets: int) -> DataFrame:
+    """The buckets of ``counts`` with the class of each word by its contexts in all training rows."""
+    seen = train.mapInArrow(partial(_contexts, model=model, buckets=buckets), 'bucket int, words binary, per binary, contexts binary, counts binary')
+    return seen.groupBy('bucket').cogroup(counts.select('bucket', 'words', 'counts').groupBy('bucket')).applyInArrow(
+        lambda x, y: _assign(x, y, big), 'bucket int, words binary, counts binary, kinds binary')
+
+
+def _learned(train: DataFrame, tops: np.ndarray, classes: int) -> tuple[dict, np.ndarray]:
+    """Classes and spelling model of the top words, from their bigrams in all training rows;
+    and the bigrams of the classes, other words being the last one."""
     size = len(tops) + 1
     pairs = np.zeros(size * size)
     spelling = [b''] * len(tops)
@@ -413,6 +521,9 @@ def _learned(train: DataFrame, tops: np.ndarray, classes: int) -> dict:
         pairs[np.frombuffer(r.cells, np.int64)] = np.frombuffer(r.counts, np.int64)
         for i, s in zip(np.frombuffer(r.words, np.int64).tolist(), bytes(r.spelling).split(b' '), strict=False):
             spelling[i] = s
-    cls = exchange(pairs.reshape(size, size), classes)[:-1]
-    order = np.argsort(tops)
-    return {'words': tops[order], 'class': cls[order], 'spelling': spelling_model(spelling, cls, classes)}
+    cls = exchange(pairs.reshape(size, size), classes)
+    one = np.zeros((size, classes + 1))
+    one[np.arange(size), cls] = 1
+    big = one.T @ pairs.reshape(size, size) @ one
+    cls, order = cls[:-1], np.argsort(tops)
+    return {'words': tops[order], 'class': cls[order], 'spelling': spelling_model(spelling, cls, classes)}, big

@@ -148,6 +148,47 @@ def test_exchange_separates_classes():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and cls[0] != cls[10]
 
 
+def test_step_takes_the_class_of_best_likelihood():
+    rng = np.random.default_rng(4)
+    x = lambda a: np.where(a > 0, a * np.log(np.maximum(a, 1e-300)), 0).sum()
+    k, size = 5, 40
+    seen = rng.poisson(1.5, (size, 2 * k)) * rng.integers(0, 2, (size, 2 * k))
+    big = rng.poisson(30, (k, k)).astype(float)
+    big[k - 1] += seen[:, :k].sum(0)
+    big[:, k - 1] += seen[:, k:].sum(0)
+    w, j = np.nonzero(seen)
+    got = class_lm.step_classes(w, j, seen[w, j], size, big)
+    for i in range(size):
+        r, l = seen[i, :k], seen[i, k:]
+        best = []
+        for c in range(k - 1):
+            b = big.copy()
+            b[k - 1] -= r
+            b[:, k - 1] -= l
+            b[c] += r
+            b[:, c] += l
+            row, col = big.sum(1), big.sum(0)
+            row[[k - 1, c]] += -r.sum(), r.sum()
+            col[[k - 1, c]] += -l.sum(), l.sum()
+            best.append(x(b) - x(row) - x(col))
+        assert best[got[i]] >= max(best) - 1e-9
+
+
+def test_words_outside_the_top_are_classed_by_their_neighbours(spark):
+    """The spelling of rare nouns and rare verbs tells nothing."""
+    rng = random.Random(6)
+    nouns, verbs = [f'n{i}' for i in range(10)], [f'v{i}' for i in range(10)]
+    rare = rng.sample([f'x{i}' for i in range(100, 340)], 240)
+    rare_nouns, rare_verbs = rare[:120], rare[120:]
+    pick = lambda often, rare: rng.choice(rare if rng.random() < 0.5 else often)
+    rows = [(i, ' '.join(pick(nouns, rare_nouns) + ' ' + pick(verbs, rare_verbs) for _ in range(40))) for i in range(250)]
+    out = class_lm.score_texts(spark.createDataFrame(rows, 'doc_id long, text string'), F.col('doc_id') % 5 == 0, top=21, classes=2).collect()
+    check_lm(rows, out, lambda i: i % 5 == 0)
+    held = [r for r in out if r.held_out]
+    # the order of nouns and verbs, rare ones too, is worth a factor of two per word
+    assert sum(r.score - r.base_score for r in held) > 0.25 * sum(r.n_tokens for r in held)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     table = rng.integers(0, 9, (10, 10)).astype(float)
