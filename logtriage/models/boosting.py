@@ -31,8 +31,8 @@ PRESETS = {
     'gb': {'maxIter': 100, 'maxDepth': 6, 'stepSize': 0.1, 'subsamplingRate': 0.8},
     'gb_benchmark': {'maxIter': 20, 'maxDepth': 1, 'stepSize': 0.8, 'subsamplingRate': 0.3, 'minInstancesPerNode': 30},
 }
-GRID = {'maxIter': [50, 100, 200], 'maxDepth': [3, 6, 9], 'stepSize': [0.01, 0.1, 0.3]}
-ADABOOST_GRID = {'rounds': [25, 50, 100, 200], 'rate': [0.1, 0.5, 1.0]}
+GRID = {'maxIter': [50, 100, 200], 'maxDepth': [3, 6, 9], 'stepSize': [0.01, 0.1, 0.2]}
+ADABOOST_GRID = {'rounds': [50, 100, 200], 'rate': [0.01, 0.1, 0.5, 1.0]}
 # ----------------------------------------------------------------------------------
 
 

@@ -109,13 +109,13 @@ def _lines(spark, sf):
 
 
 def _fit(d, **options):
-    return B.fit_boosted(d, _COLS, 'gb_benchmark', **{'maxIter': 5, **options})
+    return B.fit_boosted(d, _COLS, 'gb_benchmark', **options)
 
 
 @register('e1_boosted_trees_regularised')
 def q_boosted(spark, sf):
     train, test = _lines(spark, sf)
-    return B.evaluate_on(B.fit_boosted(train, _COLS, 'xgb', maxIter=10, maxDepth=4), test)
+    return B.evaluate_on(B.fit_boosted(train, _COLS, 'xgb'), test)
 
 
 @register('e2_boosted_trees_plain')
@@ -127,13 +127,13 @@ def q_plain(spark, sf):
 @register('e3_adaboost')
 def q_adaboost(spark, sf):
     train, test = _lines(spark, sf)
-    return B.evaluate_on(B.fit_adaboost(train, _COLS, rounds=5, rate=1.0, depth=1), test)
+    return B.evaluate_on(B.fit_adaboost(train, _COLS, rounds=25, rate=2.0, depth=1), test)
 
 
 @register('e4_adaboost_real')
 def q_adaboost_real(spark, sf):
     train, test = _lines(spark, sf)
-    return B.evaluate_on(B.fit_adaboost(train, _COLS, rounds=3, depth=2, algorithm='SAMME.R'), test)
+    return B.evaluate_on(B.fit_adaboost(train, _COLS, rounds=100, rate=0.1, depth=3, algorithm='SAMME.R'), test)
 
 
 @register('e5_predict_proba')
@@ -151,7 +151,7 @@ def q_evaluate_on(spark, sf):
 @register('e7_early_stopping')
 def q_early(spark, sf):
     train, test = _lines(spark, sf)
-    return B.training_stats(_fit(train, val=test, maxIter=20))
+    return B.training_stats(_fit(train, val=test))
 
 
 @register('e8_folds', f"""
@@ -164,12 +164,22 @@ def q_folds(spark, sf):
 
 @register('e8_cross_validate')
 def q_cv(spark, sf):
-    return B.cross_validate(_lines(spark, sf)[0], _COLS, _fit, ['l_orderkey', 'l_linenumber'], k=3)
+    return B.cross_validate(_lines(spark, sf)[0], _COLS, _fit, ['l_orderkey', 'l_linenumber'], k=5)
 
 
 @register('e9_grid_search')
 def q_grid(spark, sf):
-    table, _ = B.grid_search(_lines(spark, sf)[0], _COLS, _fit, {'maxIter': [2], 'maxDepth': [1, 2]}, ['l_orderkey', 'l_linenumber'], k=2)
+    def fit(d, **point):
+        return B.fit_boosted(d, _COLS, 'xgb', **point)
+    table, _ = B.grid_search(_lines(spark, sf)[0], _COLS, fit, B.GRID, ['l_orderkey', 'l_linenumber'], k=3)
+    return table
+
+
+@register('e9_grid_search_adaboost')
+def q_grid_adaboost(spark, sf):
+    def fit(d, **point):
+        return B.fit_adaboost(d, _COLS, depth=3, algorithm='SAMME.R', **point)
+    table, _ = B.grid_search(_lines(spark, sf)[0], _COLS, fit, B.ADABOOST_GRID, ['l_orderkey', 'l_linenumber'], k=3)
     return table
 
 
@@ -203,7 +213,7 @@ def q_save_load(spark, sf):
 @register('e14_text_classifier')
 def q_text(spark, sf):
     docs = _docs(spark, sf).join(read_table(spark, sf, 'labels').select('doc_id', F.col('quality').alias('label')), 'doc_id')
-    model, _ = T.fit_text(docs, max_features=2000, rounds=10)
+    model, _ = T.fit_text(docs)
     return T.score_text(model, docs).drop('text')
 
 
