@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
-from . import bpe, class_lm, ngram_join, packing, quality_mil, quality_rules, secrets, suffix_dedup, topk, toxicity
+from ..session import read_table, scratch_path
+from . import bpe, class_lm, merkle, ngram_join, oracles, packing, quality_mil, quality_rules, secrets, spelling, suffix_dedup, topk, toxicity, warc
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +67,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, 'documents'), read_table(spark, sf_dir, 'labels'))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op4_quality_mil, op5_toxicity, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules)}
-TOPK_SQL = '''
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-  where embedding is not null and len(embedding) > 0 and vec_id is not null
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
-select query_id, rank::int as rank, vec_id, score from r where rank <= 5
-'''
-ORACLES: dict[str, str] = {'op7_topk_products': TOPK_SQL}
+def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(read_table(spark, sf_dir, 'pages'), scratch_path(spark, 'llm-warc'))
+    return warc.resolved(warc.read_payloads(spark, path))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, 'documents'))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {'n_chars': F.col('n_chars').cast('decimal(20,0)') + 1}
+    when = F.col('doc_id').isNotNull() & (_id_crc(7) == 0)
+    return merkle.manifest(read_table(spark, sf_dir, 'documents'), 'lang', 'doc_id', ['doc_id', 'source', 'lang', 'n_chars', 'text'], changed, when)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_ngram_join, op4_quality_mil, op5_toxicity, op6_byte_bpe, op7_topk_products, op8_class_lm, op9_secret_scan, op10_quality_rules,
+                                          op11_warc_segments, op12_spelling_variants, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {'op7_topk_products': oracles.TOPK_SQL, 'op11_warc_segments': oracles.WARC_SQL, 'op12_spelling_variants': oracles.SPELLING_SQL,
+                           'op13_merkle_manifest': oracles.MERKLE_SQL}
