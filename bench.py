@@ -16,7 +16,7 @@ from logtriage.session import local_session  # noqa: E402
 
 HEADLINE = ['c4_label_distribution', 'b5_label_logs', 'c1_preprocess_logs', 'c9_stratified_split',
             'd5_fit_vocabulary', 'd6_tfidf_transform', 'f7_roc_curve', 'f11_evaluate_flat',
-            'g7_scoreboard_ml']
+            'g7_scoreboard_ml', 'e2_boosted_trees_plain', 'e3_adaboost']
 
 
 def main():

@@ -1,7 +1,8 @@
 """Boosted trees, AdaBoost, scoring, folds, grids, reports.
 
-A fitted model is a ``Boosted`` or ``AdaBoost``: an object with ``transform`` (adds
-``probability``, ``prediction``), saved and loaded through Spark ML's writers.
+A fitted model is an ``Ensemble``: the trees as a table of nodes with thresholds in the units
+of the features, small enough for the driver (rounds x 2**depth).  Rows are scored by arrays
+in one UDF over the feature columns, or by joins with that table (``margins_by_join``).
 """
 
 from __future__ import annotations
@@ -10,182 +11,196 @@ import itertools
 import json
 import math
 import time
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import binary_metrics
 from ..operators.sampling import hash_rank, hash_uniform
 from ..session import written
+from . import trees as T
+from .trees import Spec, Tree
 
 # ------------------------------------------------------------ fixed values: presets
-#: Library and benchmark settings.  colsample is per node here (featureSubsetStrategy);
-#: alpha and lambda have no counterpart in Spark's trees.
+#: Library and benchmark settings.
 PRESETS = {
-    'xgb': {'maxIter': 100, 'maxDepth': 6, 'stepSize': 0.1, 'subsamplingRate': 0.8, 'featureSubsetStrategy': '0.8'},
-    'xgb_benchmark': {'maxIter': 200, 'maxDepth': 4, 'stepSize': 0.05, 'subsamplingRate': 0.9, 'featureSubsetStrategy': '0.9',
-                      'minInstancesPerNode': 1, 'minInfoGain': 0.01},
-    'gb': {'maxIter': 100, 'maxDepth': 6, 'stepSize': 0.1, 'subsamplingRate': 0.8},
-    'gb_benchmark': {'maxIter': 20, 'maxDepth': 1, 'stepSize': 0.8, 'subsamplingRate': 0.3, 'minInstancesPerNode': 30},
+    'xgb': Spec(rounds=100, depth=6, rate=0.1, subsample=0.8, colsample=0.8, reg_lambda=1.0, min_hessian=1.0),
+    'xgb_benchmark': Spec(rounds=200, depth=4, rate=0.05, subsample=0.9, colsample=0.9, reg_alpha=0.05, reg_lambda=1.0, min_hessian=1.0, gamma=0.01),
+    'gb': Spec(rounds=100, depth=6, rate=0.1, subsample=0.8, plain=True, patience=10, tol=1e-4),
+    'gb_benchmark': Spec(rounds=20, depth=1, rate=0.8, subsample=0.3, plain=True, min_split=50, min_rows=30),
+    'ada': Spec(rounds=100, depth=3, rate=0.1, kind='samme.r'),
+    'ada_benchmark': Spec(rounds=25, depth=1, rate=2.0, kind='samme'),
 }
-GRID = {'maxIter': [50, 100, 200], 'maxDepth': [3, 6, 9], 'stepSize': [0.01, 0.1, 0.2]}
+#: Share of the rows set aside by a preset, and rounds without gain after which a fit with a
+#: validation table ends.
+VALIDATION = {'gb': 0.1}
+PATIENCE = 10
+GRID = {'rounds': [50, 100, 200], 'depth': [3, 6, 9], 'rate': [0.01, 0.1, 0.2]}
 ADABOOST_GRID = {'rounds': [50, 100, 200], 'rate': [0.01, 0.1, 0.5, 1.0]}
 # ----------------------------------------------------------------------------------
-
-
-def vectors(df: DataFrame, feature_cols, label_col='label') -> DataFrame:
-    """``df`` with a vector column ``features`` and a double ``label``."""
-    return df.withColumns({'features': array_to_vector(F.array(*[F.col(c).cast('double') for c in feature_cols])),
-                           'label': F.col(label_col).cast('double')})
+NODES = 'round int, node int, feature string, cut int, threshold double, value double, gain double, rows double, alpha double'
 
 
 @dataclass
-class Boosted:
-    model: GBTClassificationModel
-    names: list
+class Ensemble:
+    """Rows of class 1 have a positive margin ``base`` + sum of the trees' values."""
+    names: list[str]
+    edges: list[list[float]]
+    kind: str
+    base: float
+    trees: list[Tree]
+    alphas: list[float]
     stats: dict = field(default_factory=dict)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+    def codes(self, columns: list[np.ndarray]) -> np.ndarray:
+        return np.stack([np.where(np.isnan(x), 0, np.searchsorted(e, x, 'left') + 1) for x, e in zip(columns, self.edges, strict=True)]) if columns else np.zeros((0, 0), int)
+
+    def margin(self) -> Column:
+        trees, codes, base = self.trees, self.codes, self.base
+
+        @F.pandas_udf('double')
+        def margin(*columns: pd.Series) -> pd.Series:
+            return pd.Series(base + T.scored(trees, codes([c.to_numpy(float) for c in columns])))
+        return margin(*[F.col(c).cast('double') for c in self.names])
+
+    def probability(self, margin: Column) -> Column:
+        """Of class 1."""
+        if self.kind == 'logistic':
+            return 1 / (1 + F.exp(-margin))
+        return 1 / (1 + F.exp(-2 * margin / F.lit(sum(map(abs, self.alphas)) or 1.0)))
+
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The node table: children of node i are 2i (missing values and those up to
+        ``threshold``) and 2i + 1; ``feature`` is null at leaves."""
+        rows = []
+        for r, (t, a) in enumerate(zip(self.trees, self.alphas, strict=True), 1):
+            stack = [1]
+            while stack:
+                i = stack.pop()
+                f, cut = int(t.feature[i]), int(t.cut[i])
+                if f >= 0:
+                    stack += [2 * i, 2 * i + 1]
+                rows.append((r, i, self.names[f] if f >= 0 else None, cut if f >= 0 else None, float(self.edges[f][cut - 1]) if f >= 0 and cut else None,
+                             float(t.value[i]), float(t.gain[i]), float(t.rows[i]), float(a)))
+        return spark.createDataFrame(rows, NODES)
 
     def save(self, path: str) -> str:
-        self.model.write().overwrite().save(f'{path}/model')
-        _write_text(self.model_session(), f'{path}/about', {'kind': 'boosted', 'names': self.names, 'stats': self.stats})
+        """The node table and a text file about it."""
+        spark = SparkSession.getActiveSession()
+        self.nodes(spark).coalesce(1).write.mode('overwrite').parquet(f'{path}/nodes')
+        depth = max((len(t.feature).bit_length() - 2 for t in self.trees), default=0)
+        about = {'names': self.names, 'edges': self.edges, 'kind': self.kind, 'base': self.base, 'depth': depth, 'rounds': len(self.trees), 'stats': self.stats}
+        spark.createDataFrame([(json.dumps(about),)], 'value string').coalesce(1).write.mode('overwrite').text(f'{path}/about')
         return path
 
-    @staticmethod
-    def model_session() -> SparkSession:
-        return SparkSession.getActiveSession()
-
 
-def _write_text(spark, path: str, about: dict) -> None:
-    spark.createDataFrame([(json.dumps(about),)], 'value string').coalesce(1).write.mode('overwrite').text(path)
-
-
-def load(spark: SparkSession, path: str):
-    """A saved model."""
+def load(spark: SparkSession, path: str) -> Ensemble:
+    """A saved model."""
     about = json.loads(spark.read.text(f'{path}/about').first()[0])
-    if about['kind'] == 'boosted':
-        return Boosted(GBTClassificationModel.load(f'{path}/model'), about['names'], about['stats'])
-    trees = [DecisionTreeClassificationModel.load(f'{path}/tree-{i}') for i in range(len(about['alphas']))]
-    return AdaBoost(trees, about['alphas'], about['names'], about['stats'], about['real'])
-
-
-def fit_boosted(df: DataFrame, feature_cols, preset: str = 'xgb', val: DataFrame | None = None, label_col='label',
-                keys=None, validation: float = 0.0, seed: int = 42, **options) -> Boosted:
-    """E1/E2/E7.  ``val`` (or a share ``validation`` of the rows, drawn by hash of ``keys``)
-    stops the boosting: Spark stops when the error falls by less than ``validationTol``,
-    while the reproduced rule waits a number of rounds."""
-    data = vectors(df, feature_cols, label_col).select('features', 'label', *(keys or []))
-    params = {**PRESETS[preset], **options}
+    size = 2 << about['depth']
+    trees = [Tree(np.full(size, -1, np.int16), np.zeros(size, np.int32), np.zeros(size), np.zeros(size), np.zeros(size)) for _ in range(about['rounds'])]
+    alphas = [0.0] * about['rounds']
+    for r in spark.read.parquet(f'{path}/nodes').collect():  # the model: rounds x 2**depth rows at most
+        t = trees[r['round'] - 1]
+        t.feature[r.node] = about['names'].index(r.feature) if r.feature is not None else -1
+        t.cut[r.node], t.value[r.node], t.gain[r.node], t.rows[r.node] = r.cut or 0, r.value, r.gain, r.rows
+        alphas[r['round'] - 1] = r.alpha
+    return Ensemble(about['names'], about['edges'], about['kind'], about['base'], trees, alphas, about['stats'])
+
+
+# ---------------------------------------------------------------- fitting
+def _ensemble(fit: T.Fit, names, edges, seconds: float, wrote: int) -> Ensemble:
+    keep = fit.best_round
+    stats = {'seconds': seconds, 'n_rows': int(fit.positives + fit.negatives), 'n_features': len(names), 'rounds': len(fit.trees), 'best_round': keep,
+             'written': wrote, 'curve': fit.curve, 'deviance': [2 * c['train_loss'] / c['train_rows'] for c in fit.curve]}
+    return Ensemble(list(names), edges, fit.spec.kind, fit.base, fit.trees[:keep], fit.alphas[:keep], stats)
+
+
+def _grow(data: DataFrame, edges, specs: list[tuple[Spec, int | None]], by: str | None) -> tuple[list[T.Fit], int]:
+    """Grow the fits by 'rows', by 'fit', or (None) by fit where the binned table is small."""
+    shape = len(edges), max(len(e) for e in edges) + 2
+    fits, rows = T.new_fits(data, shape, specs)
+    if by == 'fit' and rows > T.ROWS_PER_FIT:
+        raise ValueError(f'{rows} binned rows are too many for one task')
+    if by == 'fit' or (by is None and rows <= T.ROWS_PER_FIT):
+        T.grow_by_fit(data, fits)
+        return fits, 0
+    return fits, T.grow_by_rows(data, fits)
+
+
+def fit_spec(df: DataFrame, feature_cols, spec: Spec, val: DataFrame | None = None, label_col='label', keys=None, validation: float = 0.0,
+             bins: int = T.BINS, by: str | None = None) -> Ensemble:
+    """A model by ``spec``.  With ``val``, or a share ``validation`` of the rows drawn by hash of
+    ``keys``, its loss is watched after each round and the model cut to the best round; with
+    ``spec.patience`` the fit also ends after so many rounds without gain."""
+    names = list(feature_cols)
+    part = F.lit(0)
+    data = df
     if val is not None:
-        more = vectors(val, feature_cols, label_col).select('features', 'label').withColumn('is_val', F.lit(True))
-        data = data.select('features', 'label').withColumn('is_val', F.lit(False)).unionByName(more)
+        cols = [*names, label_col]
+        data = df.select(*cols, F.lit(0).alias('_part')).unionByName(val.select(*cols, F.lit(1).alias('_part')))
+        part = F.col('_part')
     elif validation:
-        data = data.withColumn('is_val', hash_uniform(keys, seed, 'validation') < validation)
-    if 'is_val' in data.columns:
-        params['validationIndicatorCol'] = 'is_val'
-    data = written(data.drop(*(keys or [])), 'train')  # every round reads it
+        if not keys:
+            raise ValueError('a validation share needs the keys of the rows')
+        part = F.when(hash_uniform(keys, spec.seed, 'validation') < validation, 1).otherwise(0)
     began = time.perf_counter()
-    model = GBTClassifier(featuresCol='features', labelCol='label', seed=seed, cacheNodeIds=False, **params).fit(data)
-    took = time.perf_counter() - began
-    deviance = model.evaluateEachIteration(data.filter('not is_val').drop('is_val') if 'is_val' in data.columns else data)
-    stats = {'seconds': took, 'n_rows': data.count(), 'n_features': len(feature_cols), 'rounds': model.getNumTrees,
-             'best_round': model.getNumTrees, 'last_deviance': deviance[-1], 'deviance': deviance}
-    return Boosted(model, list(feature_cols), stats)
+    watch = val is not None or bool(validation)
+    edges = T.fit_bins(data.filter(part == 0), names, bins)
+    table = T.binned(data, names, edges, F.col(label_col), part, spec.seed)
+    if not watch:
+        spec = replace(spec, patience=None)
+    fits, wrote = _grow(table, edges, [(spec, 1 if watch else None)], by or 'rows')
+    return _ensemble(fits[0], names, edges, time.perf_counter() - began, wrote)
+
+
+def fit_boosted(df: DataFrame, feature_cols, preset: str = 'xgb', val: DataFrame | None = None, label_col='label', keys=None,
+                validation: float | None = None, seed: int = 42, bins: int = T.BINS, **options) -> Ensemble:
+    """Boosted trees by a preset of PRESETS; ``options`` replace its settings."""
+    share = VALIDATION.get(preset, 0.0) if validation is None else validation
+    spec = replace(PRESETS[preset], seed=seed, **options)
+    if val is not None:
+        share, spec = 0.0, replace(spec, patience=spec.patience or PATIENCE)
+    return fit_spec(df, feature_cols, spec, val, label_col, keys, share, bins)
 
 
-@dataclass
-class AdaBoost:
-    trees: list
-    alphas: list
-    names: list
-    stats: dict = field(default_factory=dict)
-    real: bool = False
-
-    def votes(self, df: DataFrame) -> DataFrame:
-        """Adds ``votes``: the signed vote of each round, in order."""
-        out = df
-        for i, (tree, alpha) in enumerate(zip(self.trees, self.alphas, strict=True)):
-            one = tree.copy().setPredictionCol(f'_p{i}').setProbabilityCol(f'_q{i}').setRawPredictionCol(f'_r{i}')
-            out = one.transform(out).drop(f'_r{i}')
-            p1 = F.greatest(F.least(vector_to_array(f'_q{i}')[1], F.lit(1 - 1e-9)), F.lit(1e-9))
-            vote = 0.5 * F.log(p1 / (1 - p1)) * alpha if self.real else F.when(F.col(f'_p{i}') == 1, alpha).otherwise(-alpha)
-            out = out.withColumn(f'_v{i}', vote).drop(f'_p{i}', f'_q{i}')
-        names = [f'_v{i}' for i in range(len(self.trees))]
-        return out.withColumn('votes', F.array(*names) if names else F.array().cast('array<double>')).drop(*names)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        total = F.aggregate('votes', F.lit(0.0), lambda a, x: a + x)
-        scale = sum(map(abs, self.alphas)) or 1.0
-        out = self.votes(df).withColumn('_s', total)
-        p1 = 1 / (1 + F.exp(-2 * F.col('_s') / F.lit(scale)))
-        return out.withColumns({'prediction': (F.col('_s') > 0).cast('double'), 'probability': array_to_vector(F.array(1 - p1, p1))}).drop('_s', 'votes')
-
-    def save(self, path: str) -> str:
-        for i, t in enumerate(self.trees):
-            t.write().overwrite().save(f'{path}/tree-{i}')
-        _write_text(SparkSession.getActiveSession(), f'{path}/about',
-                    {'kind': 'adaboost', 'alphas': self.alphas, 'names': self.names, 'stats': self.stats, 'real': self.real})
-        return path
+def fit_adaboost(df: DataFrame, feature_cols, preset: str = 'ada', label_col='label', seed: int = 42, bins: int = T.BINS, **options) -> Ensemble:
+    """E3 (SAMME) and E4 (SAMME.R): weights are a function of the trees so far."""
+    return fit_spec(df, feature_cols, replace(PRESETS[preset], seed=seed, **options), label_col=label_col, bins=bins)
 
 
-def fit_adaboost(df: DataFrame, feature_cols, rounds: int = 50, rate: float = 1.0, depth: int = 3, label_col='label',
-                 algorithm: str = 'SAMME', seed: int = 42) -> AdaBoost:
-    """E3 (SAMME) and E4 (SAMME.R): a tree per round on reweighted rows.
-
-    The weighted rows are written to the shared folder after each round, which cuts the
-    lineage; a round is one tree fit and one aggregate.
-    """
-    real = algorithm == 'SAMME.R'
-    if algorithm not in ('SAMME', 'SAMME.R'):
-        raise ValueError(f'unknown algorithm {algorithm}')
-    data = written(vectors(df, feature_cols, label_col).select('features', 'label', F.lit(1.0).alias('w')), 'adaboost')
-    n = data.count()
-    trees, alphas, began = [], [], time.perf_counter()
-    total = float(n)
-    for i in range(rounds if n else 0):
-        tree = DecisionTreeClassifier(featuresCol='features', labelCol='label', weightCol='w', maxDepth=depth, seed=seed + i).fit(data)
-        scored = tree.transform(data)
-        miss = (F.col('prediction') != F.col('label')).cast('double')
-        err = scored.agg(F.sum(F.col('w') * miss)).first()[0] / total
-        if err <= 0:
-            if not trees:
-                trees, alphas = [tree], [1.0]
-            break
-        if not real and err >= 0.5:
-            break
-        alpha = rate if real else rate * math.log((1 - err) / err)
-        trees.append(tree)
-        alphas.append(alpha)
-        if real:
-            p1 = F.greatest(F.least(vector_to_array('probability')[1], F.lit(1 - 1e-9)), F.lit(1e-9))
-            sign = F.when(F.col('label') == 1, 1.0).otherwise(-1.0)
-            factor = F.exp(-rate * 0.5 * sign * F.log(p1 / (1 - p1)))
-        else:
-            factor = F.exp(alpha * miss)
-        data = written(scored.select('features', 'label', (F.col('w') * factor * F.lit(n / total)).alias('w')), 'adaboost')
-        total = data.agg(F.sum('w')).first()[0]
-    stats = {'seconds': time.perf_counter() - began, 'n_rows': n, 'n_features': len(feature_cols), 'rounds': len(trees), 'best_round': len(trees)}
-    return AdaBoost(trees, alphas, list(feature_cols), stats, real)
-
-
-def score(model, df: DataFrame, feature_cols=None) -> DataFrame:
+# ---------------------------------------------------------------- scoring
+def score(model: Ensemble, df: DataFrame) -> DataFrame:
     """E5: ``df`` plus ``prediction`` (int), ``probability_0``, ``probability_1``."""
     if model is None:
         raise ValueError('the model is not fitted')
-    keep = df.columns
-    v = df.withColumn('features', array_to_vector(F.array(*[F.col(c).cast('double') for c in feature_cols or model.names])))
-    out = model.transform(v)
-    p = vector_to_array('probability')
-    names = [c for c in keep if c not in ('prediction', 'probability_0', 'probability_1', 'features')]
-    return out.select(*names, F.col('prediction').cast('int').alias('prediction'), p[0].alias('probability_0'), p[1].alias('probability_1'))
-
-
-def evaluate_on(model, df: DataFrame, label_col='label') -> DataFrame:
+    keep = [c for c in df.columns if c not in ('prediction', 'probability_0', 'probability_1')]
+    p = model.probability(F.col('_margin'))
+    out = df.withColumn('_margin', model.margin())
+    return out.select(*keep, (F.col('_margin') > 0).cast('int').alias('prediction'), (1 - p).alias('probability_0'), p.alias('probability_1'))
+
+
+def margins_by_join(model: Ensemble, df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, margin) by joins with the node table, a level at a time: the scoring that any SQL
+    engine can do.  ``keys`` must identify the rows."""
+    nodes = model.nodes(df.sparkSession).select('round', 'node', 'feature', 'threshold', 'value')
+    depth = max((len(t.feature).bit_length() - 2 for t in model.trees), default=0)
+    values = F.create_map(*[x for n in model.names for x in (F.lit(n), F.col(n).cast('double'))])
+    at = df.select(*keys, values.alias('_x'), F.explode(F.sequence(F.lit(1), F.lit(len(model.trees)))).alias('round'), F.lit(1).alias('node'))
+    for _ in range(depth):
+        x = F.col('_x')[F.col('feature')]
+        left = x.isNull() | F.isnan(x) | (F.col('threshold').isNotNull() & (x <= F.col('threshold')))
+        step = F.when(F.col('feature').isNull(), F.col('node')).when(left, 2 * F.col('node')).otherwise(2 * F.col('node') + 1)
+        at = at.join(nodes.drop('value'), ['round', 'node']).select(*keys, '_x', 'round', step.alias('node'))
+    return at.join(nodes, ['round', 'node']).groupBy(*keys).agg((F.lit(model.base) + F.sum('value')).alias('margin'))
+
+
+def evaluate_on(model: Ensemble, df: DataFrame, label_col='label') -> DataFrame:
     """Accuracy, precision, recall, F1, seconds of scoring, ms per row."""
     began = time.perf_counter()
     scored = written(score(model, df).select(F.col(label_col).cast('int').alias('label'), 'prediction'), 'scored')
@@ -194,81 +209,114 @@ def evaluate_on(model, df: DataFrame, label_col='label') -> DataFrame:
     return binary_metrics(scored).withColumns({'n_rows': F.lit(n).cast('long'), 'inference_seconds': F.lit(took), 'ms_per_row': F.lit(took * 1000 / max(n, 1))})
 
 
+# ---------------------------------------------------------------- folds and grids
 def folds(df: DataFrame, keys, label_col='label', k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` = position within the class (by hash of the keys) modulo k."""
     return hash_rank(df, keys, seed, groups=[label_col], pos_col='_pos').withColumn('fold', (F.col('_pos') % k).cast('int')).drop('_pos')
 
 
-def cross_validate(df: DataFrame, feature_cols, fit, keys, label_col='label', k: int = 5) -> DataFrame:
+def _f1(curve: list[dict], rounds: int) -> float:
+    """F1 of the held rows after ``rounds`` rounds, or as many as there are."""
+    at = [c for c in curve if c['round'] <= rounds]
+    tp, other = (at[-1]['tp'], at[-1]['fp'] + at[-1]['fn']) if at else (0.0, 0.0)
+    return 2 * tp / (2 * tp + other) if tp else 0.0
+
+
+def _held_out(df: DataFrame, feature_cols, specs: list[Spec], keys, label_col, k, seed, bins, by):
+    """Curves of each spec on each of k folds; bins are shared by all."""
+    names = list(feature_cols)
+    data = folds(df.select(*dict.fromkeys([*keys, *names, label_col])), keys, label_col, k, seed)
+    edges = T.fit_bins(df, names, bins)
+    table = T.binned(data, names, edges, F.col(label_col), F.col('fold'), seed)
+    fits, _ = _grow(table, edges, [(replace(s, patience=None), i) for s in specs for i in range(k)], by)
+    return [[f.curve for f in fits[i * k:(i + 1) * k]] for i in range(len(specs))]
+
+
+def _mean_std(x: list[float]) -> tuple[float, float]:
+    mean = sum(x) / len(x)
+    return mean, math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+
+
+def cross_validate(df: DataFrame, feature_cols, spec: Spec, keys, label_col='label', k: int = 5, seed: int = 42, bins: int = T.BINS, by: str | None = None) -> DataFrame:
     """F1 of class 1 on each fold for a model fitted on the others; mean and std."""
-    data = written(folds(df, keys, label_col, k), 'folds')
-    f1 = []
-    for i in range(k):
-        model = fit(data.filter(F.col('fold') != i))
-        f1.append(evaluate_on(model, data.filter(F.col('fold') == i), label_col).first().f1)
-    mean = sum(f1) / k
-    std = math.sqrt(sum((x - mean) ** 2 for x in f1) / k)
-    return df.sparkSession.createDataFrame([(float(mean), float(std), [float(x) for x in f1])], 'cv_f1_mean double, cv_f1_std double, cv_f1 array<double>')
-
-
-def grid_search(df: DataFrame, feature_cols, fit, grid: dict | None, keys, label_col='label', k: int = 3):
-    """(table of params and F1, best first; the model refitted on all rows).
-    ``fit(df, **params)`` returns a model; ``grid`` defaults to GRID."""
+    (curves,) = _held_out(df, feature_cols, [spec], keys, label_col, k, seed, bins, by)
+    f1 = [_f1(c, spec.rounds) for c in curves]
+    return df.sparkSession.createDataFrame([(*_mean_std(f1), f1)], 'cv_f1_mean double, cv_f1_std double, cv_f1 array<double>')
+
+
+def grid_search(df: DataFrame, feature_cols, spec: Spec, grid: dict | None, keys, label_col='label', k: int = 3, seed: int = 42, bins: int = T.BINS, by: str | None = None):
+    """(table of params and F1, best first; the model refitted on all rows).  ``grid`` (GRID
+    by default) maps settings of ``spec`` to lists.  Points that differ in ``rounds`` alone share
+    a fit: its held-out F1 is read off after each of those rounds."""
     grid = GRID if grid is None else grid
+    points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    own = {json.dumps({**p, 'rounds': None}): replace(spec, **{**p, 'rounds': max(grid.get('rounds', [spec.rounds]))}) for p in points}
+    curves = dict(zip(own, _held_out(df, feature_cols, list(own.values()), keys, label_col, k, seed, bins, by), strict=True))
     rows = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values, strict=True))
-        r = cross_validate(df, feature_cols, lambda d, params=params: fit(d, **params), keys, label_col, k).first()
-        rows.append((json.dumps(params), r.cv_f1_mean, r.cv_f1_std))
+    for p in points:
+        f1 = [_f1(c, p.get('rounds', spec.rounds)) for c in curves[json.dumps({**p, 'rounds': None})]]
+        rows.append((json.dumps(p), *_mean_std(f1)))
     rows.sort(key=lambda r: (-r[1], r[0]))
+    best = replace(spec, patience=None, **json.loads(rows[0][0]))
+    names = list(feature_cols)
+    edges = T.fit_bins(df, names, bins)
+    fits, wrote = _grow(T.binned(df, names, edges, F.col(label_col), F.lit(0), seed), edges, [(best, None)], by)
     table = df.sparkSession.createDataFrame(rows, 'params string, cv_f1_mean double, cv_f1_std double')
-    return table, fit(df, **json.loads(rows[0][0]))
-
-
-def feature_importance(model, names=None) -> DataFrame:
-    """(feature, importance), highest first; AdaBoost: the mean weighted by round."""
-    if isinstance(model, Boosted):
-        values = model.model.featureImportances.toArray().tolist()
-    else:
-        total = sum(model.alphas) or 1.0
-        values = [sum(a * t.featureImportances[i] for a, t in zip(model.alphas, model.trees, strict=True)) / total for i in range(len(model.names))]
-    names = list(names or model.names or [f'feature_{i}' for i in range(len(values))])
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(sorted(zip(names, map(float, values), strict=True), key=lambda x: (-x[1], x[0])), 'feature string, importance double')
-
-
-def staged_scores(model, df: DataFrame, label_col='label') -> DataFrame:
-    """(round, f1) of the first 1, 2, ... rounds; all rounds in one aggregate."""
-    data = vectors(df, model.names, label_col)
-    if isinstance(model, AdaBoost):
-        v = model.votes(data)
-    else:
-        v, cols = data, []
-        for i, (tree, w) in enumerate(zip(model.model.trees, model.model.treeWeights, strict=True)):
-            v = tree.copy().setPredictionCol(f'_t{i}').transform(v)
-            cols.append(F.col(f'_t{i}') * w)
-        v = v.withColumn('votes', F.array(*cols)).drop(*[f'_t{i}' for i in range(len(cols))])
-    n = len(model.trees) if isinstance(model, AdaBoost) else model.model.getNumTrees
-    start = F.struct(F.lit(0.0).alias('s'), F.array().cast('array<double>').alias('out'))
-    sums = F.aggregate('votes', start, lambda a, x: F.struct((a['s'] + x).alias('s'), F.concat(a['out'], F.array(a['s'] + x)).alias('out')), lambda a: a['out'])
-    v = v.select('label', F.explode(F.array(sums)).alias('s'))
-    ind = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    parts = []
-    for i in range(n):
-        hit, y = F.col('s')[i] > 0, F.col('label') == 1
-        tp, other = ind(hit & y), ind((hit & ~y) | (~hit & y))
-        parts.append(F.struct(F.lit(i + 1).alias('round'), F.round(F.when(tp > 0, 2 * tp / (2 * tp + other)).otherwise(0.0), 6).alias('f1')))
-    return v.agg(F.array(*parts).alias('p')).select(F.inline('p'))
-
-
-def training_deviance(model: Boosted, df: DataFrame | None = None, label_col='label') -> DataFrame:
-    """(round, deviance), on ``df`` or as recorded on the training rows."""
-    values = model.stats['deviance'] if df is None else model.model.evaluateEachIteration(vectors(df, model.names, label_col).select('features', 'label'))
-    return SparkSession.getActiveSession().createDataFrame([(i + 1, float(x)) for i, x in enumerate(values)], 'round int, deviance double')
-
-
-def training_stats(model) -> DataFrame:
-    """One row with seconds, rows, features and rounds kept."""
+    return table, _ensemble(fits[0], names, edges, 0.0, wrote)
+
+
+# ---------------------------------------------------------------- reports
+def feature_importance(model: Ensemble, names=None) -> DataFrame:
+    """(feature, importance), highest first: shares of the gain in each tree, their mean
+    over the rounds (weighted by the rounds' weights in AdaBoost)."""
+    total = np.zeros(len(model.names))
+    for t, a in zip(model.trees, model.alphas, strict=True):
+        own = np.zeros(len(total))
+        inner = t.feature >= 0
+        np.add.at(own, t.feature[inner], t.gain[inner])
+        total += (1.0 if model.kind == 'logistic' else a) * own / own.sum() if own.sum() else 0.0
+    total = total / total.sum() if total.sum() else total
+    names = list(names or model.names or [f'feature_{i}' for i in range(len(total))])
+    return SparkSession.getActiveSession().createDataFrame(sorted(zip(names, total.tolist(), strict=True), key=lambda x: (-x[1], x[0])), 'feature string, importance double')
+
+
+def staged(model: Ensemble, df: DataFrame, label_col='label') -> DataFrame:
+    """(round, n, loss, tp, fp, fn) after 1, 2, ... rounds: summed inside the tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(model.trees), 5))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            bins, one = model.codes(columns[:-1]), columns[-1] == 1
+            margin = np.full(batch.num_rows, model.base)
+            for i, t in enumerate(model.trees):
+                margin = margin + t.value[t.places(bins)]
+                hit = margin > 0
+                total[i] += batch.num_rows, np.logaddexp(0, np.where(one, -margin, margin)).sum(), (hit & one).sum(), (hit & ~one).sum(), (~hit & one).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(total) + 1), pa.int32()), *map(pa.array, total.T)], ['round', 'n', 'loss', 'tp', 'fp', 'fn'])
+
+    data = df.filter(F.col(label_col).isNotNull()).select(*[F.col(c).cast('double').alias(f'x{i}') for i, c in enumerate(model.names)], F.col(label_col).cast('double').alias('y'))
+    sums = data.mapInArrow(run, 'round int, n double, loss double, tp double, fp double, fn double')
+    return sums.groupBy('round').agg(*[F.sum(c).alias(c) for c in ('n', 'loss', 'tp', 'fp', 'fn')])
+
+
+def staged_scores(model: Ensemble, df: DataFrame, label_col='label') -> DataFrame:
+    """(round, f1) of the first 1, 2, ... rounds."""
+    f1 = F.when(F.col('tp') > 0, 2 * F.col('tp') / (2 * F.col('tp') + F.col('fp') + F.col('fn'))).otherwise(0.0)
+    return staged(model, df, label_col).select('round', F.round(f1, 6).alias('f1'))
+
+
+def training_deviance(model: Ensemble, df: DataFrame | None = None, label_col='label') -> DataFrame:
+    """(round, deviance): twice the mean log-loss, on ``df`` or as noted on the training rows."""
+    if df is not None:
+        return staged(model, df, label_col).select('round', (2 * F.col('loss') / F.col('n')).alias('deviance'))
+    rows = [(i, float(x)) for i, x in enumerate(model.stats['deviance'], 1)]
+    return SparkSession.getActiveSession().createDataFrame(rows, 'round int, deviance double')
+
+
+def training_stats(model: Ensemble) -> DataFrame:
+    """One row with seconds, rows, features, rounds fitted, the best round, the last deviance."""
     s = model.stats
-    return SparkSession.getActiveSession().createDataFrame([(float(s['seconds']), int(s['n_rows']), int(s['n_features']), int(s['rounds']), int(s['best_round']))],
-                                                           'seconds double, n_rows long, n_features int, rounds int, best_round int')
+    last = s['deviance'][-1] if s['deviance'] else None
+    return SparkSession.getActiveSession().createDataFrame(
+        [(float(s['seconds']), int(s['n_rows']), int(s['n_features']), int(s['rounds']), int(s['best_round']), last)],
+        'seconds double, n_rows long, n_features int, rounds int, best_round int, last_deviance double')

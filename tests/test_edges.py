@@ -139,7 +139,7 @@ def test_word_ids_round_trip(spark):
 
 def test_models_learn_save_and_load(spark, tmp_path):
     df = spark.range(400).select('id', (F.col('id') % 20).alias('a'), (F.col('id') % 7).alias('b'), ((F.col('id') % 20 >= 10) | (F.col('id') % 7 == 0)).cast('int').alias('label'))
-    gb = B.fit_boosted(df, ['a', 'b'], 'gb_benchmark', maxIter=8, maxDepth=2, minInstancesPerNode=1, subsamplingRate=1.0)
+    gb = B.fit_boosted(df, ['a', 'b'], 'gb_benchmark', rounds=8, depth=2, min_rows=1, subsample=1.0)
     ada = B.fit_adaboost(df, ['a', 'b'], rounds=4, depth=1)
     assert all(x > y for x, y in zip(gb.stats['deviance'], gb.stats['deviance'][1:], strict=False))
     for i, m in enumerate((gb, ada)):
