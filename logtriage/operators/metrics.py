@@ -141,10 +141,11 @@ def score_table(preds, label='label', score='score', groups=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F5 / F6
-def rank_metrics(preds, label='label', score='score', groups=()) -> DataFrame:
+def rank_metrics(preds, label='label', score='score', groups=(), table: DataFrame | None = None) -> DataFrame:
     """auc_roc (ties count one half; null when a class is missing) and average_precision
-    (sum over descending thresholds of (R_n - R_n-1) * P_n) in one aggregate."""
-    t = score_table(preds, label, score, groups)
+    (sum over descending thresholds of (R_n - R_n-1) * P_n) in one aggregate; ``table`` is a
+    ``score_table`` made before."""
+    t = score_table(preds, label, score, groups) if table is None else table
     pos, neg, tps, fps = (F.col(c).cast('double') for c in ('pos', 'neg', 'tps', 'fps'))
     p, n = F.first('P').cast('double'), F.first('N').cast('double')
     ranks, steps = F.sum(neg * (tps - pos * 0.5)), F.sum(pos * tps / (tps + fps))
@@ -163,10 +164,10 @@ def average_precision(preds, label='label', score='score', groups=()) -> DataFra
 
 
 # ---------------------------------------------------------------- F7
-def roc_curve(preds, label='label', score='score', groups=(), drop_intermediate=True) -> DataFrame:
+def roc_curve(preds, label='label', score='score', groups=(), drop_intermediate=True, table: DataFrame | None = None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, plus (inf, 0, 0); collinear points dropped.
     A rate is null where its class is missing."""
-    t = score_table(preds, label, score, groups)
+    t = score_table(preds, label, score, groups) if table is None else table
     is_first = (F.col('tps') == F.col('pos')) & (F.col('fps') == F.col('neg'))
     keep = is_first | F.col('is_last') | (F.col('pos') != F.col('next_pos')) | (F.col('neg') != F.col('next_neg'))
     point = lambda th, fp, tp: F.struct(th.alias('threshold'), fp.alias('fp'), tp.alias('tp'))
@@ -180,9 +181,9 @@ def roc_curve(preds, label='label', score='score', groups=(), drop_intermediate=
 
 
 # ---------------------------------------------------------------- F8
-def pr_curve(preds, label='label', score='score', groups=()) -> DataFrame:
+def pr_curve(preds, label='label', score='score', groups=(), table: DataFrame | None = None) -> DataFrame:
     """(threshold, precision, recall) for every distinct score plus (null, 1, 0)."""
-    t = score_table(preds, label, score, groups)
+    t = score_table(preds, label, score, groups) if table is None else table
     is_first = (F.col('tps') == F.col('pos')) & (F.col('fps') == F.col('neg'))
     rec = F.when(F.col('P') > 0, F.col('tps') / F.col('P')).otherwise(1.0)
     point = lambda th, pr, re: F.struct(th.cast('double').alias('threshold'), pr.alias('precision'), re.alias('recall'))
@@ -224,19 +225,29 @@ def left_on_groups(left: DataFrame, right: DataFrame, groups) -> DataFrame:
     return left.join(r, cond, 'left').drop(*[f'_r_{c}' for c in groups])
 
 
-def evaluation_record(preds, groups=(), label='label', prediction='prediction', score='score') -> DataFrame:
-    """The full record per group: metrics, confusion counts, the report's rows and both
-    curves as arrays of structs (curves have one point per distinct score of the group)."""
+def evaluation_record(preds, groups=(), label='label', prediction='prediction', score='score', table: DataFrame | None = None) -> DataFrame:
+    """The scalars of the full record per group: n, metrics, the confusion counts as a struct and
+    each row of the report as a struct.  The curves are a table of their own
+    (``evaluation_curves``), since they have a point per distinct score."""
     groups = list(groups)
-    base = evaluate(preds, groups, label, prediction, score)
+    out = evaluate(preds, groups, label, prediction, score, table=table)
     conf = confusion_counts(preds, label, prediction, groups).select(*groups, F.struct('tn', 'fp', 'fn', 'tp').alias('confusion'))
-    rep = classification_report(preds, label, prediction, groups)
-    rep = rep.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*[c for c in rep.columns if c not in groups]))).alias('report'))
-    out = left_on_groups(left_on_groups(base, conf, groups), rep, groups)
-    for name, curve in (('roc', roc_curve(preds, label, score, groups)), ('pr', pr_curve(preds, label, score, groups))):
-        pts = curve.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*[c for c in curve.columns if c not in groups]))).alias(name))
-        out = left_on_groups(out, pts, groups)
-    return out
+    out = left_on_groups(out, conf, groups)
+    rows = classification_report(preds, label, prediction, groups)
+    values = F.struct('precision', 'recall', 'f1_score', 'support')
+    names = {**{n: f'class_{i}' for i, n in enumerate(REPORT_TARGET_NAMES)}, 'accuracy': 'accuracy', 'macro avg': 'macro_avg', 'weighted avg': 'weighted_avg'}
+    report = rows.groupBy(*groups).agg(*[F.any_value(F.when(F.col('row') == n, values), True).alias(f'report_{short}') for n, short in names.items()])
+    return left_on_groups(out, report, groups)
+
+
+def evaluation_curves(preds, groups=(), label='label', score='score', table: DataFrame | None = None) -> DataFrame:
+    """(groups, curve, threshold, x, y): 'roc' with x = fpr, y = tpr, and 'pr' with x = recall,
+    y = precision; both from one table of scores."""
+    groups = list(groups)
+    t = score_table(preds, label, score, groups) if table is None else table
+    roc = roc_curve(None, groups=groups, table=t).select(*groups, F.lit('roc').alias('curve'), 'threshold', F.col('fpr').alias('x'), F.col('tpr').alias('y'))
+    pr = pr_curve(None, groups=groups, table=t).select(*groups, F.lit('pr').alias('curve'), 'threshold', F.col('recall').alias('x'), F.col('precision').alias('y'))
+    return roc.unionByName(pr)
 
 
 def flatten(record: DataFrame, prefix_sep: str = '_') -> DataFrame:
@@ -252,13 +263,13 @@ def flatten(record: DataFrame, prefix_sep: str = '_') -> DataFrame:
 
 
 def evaluate(preds, groups, label='label', prediction='prediction', score='score',
-             training_stats: DataFrame | None = None) -> DataFrame:
+             training_stats: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
     """Flat evaluation record per group: n, class-1 metrics, AUC, AP, ``train_*`` stats."""
     groups = list(groups)
     c = confusion_counts(preds, label, prediction, groups)
     base = c.select(*groups, F.col('n').alias('n_samples'),
                     *[_r6(v).alias(k) for k, v in _binary_cols().items()])
-    out = left_on_groups(base, rank_metrics(preds, label, score, groups), groups)
+    out = left_on_groups(base, rank_metrics(preds, label, score, groups, table), groups)
     if training_stats is not None:
         stats = training_stats.select(*groups, *[F.col(c).alias(f'train_{c}') for c in training_stats.columns
                                                  if c not in groups])

@@ -182,6 +182,35 @@ def q_evaluate(spark, sf):
     return M.evaluate(preds(spark, sf), ['source'], training_stats=st)
 
 
+def _record_sql():
+    """All scalars of the record by source."""
+    out = ['c.source', 'c.n AS n_samples', *[f'round({v}, 6) AS {k}' for k, v in _BIN.items()], 'a.auc_roc', 'a.average_precision', *[f'{x} AS confusion_{x}' for x in ('tn', 'fp', 'fn', 'tp')]]
+    cls = {0: ('tn', 'tn + fn', 'tn + fp'), 1: ('tp', 'tp + fp', 'tp + fn')}
+    m = {k: (_d(t, pk), _d(t, tk), _d(f'2 * {t}', f'{pk} + {tk}'), tk) for k, (t, pk, tk) in cls.items()}
+    rows = {f'class_{k}': [*m[k][:3], f'CAST({m[k][3]} AS BIGINT)'] for k in m}
+    rows['accuracy'] = ['CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)', _BIN['accuracy'], 'c.n']
+    rows['macro_avg'] = [*[f'(({m[0][i]}) + ({m[1][i]})) / 2' for i in range(3)], 'c.n']
+    rows['weighted_avg'] = [*[_d(f'({m[0][i]}) * (tn + fp) + ({m[1][i]}) * (tp + fn)', 'c.n') for i in range(3)], 'c.n']
+    for name, values in rows.items():
+        for field, v in zip(('precision', 'recall', 'f1_score', 'support'), values, strict=True):
+            out.append(f"{v if field == 'support' else f'round({v}, 6)'} AS report_{name}_{field}")
+    return _with_curve(f"SELECT {', '.join(out)} FROM ({_conf('source')}) c JOIN (SELECT source, {_AUC} AS auc_roc, {_AP} AS average_precision FROM t GROUP BY source) a USING (source)", 'source')
+
+
+@register('f11_evaluation_record', _record_sql())
+def q_record(spark, sf):
+    return M.flatten(M.evaluation_record(preds(spark, sf), ['source']))
+
+
+@register('f11_evaluation_curves', _with_curve(
+    "SELECT DISTINCT source, 'roc' AS curve, CAST('Infinity' AS DOUBLE) AS threshold, CASE WHEN N > 0 THEN 0.0 END AS x, CASE WHEN P > 0 THEN 0.0 END AS y FROM t UNION ALL "
+    "SELECT source, 'roc', score, round(CASE WHEN N > 0 THEN fps / N END, 6), round(CASE WHEN P > 0 THEN tps / P END, 6) FROM t WHERE score = top OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg "
+    "UNION ALL SELECT source, 'pr', score, round(CASE WHEN P > 0 THEN tps / P ELSE 1.0 END, 6), round(tps / (tps + fps), 6) FROM t "
+    "UNION ALL SELECT DISTINCT source, 'pr', CAST(NULL AS DOUBLE), 0.0, 1.0 FROM t", 'source'))
+def q_curves(spark, sf):
+    return M.evaluation_curves(preds(spark, sf), ['source'])
+
+
 @register('f12_overfit_gap', O.with_views(
     "SELECT source, round(tr, 6) AS train_accuracy, round(te, 6) AS test_accuracy, round(tr - te, 6) AS overfit_gap "
     "FROM (SELECT source, avg(CASE WHEN split = 'train' THEN CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END END) AS tr, "

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..models import boosting as B
 from ..models import text as T
 from ..operators import encoding as N
-from ..operators.metrics import evaluation_record, flatten
 from ..operators.preprocess import dedup_keep_first
 from ..operators.sampling import hash_uniform
 from ..session import read_table, scratch_path, written
@@ -280,6 +279,19 @@ def q_text_logs(spark, sf):
     return readers.read_text_logs(spark, path)
 
 
+@register('a3_read_log_file', O.with_views("""SELECT 'csv' AS kind, o_orderpriority AS log_text FROM orders
+UNION ALL SELECT 'log', log_text FROM doc_lines
+UNION ALL SELECT 'txt', trim(event_type) FROM events WHERE trim(event_type) <> ''""", 'doc_lines'))
+def q_log_file(spark, sf):
+    path = scratch_path(spark, 'files')
+    writers.write_csv(read_table(spark, sf, 'orders').select(F.col('o_orderpriority').alias('log_text'), 'o_orderkey'), f'{path}/orders.CSV')
+    doc_lines(spark, sf).select('log_text').write.text(f'{path}/lines.log')
+    read_table(spark, sf, 'events').select(F.col('event_type')).write.text(f'{path}/events.txt')
+    kinds = {'csv': 'orders.CSV', 'log': 'lines.log', 'txt': 'events.txt'}
+    parts = [readers.read_log_file(spark, f'{path}/{name}').select(F.lit(k).alias('kind'), 'log_text') for k, name in kinds.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @register('a4_read_log_dir', O.with_views("""SELECT log_text, NULL AS o_orderstatus FROM doc_lines
 UNION ALL SELECT o_orderpriority, o_orderstatus FROM orders""", 'doc_lines'))
 def q_log_dir(spark, sf):
@@ -309,10 +321,3 @@ def q_dedup(spark, sf):
     return dedup_keep_first(logs, ['event_type', 'error_type'], ['user_id', 'log_id'])
 
 
-@register('f11_evaluation_record', O.with_views("""SELECT source, count(*) AS n_samples,
-  count(CASE WHEN label = 0 AND prediction = 0 THEN 1 END) AS confusion_tn, count(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS confusion_fp,
-  count(CASE WHEN label = 1 AND prediction = 0 THEN 1 END) AS confusion_fn, count(CASE WHEN label = 1 AND prediction = 1 THEN 1 END) AS confusion_tp
-FROM preds GROUP BY source""", 'preds'))
-def q_record(spark, sf):
-    out = flatten(evaluation_record(preds(spark, sf), ['source']))
-    return out.select('source', 'n_samples', *[f'confusion_{c}' for c in ('tn', 'fp', 'fn', 'tp')])

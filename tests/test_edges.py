@@ -63,10 +63,14 @@ def test_curve_equals_brute_force(spark):
 
 
 def test_record_and_flatten(spark):
-    p = preds(spark, [('a', 1, 1, 0.9), ('a', 0, 1, 0.8), ('a', 1, 0, 0.2)])
-    rec = metrics.evaluation_record(p, ['m']).first()
-    assert rec.confusion.fp == 1 and len(rec.roc) >= 3 and len(rec.pr) == 4 and rec.report
-    assert 'confusion_tp' in metrics.flatten(metrics.evaluation_record(p, ['m'])).columns
+    p = preds(spark, [('a', 1, 1, 0.9), ('a', 0, 1, 0.8), ('a', 1, 0, 0.2), (None, 0, 0, 0.1)])
+    rec = {r.m: r for r in metrics.evaluation_record(p, ['m']).collect()}
+    assert rec['a'].confusion.fp == 1 and rec['a'].report_accuracy.f1_score == round(1 / 3, 6) and rec[None].report_macro_avg.support == 1
+    flat = metrics.flatten(metrics.evaluation_record(p, ['m']))
+    assert {'confusion_tp', 'report_weighted_avg_recall', 'auc_roc'} <= set(flat.columns) and not any(f.dataType.typeName() == 'array' for f in flat.schema)
+    curves = [(r.curve, r.threshold, r.x, r.y) for r in metrics.evaluation_curves(p, ['m']).filter("m = 'a'").collect()]
+    assert sorted(c for c in curves if c[0] == 'roc') == [('roc', 0.2, 1.0, 1.0), ('roc', 0.8, 1.0, 0.5), ('roc', 0.9, 0.0, 0.5), ('roc', math.inf, 0.0, 0.0)]
+    assert len([c for c in curves if c[0] == 'pr']) == 4
 
 
 def test_codes_skip_nulls(spark):
