@@ -169,6 +169,32 @@ def java_pattern(py_pattern: str, ignore_case: bool = True) -> str:
     return (JAVA_FLAGS if ignore_case else '(?Ud)') + py_pattern
 
 
+def required_literal(py_pattern: str) -> str:
+    """The longest lower-case string that every match of the pattern holds, '' if none is found."""
+    best, run = '', ''
+
+    def visit(items) -> None:
+        nonlocal best, run
+        for op, arg in items:
+            name = str(op)
+            if name == 'LITERAL':
+                run += chr(arg).lower()
+                continue
+            best, run = max(best, run, key=len), ''
+            if name == 'SUBPATTERN':
+                visit(arg[-1])
+            elif name in ('MAX_REPEAT', 'MIN_REPEAT', 'POSSESSIVE_REPEAT') and arg[0] > 0:
+                visit(arg[-1])
+            best, run = max(best, run, key=len), ''
+        best, run = max(best, run, key=len), ''
+
+    try:
+        visit(re._parser.parse(py_pattern))
+    except (AttributeError, re.error):  # then every text is searched
+        return ''
+    return best if best.isascii() else ''
+
+
 def _valid_patterns(patterns, kind):
     kept = []
     for p in patterns:

@@ -1,7 +1,9 @@
 """Row-wise text operators as pure Column expressions.
 
 No Python UDF, so they work unchanged on batch DataFrames and on ``readStream`` DataFrames.
-The label expression exceeds the size that Spark compiles; it is then interpreted.
+Rule sets are constant arrays of (literal, pattern): a pattern is only tried on a text that
+holds the literal all its matches hold, so a row costs one substring search per rule and a
+regular expression per rule that may match.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import (COMPOSE_SEPARATOR, DEFAULT_LABEL_RULES, DEFAULT_RULES, KEPT_PUNCTUATION,
-                    LABEL_NAMES, LabelRules, Rules, java_pattern)
+                    LABEL_NAMES, LabelRules, Rules, java_pattern, required_literal)
 
 _WS_RUN = r'(?U)\s+'
 _TRIM = r'(?U)^\s+|\s+$'
@@ -42,7 +44,31 @@ def regex_trim(c) -> Column:
     return F.regexp_replace(_col(c), _TRIM, '')
 
 
+def _folded(t: Column) -> Column:
+    """Lower case, with the characters that a case-insensitive pattern takes for ASCII letters."""
+    return F.translate(F.lower(F.translate(t, 'İ', 'i')), 'ıſ', 'is')
+
+
+def _rules(patterns) -> Column:
+    """(word, pattern) of each rule, as one constant."""
+    items = [F.struct(F.lit(required_literal(p)).alias('word'), F.lit(java_pattern(p)).alias('pattern')) for p in patterns]
+    return F.array(*items) if items else F.array().cast('array<struct<word:string,pattern:string>>')
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(x)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 # ---------------------------------------------------------------- B1 clean_text
+def _removed(text: Column, pattern: str) -> Column:
+    """Matches become blanks; texts without the mark that all matches hold are left alone."""
+    word = required_literal(pattern)
+    if not word or any(ch.isalpha() for ch in word):
+        return F.regexp_replace(text, java_pattern(pattern), ' ')
+    return _bound(text, lambda t: F.when(F.contains(t, F.lit(word)), F.regexp_replace(t, java_pattern(pattern), ' ')).otherwise(t))
+
+
 def clean_text(c, rules: Rules = DEFAULT_RULES) -> Column:
     """Remove timestamps, ids, paths, addresses, digests, tags; normalise; lower.
 
@@ -50,7 +76,7 @@ def clean_text(c, rules: Rules = DEFAULT_RULES) -> Column:
     """
     out = _text(c)
     for p in rules.remove_patterns:
-        out = F.regexp_replace(out, java_pattern(p), ' ')
+        out = _removed(out, p)
     if rules.strip_special:
         out = F.regexp_replace(out, r'(?U)[^\w\s' + KEPT_PUNCTUATION + ']', ' ')
     out = F.regexp_replace(out, _WS_RUN, ' ')
@@ -97,8 +123,11 @@ def manual_features(df: DataFrame, text_column: str = 'cleaned_text') -> DataFra
 
 # ---------------------------------------------------------------- B4 label_scores
 def _score(t: Column, patterns) -> Column:
-    counts = [F.regexp_count(t, F.lit(java_pattern(p))) for p in patterns]
-    return reduce(lambda a, b: a + b, counts, F.lit(0)).cast('double')
+    """Matches of all patterns."""
+    def counted(low: Column) -> Column:
+        may = F.filter(_rules(patterns), lambda p: F.contains(low, p['word']))
+        return F.aggregate(may, F.lit(0), lambda n, p: n + F.regexp_count(t, p['pattern']))
+    return _bound(_folded(t), counted).cast('double')
 
 
 def label_scores(c, rules: LabelRules = DEFAULT_LABEL_RULES) -> tuple[Column, Column]:
@@ -112,7 +141,7 @@ def label_from_scores(c, flaky: Column, regression: Column,
                       rules: LabelRules = DEFAULT_LABEL_RULES) -> Column:
     t = _text(c)
     low = F.lower(t)
-    neutral = _any(t.rlike(java_pattern(p)) for p in rules.neutral)
+    neutral = _bound(_folded(t), lambda f: F.exists(_rules(rules.neutral), lambda p: F.contains(f, p['word']) & F.regexp_like(t, p['pattern'])))
     fallback = _any(low.contains(w) for w in rules.fallback_words)
     tie = low.contains(rules.tie_word)
     return (F.when(t == '', 0)
