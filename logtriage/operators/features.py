@@ -1,13 +1,15 @@
 """Categorical codes, scaling, assembling, and sklearn-style TF-IDF.
 
-TF-IDF plan: terms are counted inside each document's row, so texts are never shuffled;
-only (term, document frequency, count) is, with map-side combine.  A vocabulary bounded by
-``max_features`` is broadcast; without a bound the join is left to the planner.
+TF-IDF plan: terms are counted inside each document's row and written once, so texts are never
+shuffled.  Of a bounded vocabulary, bucket counts are shuffled first, then only the terms of
+the largest buckets; it is broadcast.  Without a bound the join is left to the planner.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import bigrams, word_tokens
@@ -17,6 +19,8 @@ from .sampling import hash_uniform
 
 #: Vocabularies bounded by at most this many terms are broadcast.
 BROADCAST_TERMS = 200_000
+#: Hash buckets whose counts bound the counts of their terms.
+BUCKETS = 1 << 20
 
 
 def _r6(c):
@@ -108,31 +112,73 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 2))
 
 
 # ---------------------------------------------------------------- D5
+def written_terms(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 2)) -> DataFrame:
+    """``term_counts`` with the hash bucket of each term, written: texts are taken apart once for
+    the passes over their terms."""
+    return written(term_counts(docs, id_col, text_col, ngram_range).withColumn('_bucket', F.pmod(F.xxhash64('term'), F.lit(BUCKETS)).cast('int')), 'terms')
+
+
+def _counted(tf: DataFrame) -> DataFrame:
+    return tf.groupBy('term').agg(F.count(F.lit(1)).alias('df'), F.sum('tf').alias('cf'))
+
+
+def frequent_terms(tf: DataFrame, size: int, eligible) -> DataFrame:
+    """(term, df, cf) of the ``size`` eligible terms of largest cf (ties: term ascending).
+
+    Counts by hash bucket are upper bounds of the counts of their terms and the same for any
+    text; only terms of the largest buckets are counted and shuffled as strings.  If the last
+    one kept has fewer occurrences than a bucket left out, all buckets of at least its count are
+    taken in a second round, which then holds every term that can be among the first."""
+    totals = written(tf.groupBy('_bucket').agg(F.sum('tf').alias('_total')), 'buckets')  # BUCKETS rows at most
+    last = totals.orderBy(F.col('_total').desc()).limit(2 * size).agg(F.min('_total')).first()[0]
+    for _ in range(2):
+        some = totals.filter(F.col('_total') >= (last or 0)).select('_bucket')
+        top = _counted(tf.join(some, '_bucket', 'left_semi')).filter(eligible).orderBy(F.col('cf').desc(), F.col('term')).limit(size)
+        top = written(top, 'frequent')
+        n, least = top.agg(F.count(F.lit(1)), F.min('cf')).first()
+        need = least if n == size else 0
+        if not last or need >= last:  # what is left out has smaller buckets than ``last``
+            return top
+        last = need
+    return top
+
+
 def fit_tfidf(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', min_df=2, max_df=0.95,
               max_features: int | None = 5000, ngram_range=(1, 2), tf: DataFrame | None = None) -> DataFrame:
     """Vocabulary (term, idx, df, cf, idf).
 
     Terms with min_df <= df <= max_df (ints are counts, floats fractions of N) are kept,
     then the ``max_features`` most frequent by total count (ties: term ascending).
-    ``idx`` is the alphabetical position; ``idf = ln((1+N)/(1+df)) + 1``.
+    ``idx`` is the alphabetical position; ``idf = ln((1+N)/(1+df)) + 1``.  ``tf`` is a table of
+    ``written_terms`` made before.
     """
     n_docs = docs.count()
-    tf = tf if tf is not None else term_counts(docs, id_col, text_col, ngram_range)
-    stats = tf.groupBy('term').agg(F.count(F.lit(1)).alias('df'), F.sum('tf').alias('cf'))
+    tf = tf if tf is not None else written_terms(docs, id_col, text_col, ngram_range)
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
-    kept = stats.filter((F.col('df') >= lo) & (F.col('df') <= hi))
-    if max_features is not None:
-        kept = kept.orderBy(F.col('cf').desc(), F.col('term')).limit(max_features)
+    eligible = (F.col('df') >= lo) & (F.col('df') <= hi)
     idf = F.log((F.lit(1 + n_docs)) / (F.col('df') + 1)) + 1
     if max_features is not None:
+        kept = frequent_terms(tf, max_features, eligible)
         kept = kept.withColumn('idx', F.row_number().over(Window.orderBy('term')) - 1)  # max_features rows
     else:
-        kept = global_positions(kept, ['term'], 'idx')
+        kept = global_positions(_counted(tf).filter(eligible), ['term'], 'idx')
     return kept.select('term', F.col('idx').cast('int').alias('idx'),
                        F.col('df').cast('long').alias('df'), F.col('cf').cast('long').alias('cf'), idf.alias('idf'))
 
 
+def save_vocabulary(vocab: DataFrame, path: str, **settings) -> str:
+    """A fitted vocabulary and the settings of its analyser."""
+    vocab.write.mode('overwrite').parquet(f'{path}/terms')
+    vocab.sparkSession.createDataFrame([(json.dumps(settings),)], 'value string').coalesce(1).write.mode('overwrite').text(f'{path}/settings')
+    return path
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(vocabulary, settings)."""
+    return spark.read.parquet(f'{path}/terms'), json.loads(spark.read.text(f'{path}/settings').first()[0])
+
+
 # ---------------------------------------------------------------- D6
 def tfidf_transform(docs: DataFrame, vocab: DataFrame, id_col: str = 'doc_id', text_col: str = 'text',
                     ngram_range=(1, 2), tf: DataFrame | None = None,
@@ -140,21 +186,24 @@ def tfidf_transform(docs: DataFrame, vocab: DataFrame, id_col: str = 'doc_id', t
     """(id, term, idx, tfidf) with sublinear tf, L2-normalised per document.
 
     ``max_features``: the bound the vocabulary was fitted with; only then it is broadcast.
+    Only ids and weights of vocabulary terms are shuffled for the norm.
     """
     if vocab is None:
         raise ValueError('vectoriser is not fitted: call fit_tfidf first')
     tf = tf if tf is not None else term_counts(docs, id_col, text_col, ngram_range)
+    small = max_features is not None and max_features <= BROADCAST_TERMS
     v = vocab.select('term', 'idx', 'idf')
-    j = tf.join(F.broadcast(v) if max_features is not None and max_features <= BROADCAST_TERMS else v, 'term')
-    w = (1 + F.log(F.col('tf'))) * F.col('idf')
-    j = j.withColumn('_w', w)
+    j = tf.join(F.broadcast(v) if small else v, 'term')
+    j = j.select(id_col, 'idx', ((1 + F.log(F.col('tf'))) * F.col('idf')).alias('_w'))
     norm = F.sqrt(F.sum(F.col('_w') * F.col('_w')).over(Window.partitionBy(id_col)))
-    return j.select(id_col, 'term', 'idx', (F.col('_w') / norm).alias('tfidf'))
+    j = j.select(id_col, 'idx', (F.col('_w') / norm).alias('tfidf'))
+    names = vocab.select('idx', 'term')
+    return j.join(F.broadcast(names) if small else names, 'idx').select(id_col, 'term', 'idx', 'tfidf')
 
 
 def fit_transform(docs, id_col='doc_id', text_col='text', **kw):
-    tf = term_counts(docs, id_col, text_col, kw.get('ngram_range', (1, 2)))
-    vocab = fit_tfidf(docs, id_col, text_col, tf=tf, **kw)
+    tf = written_terms(docs, id_col, text_col, kw.get('ngram_range', (1, 2)))
+    vocab = written(fit_tfidf(docs, id_col, text_col, tf=tf, **kw), 'vocabulary')
     return vocab, tfidf_transform(docs, vocab, id_col, text_col, tf=tf, max_features=kw.get('max_features', 5000))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as D
-from ..session import read_table
+from ..session import read_table, scratch_path
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -95,6 +95,12 @@ def q_vocab(spark, sf):
     return v.withColumn('idf', _r6('idf'))
 
 
+@register('a8_save_load_vocabulary', WITH_ALL + 'SELECT term, idx, df, cf, round(idf, 6) AS idf FROM vocab')
+def q_save_vocab(spark, sf):
+    path = D.save_vocabulary(D.fit_tfidf(_docs(spark, sf)), scratch_path(spark, 'vocabulary'), ngram_range=[1, 2], max_features=5000)
+    return D.load_vocabulary(spark, path)[0].withColumn('idf', _r6('idf'))
+
+
 @register('d6_tfidf_transform', WITH_ALL + 'SELECT doc_id, term, idx, round(tfidf, 6) AS tfidf FROM tfidf')
 def q_tfidf(spark, sf):
     _, t = D.fit_transform(_docs(spark, sf))

@@ -253,11 +253,21 @@ def q_save_load(spark, sf):
     return _predicted(B.load(spark, _fit(train).save(scratch_path(spark, 'model'))), test)
 
 
+def _judged_docs(spark, sf):
+    """Documents with a quality label, a fifth of them held out."""
+    docs = _docs(spark, sf).join(read_table(spark, sf, 'labels').select('doc_id', F.col('quality').alias('label')), 'doc_id')
+    return docs.withColumn('held_out', hash_uniform(['doc_id'], 42, 'held') < 0.2)
+
+
 @register('e14_text_classifier')
 def q_text(spark, sf):
-    docs = _docs(spark, sf).join(read_table(spark, sf, 'labels').select('doc_id', F.col('quality').alias('label')), 'doc_id')
-    model, _ = T.fit_text(docs)
-    return T.score_text(model, docs).drop('text')
+    docs = _judged_docs(spark, sf)
+    return T.score_text(T.fit_text(docs.filter('not held_out')), docs).drop('text')
+
+
+@register('e14_epoch_losses')
+def q_text_losses(spark, sf):
+    return T.epoch_losses(T.fit_text(_judged_docs(spark, sf).filter('not held_out')))
 
 
 @register('e15_batch_score', "SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS score FROM documents")
