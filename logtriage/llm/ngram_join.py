@@ -40,7 +40,8 @@ from .hashing import mix, range_hashes, prefix_sums, words
 U = np.uint64
 #: Parts beyond k: the more, the more lists a set can leave aside.
 SPARE = 8
-BUCKET_BYTES = 16 << 20
+#: Text per bucket of lists, and signatures that a task gathers before it packs them.
+BUCKET_BYTES, GATHERED = 8 << 20, 1 << 19
 #: Bits of the map that marks candidate rows.
 MARKS = 1 << 24
 #: Candidates of a query set that are searched together.
@@ -148,11 +149,13 @@ def _lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets:
                 seen.add(x)
             for own, need, sig, j in signatures(sets, at, percent):
                 k = fresh[own]
-                got.append((fp[own[k]], j[k], need[k], sig[k]))
-            size += len(data)
-            if got and (size >= BUCKET_BYTES or hi == len(batch)):
-                yield from _packed_lists(*(np.concatenate([g[i] for g in got]) for i in range(4)), buckets)
+                got.append((fp[own[k]], j[k].astype(np.int16), need[k].astype(np.int32), sig[k]))
+                size += len(got[-1][0])
+            del sets
+            if size >= GATHERED or (got and hi == len(batch)):
+                parts = [np.concatenate([g[i] for g in got]) for i in range(4)]
                 got, size = [], 0
+                yield from _packed_lists(*parts, buckets)
 
 
 def _packed_lists(fp, j, need, sig, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -351,9 +354,8 @@ def rooted_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = found.join(lowest, 'root').select(F.col('node').alias('fp'), 'component_id', 'root')
     alone = first.select('fp', F.col('rep.doc_id').alias('own'))
     classes = alone.join(classes, 'fp', 'left').select('fp', F.coalesce('component_id', 'own').alias('component_id'), F.coalesce('root', 'fp').alias('root'))
-    out = meta.join(classes, 'fp', 'left')
-    return out.select('doc_id', 'th', 'n_shingles', F.when(F.col('fp') == 0, F.col('doc_id')).otherwise(F.col('component_id')).alias('component_id'),
-                      F.coalesce('root', 'fp').alias('root'))
+    out = meta.filter('fp <> 0').join(classes, 'fp', 'left').select('doc_id', 'th', 'n_shingles', 'component_id', F.coalesce('root', 'fp').alias('root'))
+    return out.unionByName(meta.filter('fp = 0').select('doc_id', 'th', 'n_shingles', F.col('doc_id').alias('component_id'), F.col('fp').alias('root')))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
