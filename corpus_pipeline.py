@@ -54,7 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(docs, public_tokenizers.path('word_bpe_49k.json'))
+    return packing.pack_texts(docs, public_tokenizers.path('word_bpe_49k.json'), **packing.INSTRUCTION)
 
 
 STAGES = [('toxicity', drop_toxic), ('ngram_join', keep_first_copies), ('suffix_dedup', cut_repeats),

@@ -18,6 +18,7 @@ keep their rows; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -33,33 +34,93 @@ from pyspark.sql import functions as F
 
 from .common import text_of, text_slices
 
+#: Settings for instruction data: the first sixteenth of a text is its prompt, and a sequence holds
+#: at most 2,000 loss-bearing tokens, so that none consists of answers alone.
+INSTRUCTION = {'prompt_share': 1 / 16, 'loss': 2000}
 #: Words remembered per process before all are forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+
+
+# ------------------------------------------------------------ fixed values
+#: What a tokenizer file must say for its texts to be encoded word by word: white space parts
+#: words and nothing else of a text bears on a word's ids, nor do letters on marks behind them.
+NORMALIZERS = ['NFC', 'Replace', 'Lowercase']
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# -------------------------------------------------------------------------
+_MARKS = ''.join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class Words:
-    """Ids of texts by a tokenizer file whose pre-tokenizer drops white space: the parts
-    between spaces or line ends are encoded alone, once while they are remembered."""
+    """Ids of texts by a tokenizer file, without the special tokens that it would add.
+
+    If the file parts texts at white space, letters and marks (``SPLIT``), words are encoded
+    once while they are remembered: many unseen ones in one call, their ids told apart by the
+    mark that ends a word's last token.  Texts that hold an added token, and all texts of other
+    files, are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ['TOKENIZERS_PARALLELISM'] = 'false'
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding='utf-8') as f:
+            about = json.load(f)
+        steps = (about.get('normalizer') or {}).get('normalizers', [])
+        parts = (about.get('pre_tokenizer') or {}).get('pretokenizers', [{}])
+        self.added = [a['content'] for a in about.get('added_tokens', [])]
+        self.suffix = about['model'].get('end_of_word_suffix')
+        self.by_word = ([x['type'] for x in steps] == NORMALIZERS and parts[0].get('pattern') == {'Regex': SPLIT} and parts[0].get('invert') is True
+                        and bool(self.suffix) and not any(a.get('normalized') for a in about.get('added_tokens', [])))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.by_word:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
         self.known: dict[str, bytes] = {'': b''}
 
+    def whole(self, text: str) -> bytes:
+        return array('i', self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace('\n', ' ').split(' ') for t in texts]
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
+        odd = [any(a in t for a in self.added) for t in texts]
+        parts = [[] if o else t.replace('\n', ' ').split(' ') for t, o in zip(texts, odd, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known = {'': b''}
         fresh = set().union(*parts).difference(self.known)
-        # a word before one mark, in any case: the pre-tokenizer parts them and lowers it
-        marked = [p for p in fresh if p[-1] in '.,' and p[:-1].isalpha() and p.isascii()]
-        self._learn({p[:-1].lower() for p in marked} | fresh.difference(marked) | {'.', ','})
-        for p in marked:
-            self.known[p] = self.known[p[:-1].lower()] + self.known[p[-1]]
-        get = self.known.__getitem__
-        return [b''.join(map(get, ps)) for ps in parts]
+        letters, others, marked = set(), set(), []
+        for p in fresh:
+            base = p.rstrip(_MARKS)
+            if base and base.isalpha():
+                word, marks = base.lower() if base.isascii() else base, p[len(base):]
+                letters.add(word)
+                if word != p:
+                    others.add(marks)
+                    marked.append((p, word, marks))
+            else:
+                others.add(p)
+        self._learn_words(letters)
+        self._learn(others)
+        known = self.known
+        for p, word, marks in marked:
+            known[p] = known[word] + known[marks]
+        get = known.__getitem__
+        return [self.whole(t) if o else b''.join(map(get, ps)) for t, o, ps in zip(texts, odd, parts, strict=True)]
+
+    def _learn_words(self, some: set[str]) -> None:
+        """Words of letters, each one token run with one end."""
+        fresh = list(some.difference(self.known))
+        groups = [fresh[lo:lo + 2000] for lo in range(0, len(fresh), 2000)]
+        for lo in range(0, len(groups), 8):
+            several = groups[lo:lo + 8]
+            for group, e in zip(several, self.tokenizer.encode_batch_fast([' '.join(g) for g in several], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                if len(at) != len(group) + 1:  # a letter that the normalizer takes apart
+                    self._learn(set(group))
+                    continue
+                raw = ids.tobytes()
+                self.known.update(zip(group, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
 
     def _learn(self, some: set[str]) -> None:
         fresh = list(some.difference(self.known))
@@ -90,10 +151,13 @@ class Piece:
         return (Piece(self.doc, self.start, self.ids[:n], self.total, self.prompt),
                 Piece(self.doc, self.start + n, self.ids[n:], self.total, self.prompt))
 
+    def free(self) -> int:
+        """Leading ids that bear no loss."""
+        return max(0, max(self.prompt, 1) - self.start)
+
     def longest(self, tokens: int, loss: int) -> int:
         """How many of its ids fit into that many tokens and loss-bearing tokens."""
-        free = max(0, max(self.prompt, 1) - self.start)
-        return min(len(self.ids), tokens, free + loss)
+        return min(len(self.ids), tokens, self.free() + loss)
 
 
 class Packer:
@@ -102,19 +166,22 @@ class Packer:
     def __init__(self, limits: tuple[int, int, int], waiting: int, first_id: int):
         self.limits, self.waiting, self.next_id = np.array(limits), waiting, first_id
         self.pool: list[Piece] = []
-        self.demands = np.zeros((2 * waiting + 64, 3), np.int64)
+        self.demands = np.zeros((2 * waiting + 64, 3), np.int64)  # tokens, segments, loss-bearing tokens
+        self.free = np.zeros(2 * waiting + 64, np.int64)  # leading tokens without loss
 
     def _add(self, p: Piece) -> None:
-        if len(self.pool) == len(self.demands):
+        n = len(self.pool)
+        if n == len(self.demands):
             self.demands = np.concatenate([self.demands, np.zeros_like(self.demands)])
-        self.demands[len(self.pool)] = p.demand()
+            self.free = np.concatenate([self.free, np.zeros_like(self.free)])
+        self.demands[n], self.free[n] = p.demand(), p.free()
         self.pool.append(p)
 
     def _take(self, i: int) -> Piece:
         p, last = self.pool[i], self.pool.pop()
         if last is not p:
             self.pool[i] = last
-            self.demands[i] = self.demands[len(self.pool)]
+            self.demands[i], self.free[i] = self.demands[len(self.pool)], self.free[len(self.pool)]
         return p
 
     def add(self, p: Piece) -> Iterator[tuple[int, list[Piece]]]:
@@ -140,25 +207,26 @@ class Packer:
         return self.next_id - 1, pieces
 
     def _fill(self, limits: np.ndarray) -> list[Piece]:
-        left, out = limits.copy(), []
+        left, out, weight = limits.tolist(), [], 1 / self.limits.astype(float) ** 2
         while self.pool and left[0] > 0 and left[1] > 0:
-            d = self.demands[:len(self.pool)]
-            fits = (d <= left).all(1)
+            n = len(self.pool)
+            d, free = self.demands[:n], self.free[:n]
+            fits = (d[:, 0] <= left[0]) & (d[:, 2] <= left[2])
             if left[1] == 1:  # the last segment: only a piece that fills it up, else cut one
                 fits &= d[:, 0] == left[0]
             if fits.any():
-                score = np.where(fits, d @ (left / self.limits.astype(float) ** 2), -1)
+                score = np.where(fits, d @ (weight * left), -1)
                 out.append(self._take(int(score.argmax())))
             else:
-                room = [p.longest(int(left[0]), int(left[2])) for p in self.pool]
-                best = int(np.argmax(room))
+                room = np.minimum(np.minimum(d[:, 0], left[0]), free + left[2])
+                best = int(room.argmax())
                 if room[best] == 0:
                     break
-                head, rest = self._take(best).cut(room[best])
+                head, rest = self._take(best).cut(int(room[best]))
                 out.append(head)
                 if len(rest.ids):
                     self._add(rest)
-            left = left - out[-1].demand()
+            left = [a - b for a, b in zip(left, out[-1].demand(), strict=True)]
         return out
 
     def rest(self) -> Iterator[tuple[int, list[Piece]]]:
@@ -177,7 +245,7 @@ DDL = ('start long, length long, ids_crc32 long, doc_tokens long, sequence_id lo
        'loss_tokens long, ids array<int>')
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tuple, waiting: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tuple, waiting: int, share: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
     words = tokenizer(path)
     packer = Packer(limits, waiting, TaskContext.get().partitionId() << 33)
     end = np.array([end_id], np.int32).tobytes()
@@ -205,7 +273,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tup
             texts = [raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             for i, x in zip(range(lo, hi), words.encode(texts), strict=True):
                 own = np.frombuffer(x + end, np.int32)
-                note(packer.add(Piece(ids[i], 0, own, len(own), prompts[i] or 0)))
+                note(packer.add(Piece(ids[i], 0, own, len(own), max(prompts[i] or 0, int(share * len(own))))))
             if rows:
                 yield batch_of()
     note(packer.rest())
@@ -214,11 +282,12 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tup
 
 
 def pack_texts(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, segments: int = 64,
-               loss: int | None = None, prompt: str | None = None, waiting: int = 512, with_ids: bool = False) -> DataFrame:
+               loss: int | None = None, prompt: str | None = None, prompt_share: float = 0.0, waiting: int = 512, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     segment (its number in the sequence), loss_tokens and, with ``with_ids``, its ids.
 
-    ``prompt`` names a column with the number of leading tokens that bear no loss;
+    ``prompt`` names a column with the number of leading tokens that bear no loss, at least the
+    first ``prompt_share`` of a text's tokens (rounded down) bear none;
     ``segments`` and ``loss`` (default: ``capacity``) limit a sequence like ``capacity`` does.
     """
     limits = (capacity, segments, capacity if loss is None else loss)
@@ -226,5 +295,5 @@ def pack_texts(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048
         raise ValueError('limits are at least 1')
     t = docs.select(F.col('doc_id').cast('long').alias('doc_id'), text_of().alias('text'),
                     (F.col(prompt).cast('int') if prompt else F.lit(0)).alias('prompt'))
-    out = t.mapInArrow(partial(_pack, path=path, end_id=end_id, limits=limits, waiting=waiting, with_ids=with_ids), f'doc_id long, {DDL}')
+    out = t.mapInArrow(partial(_pack, path=path, end_id=end_id, limits=limits, waiting=waiting, share=prompt_share, with_ids=with_ids), f'doc_id long, {DDL}')
     return out if with_ids else out.drop('ids')

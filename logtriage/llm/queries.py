@@ -16,7 +16,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(read_table(spark, sf_dir, 'documents'), public_tokenizers.path('word_bpe_49k.json'))
+    return packing.pack_texts(read_table(spark, sf_dir, 'documents'), public_tokenizers.path('word_bpe_49k.json'), **packing.INSTRUCTION)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

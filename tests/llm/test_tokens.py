@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from logtriage.llm import bpe, packing
+from logtriage.llm import bpe, packing, queries
 
 from .helpers import awkward_texts, docs_of
 
@@ -67,7 +67,6 @@ def test_encode_decode_rows(spark, reference):
 
 def check(rows, texts, limits):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = defaultdict(list)
     for d, x in texts:
         want[d].append(np.array([*t.encode(x or '', add_special_tokens=False).ids, 1], np.uint32))
@@ -111,6 +110,77 @@ def test_pack_under_three_limits(spark, limits):
     check(rows, texts, limits)
 
 
+def test_words_equal_the_unmodified_tokenizer(tmp_path):
+    rng = random.Random(7)
+    t, w = Tokenizer.from_file(WORDS), packing.tokenizer(WORDS)
+    parts = ['The', 'word', 'WORD.', 'l’eau', "don't", "dogs'", 'a$$$', 'x,,', 'Straße!!', 'é', 'e\u0301', 'İstanbul', 'क़', 'ΟΔΟΣ.', '<|startoftext|>', '<|endoftext|>x', '<|endof', '123', '4a', '_b_', '🙂', '的',
+             '\t', '\n\n', '\u00a0', '\u2028', '...', "'s", 'ﬁ', '']
+    texts = [rng.choice([' ', '', ' ']).join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    for lo in range(0, len(texts), 100):
+        for text, raw in zip(texts[lo:lo + 100], w.encode(texts[lo:lo + 100]), strict=True):
+            assert np.frombuffer(raw, np.int32).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    other = public_tokenizers.path('byte_bpe_50k.json')  # parts words otherwise: texts are encoded whole
+    o = Tokenizer.from_file(other)
+    assert not packing.tokenizer(other).by_word
+    assert np.frombuffer(packing.tokenizer(other).encode(['two  words'])[0], np.int32).tolist() == o.encode('two  words', add_special_tokens=False).ids
+
+
+def plain_fill(pool, limits):
+    """The dot-product choice by the definition, over (tokens, free) of the waiting pieces."""
+    left, out = list(limits), []
+    pool = list(pool)
+    while pool and left[0] and left[1]:
+        need = [(n, 1, max(0, n - free)) for n, free in pool]
+        best, top = None, -1.0
+        for i, d in enumerate(need):
+            if all(a <= b for a, b in zip(d, left, strict=True)) and (left[1] > 1 or d[0] == left[0]):
+                dot = sum(a * b / c ** 2 for a, b, c in zip(d, left, limits, strict=True))
+                if dot > top + 1e-12:
+                    best, top = i, dot
+        if best is None:
+            room = [min(n, left[0], free + left[2]) for n, free in pool]
+            best = room.index(max(room))
+            if not room[best]:
+                break
+            used = (room[best], 1, max(0, room[best] - pool[best][1]))
+        else:
+            used = need[best]
+        n, free = pool[best]
+        last = pool.pop()
+        if best < len(pool):
+            pool[best] = last
+        if used[0] < n:
+            pool.append((n - used[0], max(0, free - used[0])))
+        out.append(used)
+        left = [a - b for a, b in zip(left, used, strict=True)]
+    return out
+
+
+def test_choice_is_the_largest_dot_product():
+    rng = random.Random(3)
+    for _ in range(300):
+        limits = (rng.randrange(20, 80), rng.randrange(1, 6), rng.randrange(10, 60))
+        packer = packing.Packer(limits, 64, 0)
+        for k in range(rng.randrange(1, 40)):
+            n = rng.randrange(1, 30)
+            packer._add(packing.Piece(k, 0, np.arange(n, dtype=np.int32), n, rng.randrange(n + 1)))
+        want = plain_fill([(len(p.ids), p.free()) for p in packer.pool], limits)
+        assert [p.demand() for p in packer._fill(np.array(limits))] == want
+
+
+def test_loss_limit_binds_on_the_documents(spark):
+    """op2_packing: sequences of answers alone stop at the loss limit, and little is padded."""
+    rows = queries.op2_packing(spark, '/root/testdata/sf0.1').collect()
+    tokens, loss = defaultdict(int), defaultdict(int)
+    for r in rows:
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+    limit = packing.INSTRUCTION['loss']
+    assert max(loss.values()) == limit < 2048 and sum(v == limit for v in loss.values()) > 100
+    padding = sum(2048 - n for n in tokens.values() if n & (n - 1))
+    assert padding < 0.01 * sum(tokens.values())
+
+
 def test_tasks_repeat_alike(spark):
     docs = docs_of(spark).coalesce(2)
     a, b = (sorted(map(str, packing.pack_texts(docs, WORDS).collect())) for _ in range(2))
