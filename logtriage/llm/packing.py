@@ -28,17 +28,18 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, text_slices
+from .common import gather, text_of, text_slices
 
 #: Settings for instruction data: the first sixteenth of a text is its prompt, and a sequence holds
 #: at most 2,000 loss-bearing tokens, so that none consists of answers alone.
 INSTRUCTION = {'prompt_share': 1 / 16, 'loss': 2000}
 #: Words remembered per process before all are forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 
 
 # ------------------------------------------------------------ fixed values
@@ -77,35 +78,54 @@ class Words:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
         self.known: dict[str, bytes] = {'': b''}
 
-    def whole(self, text: str) -> bytes:
-        return array('i', self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_word:
-            return [self.whole(t) for t in texts]
-        odd = [any(a in t for a in self.added) for t in texts]
-        parts = [[] if o else t.replace('\n', ' ').split(' ') for t, o in zip(texts, odd, strict=True)]
+            return [self.whole(t) for t in texts.to_pylist()]
+        parts = pc.split_pattern(pc.replace_substring(texts, '\n', ' '), ' ')
+        words = parts.flatten().dictionary_encode()
+        found = self._found(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = words.indices.to_numpy()
+        flat, ends = gather(np.frombuffer(b''.join(found), np.int32), (np.cumsum(size) - size)[at], size[at])
+        first = parts.offsets.to_numpy()
+        off = ends[first - first[0]]
+        out = [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        for a in self.added:
+            for i in np.flatnonzero(pc.match_substring(texts, a).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self.whole(texts[i].as_py())
+        return out
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, unseen ones learned."""
         if len(self.known) > REMEMBERED:
             self.known = {'': b''}
-        fresh = set().union(*parts).difference(self.known)
-        letters, others, marked = set(), set(), []
-        for p in fresh:
+        out = list(map(self.known.get, words))
+        letters, others, marked, rest = set(), set(), [], []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            p = words[k]
             base = p.rstrip(_MARKS)
             if base and base.isalpha():
-                word, marks = base.lower() if base.isascii() else base, p[len(base):]
+                word = base.lower() if base.isascii() else base
                 letters.add(word)
-                if word != p:
-                    others.add(marks)
-                    marked.append((p, word, marks))
+                marks = p[len(base):]
+                others.add(marks)
+                marked.append((k, word, marks))  # not remembered: made from the two again
             else:
                 others.add(p)
+                rest.append((k, p))
         self._learn_words(letters)
         self._learn(others)
-        known = self.known
-        for p, word, marks in marked:
-            known[p] = known[word] + known[marks]
-        get = known.__getitem__
-        return [self.whole(t) if o else b''.join(map(get, ps)) for t, o, ps in zip(texts, odd, parts, strict=True)]
+        get = self.known.__getitem__
+        for k, word, marks in marked:
+            out[k] = get(word) + get(marks) if marks else get(word)
+        for k, p in rest:
+            out[k] = get(p)
+        return out
 
     def _learn_words(self, some: set[str]) -> None:
         """Words of letters, each one token run with one end."""
@@ -248,7 +268,7 @@ DDL = ('start long, length long, ids_crc32 long, doc_tokens long, sequence_id lo
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tuple, waiting: int, share: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
     words = tokenizer(path)
     packer = Packer(limits, waiting, TaskContext.get().partitionId() << 33)
-    end = np.array([end_id], np.int32).tobytes()
+    end = np.int32(end_id)
     rows: list[tuple] = []
 
     def note(sequences):
@@ -268,11 +288,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tup
 
     for batch in batches:
         ids, prompts = batch.column('doc_id').to_pylist(), batch.column('prompt').to_pylist()
-        for lo, hi, data, off in text_slices(batch):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            for i, x in zip(range(lo, hi), words.encode(texts), strict=True):
-                own = np.frombuffer(x + end, np.int32)
+        column = batch.column('text')
+        for lo, hi, _, _ in text_slices(batch):
+            for i, x in zip(range(lo, hi), words.encode(column.slice(lo, hi - lo)), strict=True):
+                own = np.append(x, end)
                 note(packer.add(Piece(ids[i], 0, own, len(own), max(prompts[i] or 0, int(share * len(own))))))
             if rows:
                 yield batch_of()
