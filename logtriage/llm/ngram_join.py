@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, keyed, on_key, renamed, text_slices, written
+from .common import by_key, give_back, keyed, lean, on_key, renamed, text_slices, written
 from .components import components
 from .hashing import mix, range_hashes, prefix_sums, words
 
@@ -41,7 +41,7 @@ U = np.uint64
 #: Parts beyond k: the more, the more lists a set can leave aside.
 SPARE = 8
 #: Text per bucket of lists, and signatures that a task gathers before it packs them.
-BUCKET_BYTES, GATHERED = 8 << 20, 1 << 19
+BUCKET_BYTES, GATHERED = 8 << 20, 1 << 18
 #: Bits of the map that marks candidate rows.
 MARKS = 1 << 24
 #: Candidates of a query set that are searched together.
@@ -123,6 +123,7 @@ def signatures(sets: np.ndarray, off: np.ndarray, percent: int) -> Iterator[tupl
 META = 'doc_id long, th long, n_shingles long, fp long'
 
 
+@lean
 def _meta(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, off in text_slices(batch):
@@ -135,6 +136,7 @@ def _meta(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 LISTS = 'bucket int, fps binary, classes binary, needs binary, per binary, sigs binary'
 
 
+@lean
 def _lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Signatures packed by hash bucket, once per distinct set of a batch."""
     for batch in batches:
@@ -192,9 +194,11 @@ def _shared(table: pa.Table) -> pa.Table:
     size = np.diff(np.append(start, len(sig)))
     n = np.repeat(size, size)
     k = n > 1
+    give_back()
     return pa.table({'fp': fp[k], 'class': cls[k].astype(np.int32), 'need': need[k], 'sig': sig[k].view(np.int64), 'len': n[k].astype(np.int64)})
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], width: int, marked: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The sets of the rows whose bit is marked."""
     for batch in batches:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, text_of, text_slices
+from .common import gather, lean, text_of, text_slices
 
 #: Settings for instruction data: the first sixteenth of a text is its prompt, and a sequence holds
 #: at most 2,000 loss-bearing tokens, so that none consists of answers alone.
@@ -265,6 +265,7 @@ DDL = ('start long, length long, ids_crc32 long, doc_tokens long, sequence_id lo
        'loss_tokens long, ids array<int>')
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: tuple, waiting: int, share: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
     words = tokenizer(path)
     packer = Packer(limits, waiting, TaskContext.get().partitionId() << 33)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, renamed, text_slices, written
+from .common import keyed, lean, renamed, text_slices, written
 from .hashing import U, letter_runs, mix, prefix_sums, range_hashes
 
 FIT_ROWS, FEATURES, GRADES = 8000, 2000, 3
@@ -56,6 +56,7 @@ def _features(data: np.ndarray, off: np.ndarray):
     return row[start], h[start], np.diff(np.append(start, len(h)))
 
 
+@lean
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, off in text_slices(b):
@@ -145,12 +146,14 @@ def _above(data: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     return 1 - _sigmoid(model['thresholds'][None, :] - eta[:, None])
 
 
+@lean
 def _keep(batches: Iterator[pa.RecordBatch], model: dict, text: str, reject: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, off in text_slices(batch, text):
             yield batch.slice(lo, hi - lo).filter(pa.array(_above(data, off, model)[:, 0] <= reject))
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, off in text_slices(batch):
