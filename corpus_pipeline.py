@@ -39,13 +39,15 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    names = docs.columns  # columns of the documents may be called like the measures
+    docs = docs.withColumnsRenamed({c: f'own {i}' for i, c in enumerate(names) if c in suffix_dedup.MEASURED})
     out = suffix_dedup.remove_repeats(docs, 50, with_text=True)
     left = (F.col('n_removed') == 0) | F.col('text').rlike(r'[^\x20\x09-\x0D]')
     out = out.filter(left)
     if 'n_chars' in docs.columns:
         kind = docs.schema['n_chars'].dataType
         out = out.withColumn('n_chars', F.when(F.col('n_removed') > 0, F.length('text').cast(kind)).otherwise(F.col('n_chars')))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f'`{c}`') for c in docs.columns]).toDF(*names)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ documents).  A document's score is the mean over its n-grams of log(target / raw
 kept when no counting rule fails and the score reaches ``threshold``.  Log ratios are held
 as integers of 1e-6, so sums do not depend on the order of rows.
 
-The target is at most ``target_rows`` labelled documents (those with the smallest hash of
-their id): that bound is what allows the id list to be broadcast.  The ratio table has
-``buckets`` rows whatever the input's size, and is broadcast too.
+The target is every document with a trusted label; its ids are joined as the planner sees
+fit.  The ratio table has ``buckets`` rows whatever the input's size, and is broadcast.
 
 Edge cases: null or empty text has no words (``base_failed`` holds); a null ``doc_id`` is
 never a target but gets its row; repeated rows each get the same result; an empty table
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import WORD, keyed, on_key, written
 
 BUCKETS = 1 << 18
-TARGET_ROWS = 20_000
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.4
 SYMBOLS = r'[#*$%&|<>]'
@@ -66,16 +64,15 @@ def _grams(k: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame:
     return pairs.select(*keep, cell('a').alias('uni'), F.when(F.col('b').isNotNull(), cell('a', 'b')).alias('bi'))
 
 
-def target_ids(labels: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Ids of the trusted documents: label 1, at most ``target_rows``, by hash of the id."""
-    return (labels.filter((F.col('quality') == 1) & F.col('doc_id').isNotNull())
-            .select(F.col('doc_id').cast('long').alias('doc_id')).distinct()
-            .orderBy(F.xxhash64('doc_id'), 'doc_id').limit(target_rows))
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the trusted documents (label 1), written: Spark broadcasts them only if small."""
+    ids = labels.filter((F.col('quality') == 1) & F.col('doc_id').isNotNull()).select(F.col('doc_id').cast('long').alias('doc_id'))
+    return written(ids.distinct(), 'targets')
 
 
 def ratio_table(k: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(cell, lr): log of smoothed target over smoothed raw probability, in 1e-6."""
-    marked = k.join(F.broadcast(targets.withColumn('is_target', F.lit(1))), 'doc_id', 'left')
+    marked = k.join(targets.withColumn('is_target', F.lit(1)), 'doc_id', 'left')
     cells = (_grams(marked, 'is_target', buckets=buckets)
              .select('is_target', F.explode(F.array('uni', 'bi')).alias('cell')).filter(F.col('cell').isNotNull()))
     counts = cells.groupBy('cell').agg(F.count(F.lit(1)).alias('raw'), F.count('is_target').alias('target'))
@@ -94,11 +91,10 @@ def ratio_scores(k: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> Dat
                                          (F.count('uni') + F.count('bi')).alias('n_grams'))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS,
-          target_rows: int = TARGET_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Per row: doc_id, the five counts, base_failed, llr (null without words), kept."""
     k = keyed(docs)
-    ratios = written(ratio_table(k, target_ids(labels, target_rows), buckets), 'ratios')
+    ratios = written(ratio_table(k, target_ids(labels), buckets), 'ratios')
     scores = ratio_scores(k, ratios, buckets)
     # written first: a later filter on the counts must not be pushed into their expressions
     out = on_key(written(base_columns(k), 'counts'), scores)

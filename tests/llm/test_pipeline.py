@@ -5,16 +5,19 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from logtriage.session import TABLES
+from logtriage.session import TABLES, written
+
+from .helpers import docs_of
 
 SF = '/root/testdata/sf0.001'
 
 
 def test_every_operator_is_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f'op{n}_') for x in names) == 1
     assert 'pipeline' in names and [n for n, _ in P.STAGES] == ['toxicity', 'ngram_join', 'suffix_dedup', 'secret_scan', 'packing']
     assert 'documents' in TABLES and E.oracle_sql().keys() <= names.keys()
@@ -52,6 +55,27 @@ def test_stages(staged):
     assert {r.doc_id for r in pieces} == set(texts[4]) and max(r.offset + r.length for r in pieces) <= 2048
 
 
+def test_awkward_rows_pass_every_stage(spark):
+    """Null, empty, very long and repeated rows, and columns named like the operators' own."""
+    start = docs_of(spark)
+    docs = start.withColumn('n_bytes', F.lit(7)).withColumn('kept_sha256', F.lit('mine'))
+    labels = f'{SF}'
+    rows = docs
+    for name, stage in P.STAGES[:-1]:
+        rows = written(stage(spark, rows, labels), name)
+        assert rows.columns == docs.columns and rows.dtypes == docs.dtypes, name
+        assert all(r.n_bytes == 7 and r.kept_sha256 == 'mine' and r.n_removed == 'x' and r.ids == 'x' for r in rows.collect()), name
+    texts = {(r.doc_id, r.text) for r in rows.collect()}
+    assert sum(t is None for _, t in texts) == 1 and (4, '') in texts and (5, ' \t\n\r\x0b\x0c ') in texts
+    assert sum(i == 8 for i, _ in texts) == 0 and any(i == 1 for i, _ in texts)  # copies of the first text
+    assert not any('hunter2hunter2' in (t or '') for _, t in texts)
+    packed = P.STAGES[-1][1](spark, rows, labels)
+    assert packed.select('doc_id').distinct().count() == rows.select('doc_id').distinct().count()
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, start.limit(0), labels).collect() == [], name
+    assert P.STAGES[-1][1](spark, start.limit(0), labels).collect() == []
+
+
 def test_run_equals_the_stages(spark, staged):
     cols = ['doc_id', 'start', 'length', 'ids_crc32', 'doc_tokens']
     a, b = (sum(r.length for r in d.select(cols).collect()) for d in (P.run(spark, SF), staged[-1]))
