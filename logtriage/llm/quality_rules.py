@@ -6,9 +6,9 @@ documents).  A document's score is the mean over its n-grams of log(target / raw
 kept when no counting rule fails and the score reaches ``threshold``.  Log ratios are held
 as integers of 1e-6, so sums do not depend on the order of rows.
 
-The target is every document with a trusted label.  A bit map of MARKS bits, whatever the
-input's size, tells which rows may be targets; only those are shuffled for the join with the
-ids.  The ratio table has ``buckets`` rows whatever the input's size, and is broadcast.
+The target is every document with a trusted label.  Their ids are counted first: up to
+``BROADCAST_IDS`` go to every task, more are joined by shuffling.  The ratio table has
+``buckets`` rows whatever the input's size, and is broadcast.
 
 Edge cases: null or empty text has no words (``base_failed`` holds); a null ``doc_id`` is
 never a target but gets its row; repeated rows each get the same result; an empty table
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, keyed, on_key, written
 
 BUCKETS = 1 << 18
-#: Bits of the map of trusted ids.
-MARKS = 1 << 24
+#: Trusted ids that are broadcast at most (16 bytes each in a task's table).
+BROADCAST_IDS = 2_000_000
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.4
 SYMBOLS = r'[#*$%&|<>]'
@@ -68,27 +68,16 @@ def _grams(k: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame:
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
-    """Ids of the trusted documents (label 1)."""
+    """Ids of the trusted documents (label 1), written."""
     ids = labels.filter((F.col('quality') == 1) & F.col('doc_id').isNotNull()).select(F.col('doc_id').cast('long').alias('doc_id'))
     return written(ids.distinct(), 'targets')
 
 
-def maybe_target(targets: DataFrame) -> Column:
-    """Whether the bit of a row's doc_id is set in the map of the targets' ids."""
-    bit = F.pmod(F.xxhash64('doc_id'), F.lit(MARKS))
-    words = targets.select(bit.alias('bit')).groupBy(F.expr('bit div 8').alias('at')).agg(F.bit_or(F.expr('shiftleft(1, cast(bit % 8 as int))')).alias('w'))
-    marks = bytearray(MARKS // 8)
-    for r in words.collect():  # MARKS / 8 rows at most
-        marks[r['at']] = r.w
-    byte = F.conv(F.hex(F.substr(F.lit(bytes(marks)), (F.floor(bit / 8) + 1).cast('int'), F.lit(1))), 16, 10).cast('int')
-    return F.coalesce(F.getbit(byte, (bit % 8).cast('int')) == 1, F.lit(False))
-
-
-def ratio_table(k: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def ratio_table(k: DataFrame, targets: DataFrame, buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(cell, lr): log of smoothed target over smoothed raw probability, in 1e-6."""
-    k = k.select('doc_id', 'text').withColumn('maybe', F.col('doc_id').isNotNull() & maybe_target(targets))
-    some = k.filter('maybe').join(targets.withColumn('is_target', F.lit(1)).hint('merge'), 'doc_id', 'left')
-    marked = k.filter('not maybe').withColumn('is_target', F.lit(None).cast('int')).unionByName(some)
+    flags = targets.withColumn('is_target', F.lit(1))
+    flags = F.broadcast(flags) if targets.count() <= broadcast_ids else flags.hint('merge')
+    marked = k.join(flags, 'doc_id', 'left')
     cells = (_grams(marked, 'is_target', buckets=buckets)
              .select('is_target', F.explode(F.array('uni', 'bi')).alias('cell')).filter(F.col('cell').isNotNull()))
     counts = cells.groupBy('cell').agg(F.count(F.lit(1)).alias('raw'), F.count('is_target').alias('target'))

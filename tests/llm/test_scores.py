@@ -228,6 +228,9 @@ def brute_ratios(rows, targets, buckets):
 def test_rules_awkward_rows(spark):
     rows = [*awkward_texts(), (70, 'a b c a b c d\nx\nx\n\nx y'), (71, 'same line here\n' * 30)]
     labels = labels_of(spark, [(1, 1, 0), (10, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)])
+    k = quality_rules.keyed(docs_of(spark, rows))
+    tables = [sorted(quality_rules.ratio_table(k, quality_rules.target_ids(labels), 512, n).collect()) for n in (0, 10**6)]
+    assert tables[0] == tables[1] and tables[0]  # joined by shuffling, and broadcast
     out = quality_rules.judge(docs_of(spark, rows), labels, buckets=512).collect()
     want = Counter((i, *brute_rules(t), x) for (i, t), x in zip(rows, brute_ratios(rows, {1, 10}, 512), strict=True))
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.llr) for r in out) == want
