@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 
-from logtriage.llm import queries, secrets, topk
+from logtriage.llm import oracles, secrets, topk
 from pyspark.sql import functions as F
 
 from .helpers import awkward_texts, docs_of
@@ -104,4 +104,4 @@ def test_topk_sql(spark, tmp_path):
     vectors(spark, rows).coalesce(1).write.parquet(path)
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from read_parquet('{path}/*.parquet')")
-    assert set(con.sql(queries.TOPK_SQL).fetchall()) == brute(rows)
+    assert set(con.sql(oracles.TOPK_SQL).fetchall()) == brute(rows)
