@@ -232,7 +232,7 @@ def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.Recor
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path, pattern)
     for batch in batches:
-        for lo, hi, data, off in text_slices(batch):
+        for lo, hi, data, off in text_slices(batch, max_bytes=2 << 20):
             raw = data.tobytes()
             ids = [own.encode(raw[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             sizes = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
