@@ -479,8 +479,9 @@ def grow_by_fit(data: DataFrame, fits: list[Fit]) -> None:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist([{'id': row['id'], 'fit': pickle.dumps(grow_here(shared.value, pickle.loads(row['fit'])))}])
 
-    todo = [(i, pickle.dumps(f)) for i, f in enumerate(fits) if not f.done]
-    jobs = spark.createDataFrame(todo, 'id long, fit binary').repartitionByRange(max(1, len(todo)), 'id') if todo else None
+    longest = sorted((i for i, f in enumerate(fits) if not f.done), key=lambda i: -fits[i].spec.rounds * fits[i].spec.depth)
+    todo = [(k, i, pickle.dumps(fits[i])) for k, i in enumerate(longest)]  # the longest fits begin first
+    jobs = spark.createDataFrame(todo, 'turn long, id long, fit binary').repartitionByRange(max(1, len(todo)), 'turn') if todo else None
     for r in jobs.mapInArrow(run, 'id long, fit binary').toLocalIterator() if todo else []:
         fits[r.id].__dict__.update(pickle.loads(r.fit).__dict__)
     shared.destroy()
