@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import word_tokens
+from ..session import written
 from .features import BROADCAST_TERMS, global_positions
 
+#: Numbers of the vectors up to which they go to every task, and rows pooled at a time.
+BROADCAST_NUMBERS, POOLED_ROWS = 1_000_000, 1024
+
 #: Ids of the special tokens; words follow.
 SPECIAL = {'[PAD]': 0, '[UNK]': 1, '[START]': 2, '[END]': 3}
 
@@ -84,11 +94,77 @@ def mean_pool(tokens: DataFrame, vectors: DataFrame, id_col='doc_id', token_col=
     """(id, dim, value): the mean of the vectors of a document's tokens.
 
     ``tokens`` has one row per token to count (padding left out); tokens without a vector
-    are left out too.  Equal tokens of a document are counted before the join, and sums run
-    per dimension, so no vector list is collected.
+    are left out too.  Equal tokens of a document are counted, and the sorted counts are added up
+    document by document.  Vectors in use go to every task up to ``BROADCAST_NUMBERS`` numbers,
+    so that only counts are shuffled; more are joined first.
     """
-    n = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).alias('_n'))
-    j = n.join(vectors.select(token_col, vector_col), token_col)
-    parts = j.select(id_col, '_n', F.posexplode(vector_col).alias('dim', 'x'))
-    total = F.sum(F.col('x').cast('double') * F.col('_n')) / F.greatest(F.sum('_n').cast('double'), F.lit(1e-9))
-    return parts.groupBy(id_col, 'dim').agg(total.alias('value'))
+    n = tokens.groupBy(id_col, token_col).agg(F.count(F.lit(1)).cast('double').alias('_n')).filter(F.col(token_col).isNotNull())
+    vectors = vectors.select(token_col, F.col(vector_col).cast('array<double>').alias('_x'))
+    used = written(vectors.join(tokens.select(token_col).distinct(), token_col, 'left_semi'), 'used-vectors')
+    rows, width = used.agg(F.count(F.lit(1)), F.max(F.size('_x'))).first()
+    table = None
+    if rows * (width or 0) <= BROADCAST_NUMBERS:
+        table = used.toArrow().combine_chunks()
+    else:
+        n = n.join(used, token_col)
+    n = n.repartition(id_col).sortWithinPartitions(id_col)
+    kind = n.schema[id_col].dataType.simpleString()
+    pooled = n.withColumnRenamed(id_col, '_id').mapInArrow(partial(_pooled, token_col=token_col, table=table), f'_id {kind}, values array<double>, present array<boolean>')
+    parts = pooled.select(F.col('_id').alias(id_col), F.posexplode(F.arrays_zip('values', 'present')).alias('dim', '_v'))
+    return parts.filter('_v.present').select(id_col, 'dim', F.col('_v.values').alias('value'))
+
+
+def _cells(x: pa.Array) -> np.ndarray:
+    """Numbers (null: 0), 1 where there is one or a null, 1 where there is one, by (row, dimension)."""
+    size = np.asarray(x.value_lengths().fill_null(0))
+    flat = x.flatten()
+    at = np.arange(size.max(initial=0)) < size[:, None]
+    out = np.zeros((3, *at.shape))
+    out[0][at], out[1][at], out[2][at] = np.asarray(flat.fill_null(0.0)), 1.0, np.asarray(flat.is_valid())
+    return out
+
+
+def _pooled(batches: Iterator[pa.RecordBatch], token_col: str, table: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    """Means by dimension of counted tokens whose ids stand together; the last document of a slice
+    is kept open.  The vectors are in ``table``, or beside the tokens."""
+    if table is not None:
+        names = table.column(token_col).combine_chunks().dictionary_encode()
+        cells = _cells(table.column('_x').combine_chunks())
+        known = np.zeros((3, len(names.dictionary), cells.shape[2]))
+        for mine, own in zip(known, cells, strict=True):
+            np.add.at(mine, np.asarray(names.indices), own)  # vectors may share a token
+    open_id, held = None, None
+
+    def batch_of(ids: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+        value, weight, numbers = total
+        off = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * value.shape[1])
+        mean = pa.array((value / np.maximum(weight, 1e-9)).ravel(), mask=(numbers == 0).ravel())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(off, mean), pa.ListArray.from_arrays(off, pa.array((weight > 0).ravel()))], ['_id', 'values', 'present'])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, POOLED_ROWS):
+            part = batch.slice(lo, POOLED_ROWS)
+            if table is not None:
+                at = pc.index_in(part.column(token_col), value_set=names.dictionary)
+                part, at = part.filter(at.is_valid()), np.asarray(at.drop_null())
+            if not part.num_rows:
+                continue
+            ids = part.column('_id')
+            cells = known[:, at] if table is not None else _cells(part.column('_x'))
+            code = np.asarray(ids.dictionary_encode('encode').indices)
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            # only numbers are counted once each, whatever their times
+            cells[:2] *= np.asarray(part.column('_n'))[:, None]
+            total, first = np.add.reduceat(cells, starts, axis=1), ids.take(pa.array(starts))
+            if held is not None:
+                width = max(held.shape[2], total.shape[2])
+                held, total = (np.pad(x, ((0, 0), (0, 0), (0, width - x.shape[2]))) for x in (held, total))
+                if open_id[0].as_py() == first[0].as_py():
+                    total[:, :1] += held
+                else:
+                    yield batch_of(open_id, held)
+            if len(starts) > 1:
+                yield batch_of(first[:-1], total[:, :-1])
+            open_id, held = first[-1:], total[:, -1:]
+    if held is not None:
+        yield batch_of(open_id, held)
