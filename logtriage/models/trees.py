@@ -21,7 +21,7 @@ import hashlib
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +127,11 @@ def soft(g, alpha: float):
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0) if alpha else g
 
 
-def split_of(hist: np.ndarray, spec: Spec) -> tuple[float, int, int, np.ndarray] | None:
-    """Best (gain, feature, cut, sums of the left side) of one node, from its sums by
-    (feature, bin, channel); the first of equals."""
-    left = np.cumsum(hist, axis=1)
-    whole = left[:, -1:, :]
+def splits_of(hist: np.ndarray, spec: Spec) -> list[tuple[float, int, int, np.ndarray] | None]:
+    """Best (gain, feature, cut, sums of the left side) of each node, from sums by (node, feature,
+    bin, channel); the first of equals."""
+    left = np.cumsum(hist, axis=2)
+    whole = left[:, :, -1:, :]
     right = whole - left
 
     def score(s):
@@ -139,9 +139,17 @@ def split_of(hist: np.ndarray, spec: Spec) -> tuple[float, int, int, np.ndarray]
         return np.where(d > 0, soft(s[..., 0], spec.reg_alpha) ** 2 / np.where(d > 0, d, 1), 0.0)
 
     ok = (left[..., 2] >= spec.min_rows) & (right[..., 2] >= spec.min_rows) & (left[..., 1] >= spec.min_hessian) & (right[..., 1] >= spec.min_hessian)
-    gain = np.where(ok, score(left) + score(right) - score(whole) - spec.gamma, -np.inf)
-    f, cut = np.unravel_index(np.argmax(gain), gain.shape)
-    return (float(gain[f, cut]), int(f), int(cut), left[f, cut]) if gain[f, cut] > 1e-9 else None
+    gain = np.where(ok, score(left) + score(right) - score(whole) - spec.gamma, -np.inf).reshape(len(hist), -1)
+    out = []
+    for i, at in enumerate(gain.argmax(axis=1).tolist()):
+        f, cut = divmod(at, hist.shape[2])
+        out.append((float(gain[i, at]), f, cut, left[i, f, cut].copy()) if gain[i, at] > 1e-9 else None)
+    return out
+
+
+def split_of(hist: np.ndarray, spec: Spec) -> tuple[float, int, int, np.ndarray] | None:
+    """``splits_of`` one node."""
+    return splits_of(hist[None], spec)[0]
 
 
 @dataclass
@@ -297,14 +305,21 @@ class Rows:
 
 def channels(view: View, rows: Rows, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(G, D, rows) of each row in this round; zero where it is held or not drawn."""
+    return weighted(view, rows.y, times(view, rows), margin)
+
+
+def times(view: View, rows: Rows) -> np.ndarray:
+    """How often each row is drawn in this round; never if it is held."""
     n = np.where(rows.part == view.held, 0.0, rows.n) if view.held is not None else rows.n
-    if view.spec.subsample < 1:
-        n = np.floor(n * view.spec.subsample + draws(rows.rid, view.round))
+    return np.floor(n * view.spec.subsample + draws(rows.rid, view.round)) if view.spec.subsample < 1 else n
+
+
+def weighted(view: View, y: np.ndarray, n: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if view.spec.kind == 'logistic':
         p = 1 / (1 + np.exp(-margin))
-        return n * (p - rows.y), n * p * (1 - p), n
-    w = n * np.exp(-(1.0 if view.spec.kind == 'samme.r' else 0.5) * (2 * rows.y - 1) * margin - view.shift)
-    return w * rows.y, w, n
+        return n * (p - y), n * p * (1 - p), n
+    w = n * np.exp(-(1.0 if view.spec.kind == 'samme.r' else 0.5) * (2 * y - 1) * margin - view.shift)
+    return w * y, w, n
 
 
 def added(view: View, rows: Rows, node: np.ndarray, values: tuple, shape: tuple[int, int]) -> np.ndarray:
@@ -313,9 +328,12 @@ def added(view: View, rows: Rows, node: np.ndarray, values: tuple, shape: tuple[
     slot = np.full(2 << view.spec.depth, -1)
     slot[view.frontier] = np.arange(len(view.frontier))
     s = slot[node]
-    use = np.flatnonzero((s >= 0) & (values[2] > 0))
+    use = (s >= 0) & (values[2] > 0)
+    use = slice(None) if use.all() else np.flatnonzero(use)
     out = np.zeros((len(view.frontier), k, b, 3))
     start, weights = s[use] * b, [v[use] for v in values]
+    if (weights[2] == 1).all():
+        weights[2] = None  # counted, which is the same
     for f in view.features:
         at = start + rows.bins[f, use]
         for c, w in enumerate(weights):
@@ -446,24 +464,31 @@ def _folded(data: DataFrame, fits: list[Fit], k: int) -> DataFrame:
 
 # ---------------------------------------------------------------- fits, one task each
 def grow_here(rows: Rows, fit: Fit) -> Fit:
-    """Grow one fit over rows in memory; scores and places are kept between levels."""
+    """Grow one fit over rows in memory; scores and places are kept between levels, and the rows
+    drawn in a round are copied out once."""
     margin, done = np.full(len(rows.y), fit.base), 0
-    values = node = None
+    bins, at = rows.bins.ravel(), np.arange(len(rows.y))
+    values = node = drawn = kept = None
     while not fit.done:
         for t in fit.trees[done:]:
-            margin += t.value[t.places(rows.bins)]
+            margin += t.value[node]
         done = len(fit.trees)
         v = fit.view(0)
         stats = watched(v, rows, margin) if v.ask else None
         best = []
         if len(v.frontier):
             if fit.level == 0:
-                values, node = channels(v, rows, margin), np.ones(len(rows.y), np.int64)
-            else:
-                f = v.open.feature[node]
-                node = np.where(f >= 0, 2 * node + (rows.bins[f, np.arange(len(node))] > v.open.cut[node]), node)
-            best = [_best(x, i, fit.spec, fit.shape) for i, x in enumerate(added(v, rows, node, values, fit.shape))]
+                n, node = times(v, rows), np.ones(len(rows.y), np.int64)
+                drawn = np.flatnonzero(n > 0)
+                values = weighted(v, rows.y[drawn], n[drawn], margin[drawn])
+                kept = replace(rows, bins=rows.bins[:, drawn])  # of which only the bins are read
+            hist = added(v, kept, node[drawn], values, fit.shape)
+            best = [_best(hist[0], 0, fit.spec, fit.shape)] if fit.level == 0 else [(x, None) for x in splits_of(hist, fit.spec)]
         _advance(fit, stats, best)
+        if len(v.frontier):  # on to the children that the level has got
+            f = v.open.feature.astype(np.int64)[node]
+            step = 2 * node + (bins[f * len(at) + at] > v.open.cut[node])  # leaves have feature -1, and stay
+            node = np.where(f >= 0, step, node)
     return fit
 
 
