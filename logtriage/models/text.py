@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from ..session import scratch_path
 
 #: Vocabularies that go to every task and whose gradients come back from each.
 MOST_FEATURES = 200_000
+#: Words that a task looks up at a time.
+WORDS_AT_ONCE = 1 << 18
 # ------------------------------------------------------------ fixed values: Adam
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 # ------------------------------------------------------------------------------
@@ -32,12 +36,27 @@ class TextModel:
     bias: float
     losses: list[float] = field(default_factory=list)
 
-    def vector(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """(indices, values) of one text's words."""
-        ids = [i for i in map(self.terms.get, words) if i is not None]
-        idx, n = np.unique(np.array(ids, np.int64), return_counts=True)
-        w = (1 + np.log(n)) * self.idf[idx] if len(idx) else np.zeros(0)
-        return idx, w / np.sqrt((w * w).sum()) if len(idx) else w
+    def vectors(self, words: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, bounds, indices, values) of runs of texts, given as their words; text i of a run
+        has the indices and values from bounds[i] to bounds[i + 1].  The words stay in Arrow's
+        buffers, ``WORDS_AT_ONCE`` of them (one text at least) are looked up together."""
+        terms, ids = pa.array(list(self.terms), pa.string()), np.fromiter(self.terms.values(), np.int64, len(self.terms))
+        size = np.asarray(words.value_lengths().fill_null(0), np.int64)
+        end, lo = np.cumsum(size), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + WORDS_AT_ONCE, 'right')))
+            found = pc.index_in(words.slice(lo, hi - lo).flatten(), value_set=terms)
+            known = np.asarray(found.is_valid())
+            key = np.repeat(np.arange(hi - lo), size[lo:hi])[known] * len(ids) + ids[np.asarray(found.drop_null())]
+            key, n = np.unique(key, return_counts=True)
+            row, idx = key // max(len(ids), 1), key % max(len(ids), 1)
+            w = (1 + np.log(n)) * self.idf[idx]
+            bounds = np.searchsorted(row, np.arange(hi - lo + 1))
+            if len(w):
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), np.diff(np.append(first, len(w))))
+            yield hi - lo, bounds, idx, w
+            lo = hi
 
     def save(self, path: str) -> str:
         """The vocabulary with its weights, and the rest as text."""
@@ -58,9 +77,12 @@ def _vectors(df: DataFrame, model: TextModel, text_col: str, names: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [model.vector(w) for w in batch.column('_words').to_pylist()]
-            columns = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.float64()))], [*names, 'idx', 'val'])
+            lo = 0
+            for n, bounds, idx, val in model.vectors(batch.column('_words')):
+                at = pa.array(bounds, pa.int32())
+                columns = [batch.column(c).slice(lo, n) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(at, pa.array(idx)), pa.ListArray.from_arrays(at, pa.array(val))], [*names, 'idx', 'val'])
+                lo += n
 
     rows = df.select(*fields, word_tokens(F.col(text_col)).alias('_words'))
     schema = ', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.drop('_words').schema)
@@ -130,10 +152,10 @@ def score_text(model: TextModel, df: DataFrame, text_col='text') -> DataFrame:
         raise ValueError('the model is not fitted')
     names = [c for c in df.columns if c not in ('prediction', 'probability_0', 'probability_1')]
 
-    @F.pandas_udf('double')
-    def margin(words: pd.Series) -> pd.Series:
-        pairs = map(model.vector, words)
-        return pd.Series([float(v @ model.weights[i]) + model.bias for i, v in pairs], dtype='float64')
+    @F.arrow_udf('double')
+    def margin(words: pa.Array) -> pa.Array:
+        out = [float(val[a:b] @ model.weights[idx[a:b]]) + model.bias for _, bounds, idx, val in model.vectors(words) for a, b in pairwise(bounds.tolist())]
+        return pa.array(out, pa.float64())
 
     p = 1 / (1 + F.exp(-F.col('_margin')))
     out = df.withColumn('_margin', margin(word_tokens(F.col(text_col))))
