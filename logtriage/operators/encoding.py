@@ -54,11 +54,14 @@ def encode(docs: DataFrame, vocab: DataFrame, max_length: int = 256, id_col='doc
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col='doc_id') -> DataFrame:
-    """(id, text): the words of ``input_ids`` in order, special tokens dropped."""
-    pos = encoded.select(id_col, F.posexplode(F.filter('input_ids', lambda x: x >= len(SPECIAL))).alias('p', 'token_id'))
-    words = pos.join(vocab, 'token_id').groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct('p', 'token'))).alias('w'))
-    out = encoded.select(id_col).join(words, id_col, 'left')
-    return out.select(id_col, F.coalesce(F.array_join(F.transform('w', lambda x: x['token']), ' '), F.lit('')).alias('text'))
+    """(id, text): the words of ``input_ids`` in order, special tokens dropped.
+
+    Ids must be unique, as ``encode`` leaves them; a null id has no words.  The rows are read once.
+    """
+    pos = encoded.select(id_col, F.posexplode_outer(F.filter('input_ids', lambda x: x >= len(SPECIAL))).alias('p', 'token_id'))
+    known = F.when(F.col('token').isNotNull() & F.col(id_col).isNotNull(), F.struct('p', 'token'))
+    out = pos.join(vocab, 'token_id', 'left').groupBy(id_col).agg(F.sort_array(F.collect_list(known)).alias('w'))
+    return out.select(id_col, F.array_join(F.transform('w', lambda x: x['token']), ' ').alias('text'))
 
 
 def token_vocab_info(vocab: DataFrame) -> DataFrame:
