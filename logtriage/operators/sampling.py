@@ -86,7 +86,8 @@ def labelled_only(df: DataFrame, label: str) -> DataFrame:
 # ---------------------------------------------------------------- C5 undersample
 def balance_undersample(df: DataFrame, label: str, keys, seed=DEFAULT_SEED) -> DataFrame:
     """Keep min(n0, n1) rows of each class, drawn without replacement."""
-    df = labelled_only(df, label)
+    # the input is used three times (ranks, their offsets, counts): written once
+    df = written(labelled_only(df, label), 'undersample')
     ranked = hash_rank(df, keys, seed, groups=[label], pos_col='_pos')
     smallest = _class_counts(df, label).agg(F.min('_cnt').alias('_m'), F.count(F.lit(1)).alias('_k'))
     smallest = smallest.select(F.when(F.col('_k') >= 2, F.col('_m')).otherwise(F.lit(0)).alias('_m'))
