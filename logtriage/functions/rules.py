@@ -195,6 +195,12 @@ def required_literal(py_pattern: str) -> str:
     return best if best.isascii() else ''
 
 
+def digest_length(py_pattern: str) -> int:
+    """n for a pattern of n hexadecimal digits between word boundaries, else 0."""
+    m = re.fullmatch(r'\\b\[a-fA-F0-9\]\{(\d+)\}\\b', py_pattern)
+    return int(m[1]) if m else 0
+
+
 def _valid_patterns(patterns, kind):
     kept = []
     for p in patterns:

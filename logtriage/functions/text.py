@@ -8,15 +8,16 @@ regular expression per rule that may match.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import (COMPOSE_SEPARATOR, DEFAULT_LABEL_RULES, DEFAULT_RULES, KEPT_PUNCTUATION,
-                    LABEL_NAMES, LabelRules, Rules, java_pattern, required_literal)
+                    LABEL_NAMES, LabelRules, Rules, digest_length, java_pattern, required_literal)
 
-_WS_RUN = r'(?U)\s+'
 _TRIM = r'(?U)^\s+|\s+$'
 
 
@@ -24,11 +25,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def java_quoted(word: str) -> str:
-    """A Java pattern for the word itself."""
-    return '\\Q' + word.replace('\\E', '\\E\\\\E\\Q') + '\\E'
-
-
 def _any(cols):
     cols = list(cols)
     return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
@@ -46,7 +42,8 @@ def regex_trim(c) -> Column:
 
 def _folded(t: Column) -> Column:
     """Lower case, with the characters that a case-insensitive pattern takes for ASCII letters."""
-    return F.translate(F.lower(F.translate(t, 'İ', 'i')), 'ıſ', 'is')
+    odd = F.translate(F.lower(F.translate(t, 'İ', 'i')), 'ıſ', 'is')
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(odd)
 
 
 def _rules(patterns) -> Column:
@@ -63,10 +60,16 @@ def _bound(value: Column, use) -> Column:
 # ---------------------------------------------------------------- B1 clean_text
 def _removed(text: Column, pattern: str) -> Column:
     """Matches become blanks; texts without the mark that all matches hold are left alone."""
-    word = required_literal(pattern)
-    if not word or any(ch.isalpha() for ch in word):
+    mark = max(re.split('[a-z]+', required_literal(pattern)), key=len)
+    if not mark:
         return F.regexp_replace(text, java_pattern(pattern), ' ')
-    return _bound(text, lambda t: F.when(F.contains(t, F.lit(word)), F.regexp_replace(t, java_pattern(pattern), ' ')).otherwise(t))
+    return _bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, java_pattern(pattern), ' ')).otherwise(t))
+
+
+def _without_digests(text: Column, patterns) -> Column:
+    """Digests of several lengths become blanks; a search for a run of the least one comes first."""
+    least = min(map(digest_length, patterns))
+    return _bound(text, lambda t: F.when(t.rlike(f'[a-fA-F0-9]{{{least}}}'), reduce(_removed, patterns, t)).otherwise(t))
 
 
 def clean_text(c, rules: Rules = DEFAULT_RULES) -> Column:
@@ -75,24 +78,24 @@ def clean_text(c, rules: Rules = DEFAULT_RULES) -> Column:
     Each removal pattern is applied in order and each match becomes one space.
     """
     out = _text(c)
-    for p in rules.remove_patterns:
-        out = _removed(out, p)
+    for digests, patterns in groupby(rules.remove_patterns, lambda p: digest_length(p) > 0):
+        out = _without_digests(out, list(patterns)) if digests else reduce(_removed, patterns, out)
     if rules.strip_special:
         out = F.regexp_replace(out, r'(?U)[^\w\s' + KEPT_PUNCTUATION + ']', ' ')
-    out = F.regexp_replace(out, _WS_RUN, ' ')
-    if rules.lowercase:
-        out = F.lower(out)
-    return regex_trim(out)
+    out = F.regexp_replace(out, r'(?U)\s+', ' ')
+    return F.trim(F.lower(out) if rules.lowercase else out)  # the only white space left is blanks
 
 
 # ---------------------------------------------------------------- B2 is_relevant
 def is_relevant(c, rules: Rules = DEFAULT_RULES) -> Column:
     """Length in [min_len, max_len] (code points) and any keyword as a substring."""
-    t = _text(c)
-    n = F.length(t)
-    keywords = '|'.join(java_quoted(k) for k in rules.keywords)
-    found = F.lower(t).rlike(keywords) if rules.keywords else F.lit(False)
-    return (n > 0) & (n >= rules.min_len) & (n <= rules.max_len) & found
+    words = [k for k in dict.fromkeys(rules.keywords) if not any(o != k and o in k for o in rules.keywords)]
+
+    def relevant(t: Column) -> Column:
+        n = F.length(t)
+        found = _bound(F.lower(t), lambda low: _any(F.contains(low, F.lit(k)) for k in words))
+        return (n > 0) & (n >= rules.min_len) & (n <= rules.max_len) & found
+    return _bound(_text(c), relevant)
 
 
 # ---------------------------------------------------------------- B3 manual_features

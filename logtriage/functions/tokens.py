@@ -58,9 +58,15 @@ def strip_accents(c: Column) -> Column:
 
 
 def word_tokens(c: Column) -> Column:
-    """lower -> strip accents -> tokens matching the token pattern (array<string>)."""
-    norm = strip_accents(F.lower(F.coalesce(c.cast('string'), F.lit(''))))
-    return F.regexp_extract_all(norm, F.lit(TOKEN_PATTERN), 0)
+    """lower -> strip accents -> tokens matching the token pattern (array<string>).
+
+    Accents are looked for in the parts between blanks that hold other characters than ASCII ones.
+    """
+    def plain(t: Column) -> Column:
+        parts = F.transform(F.split(t, ' ', -1), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(strip_accents(x)))
+        norm = F.when(F.octet_length(t) == F.length(t), t).otherwise(F.array_join(parts, ' '))
+        return F.regexp_extract_all(norm, F.lit(TOKEN_PATTERN), 0)
+    return F.transform(F.array(F.lower(F.coalesce(c.cast('string'), F.lit('')))), plain)[0]
 
 
 def bigrams(tokens: Column) -> Column:
