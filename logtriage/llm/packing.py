@@ -39,7 +39,7 @@ from .common import gather, lean, text_of, text_slices
 #: at most 2,000 loss-bearing tokens, so that none consists of answers alone.
 INSTRUCTION = {'prompt_share': 1 / 16, 'loss': 2000}
 #: Words remembered per process before all are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 # ------------------------------------------------------------ fixed values
@@ -144,8 +144,8 @@ class Words:
 
     def _learn(self, some: set[str]) -> None:
         fresh = list(some.difference(self.known))
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo:lo + 20_000]
+        for lo in range(0, len(fresh), 2000):
+            part = fresh[lo:lo + 2000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[p] = array('i', e.ids).tobytes()
 
