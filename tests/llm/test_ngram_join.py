@@ -125,3 +125,15 @@ def test_components_chain(spark):
 def test_empty_table(spark):
     assert J.jaccard_classes(docs_of(spark, [])).collect() == []
     assert J.keep_first(docs_of(spark, [])).collect() == []
+
+
+def test_rows_without_copies_do_not_pass_through_python(spark):
+    rows = [(i, t) for i, t in awkward_texts() if t]
+    kept = J.keep_first(docs_of(spark, rows), 5, 80)
+    assert 'MapInArrow' not in kept._jdf.queryExecution().executedPlan().toString()
+    bits = docs_of(spark, rows).select('doc_id', 'text').selectExpr('doc_id', 'xxhash64(text) th').withColumn('bit', J.bit_of('doc_id', 'th'))
+    some = bits.filter('doc_id < 8')
+    got = J.marked(bits, some).collect()
+    want = {r.bit for r in some.collect()}
+    assert len(got) == len(rows) and all(r._marked == (r.bit in want) for r in got)
+    assert not any(r._marked for r in J.marked(bits, some.limit(0)).collect())
