@@ -1,16 +1,22 @@
 """Categorical codes, scaling, assembling, and sklearn-style TF-IDF.
 
-TF-IDF plan: terms are counted inside each document's row and written once, so texts are never
-shuffled.  Of a bounded vocabulary, bucket counts are shuffled first, then only the terms of
+TF-IDF plan: terms are counted inside each document's row, or for a vocabulary alone over ranges of
+rows, as numbers of an Arrow dictionary, and written once, so texts are never shuffled.  Of a bounded vocabulary, bucket counts are shuffled first, then only the terms of
 the largest buckets; it is broadcast.  Without a bound the join is left to the planner.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import bigrams, word_tokens
 from ..session import written
@@ -21,6 +27,8 @@ from .sampling import hash_uniform
 BROADCAST_TERMS = 200_000
 #: Hash buckets whose counts bound the counts of their terms.
 BUCKETS = 1 << 20
+#: Tokens counted together (one row's at least), and rows of a batch of counts.
+COUNTED, OUT_ROWS = 1 << 20, 1 << 17
 
 
 def _r6(c):
@@ -98,42 +106,92 @@ def tokenize_ngrams(df: DataFrame, text_col: str, out_col: str = 'terms', ngram_
     return toks.withColumn(out_col, parts[0] if len(parts) == 1 else F.concat(*parts)).drop('_tok')
 
 
+def _runs(batches: Iterator[pa.RecordBatch], ngram_range: tuple, by_row: bool) -> Iterator[pa.RecordBatch]:
+    """Terms of (id, tokens) batches counted, a range of rows at a time: (id, term, tf) of each row,
+    or (term, df, cf) of each range."""
+    for batch in batches:
+        ids, tokens = batch.columns
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(batch):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + COUNTED, 'right')))
+            size = np.diff(ends[lo:hi], prepend=before)
+            words = tokens.slice(lo, hi - lo).flatten().dictionary_encode()
+            w, row, n = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(hi - lo), size), len(words.dictionary)
+            keys, rows = [], []  # a word is its number, two words are (first + 1) * n + second
+            if ngram_range[0] <= 1:
+                keys, rows = [w], [row]
+            if ngram_range[1] >= 2:
+                two = np.flatnonzero(row[1:] == row[:-1])
+                keys, rows = [*keys, (w[two] + 1) * n + w[two + 1]], [*rows, row[two]]
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            fresh = np.append(True, key[1:] != key[:-1])[:len(key)]
+            start = np.flatnonzero(fresh | np.append(True, row[1:] != row[:-1])[:len(key)])  # of the terms of each row
+            if by_row:
+                key, counts = key[start], [np.diff(np.append(start, len(key)))]
+                of = ids.slice(lo, hi - lo).take(pa.array(row[start]))
+            else:
+                first = np.flatnonzero(fresh)
+                at = np.append(np.searchsorted(start, first), len(start))
+                key, counts = key[first], [np.diff(at), np.diff(np.append(first, len(key)))]
+            for i in range(0, len(key), OUT_ROWS):
+                k = key[i:i + OUT_ROWS]
+                second = words.dictionary.take(pa.array(k % max(n, 1)))
+                pair = pc.binary_join_element_wise(words.dictionary.take(pa.array(np.maximum(k // max(n, 1) - 1, 0))), second, ' ')
+                term = pc.if_else(pa.array(k < n), second, pair)
+                cols = [term, *[pa.array(c[i:i + OUT_ROWS], pa.int64()) for c in counts]]
+                if by_row:
+                    yield pa.RecordBatch.from_arrays([of.slice(i, OUT_ROWS), *cols], [batch.schema.names[0], 'term', 'tf'])
+                else:
+                    yield pa.RecordBatch.from_arrays(cols, ['term', 'df', 'cf'])
+            lo = hi
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 2)) -> DataFrame:
     """(id, term, tf): one row per distinct term of each document."""
-    d = tokenize_ngrams(docs.select(id_col, text_col), text_col, 'terms', ngram_range)
-    # counted inside the row: sorted terms, a run ends where the next term differs
-    s = F.col('terms')
-    d = d.select(id_col, F.explode(F.array(F.sort_array('terms'))).alias('terms'))
-    ends = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), i + 1)), lambda i: i.isNotNull())
-    d = d.select(id_col, 'terms', F.explode(F.array(ends)).alias('ends'))
-    e = F.col('ends')
-    runs = F.transform(e, lambda i, k: F.struct(F.get(s, i - 1).alias('term'), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast('long').alias('tf')))
-    return d.select(id_col, F.inline(runs))
+    d = docs.select(id_col, word_tokens(F.col(text_col)).alias('_tok'))
+    kind = T.StructType([d.schema[id_col], T.StructField('term', T.StringType()), T.StructField('tf', T.LongType())])
+    return d.mapInArrow(partial(_runs, ngram_range=tuple(ngram_range), by_row=True), kind)
 
 
 # ---------------------------------------------------------------- D5
 def written_terms(docs: DataFrame, id_col: str, text_col: str, ngram_range=(1, 2)) -> DataFrame:
     """``term_counts`` with the hash bucket of each term, written: texts are taken apart once for
     the passes over their terms."""
-    return written(term_counts(docs, id_col, text_col, ngram_range).withColumn('_bucket', F.pmod(F.xxhash64('term'), F.lit(BUCKETS)).cast('int')), 'terms')
+    return written(term_counts(docs, id_col, text_col, ngram_range).withColumn('_bucket', _bucket()), 'terms')
+
+
+def written_counts(docs: DataFrame, text_col: str, ngram_range=(1, 2)) -> DataFrame:
+    """(term, df, cf, _bucket), written: the counts of ranges of documents, to be summed by term."""
+    d = docs.select(F.lit(0).alias('_id'), word_tokens(F.col(text_col)).alias('_tok'))
+    counts = d.mapInArrow(partial(_runs, ngram_range=tuple(ngram_range), by_row=False), 'term string, df long, cf long')
+    return written(counts.withColumn('_bucket', _bucket()), 'terms')
 
 
-def _counted(tf: DataFrame) -> DataFrame:
-    return tf.groupBy('term').agg(F.count(F.lit(1)).alias('df'), F.sum('tf').alias('cf'))
+def _bucket():
+    return F.pmod(F.xxhash64('term'), F.lit(BUCKETS)).cast('int')
 
 
-def frequent_terms(tf: DataFrame, size: int, eligible) -> DataFrame:
-    """(term, df, cf) of the ``size`` eligible terms of largest cf (ties: term ascending).
+def _counted(counts: DataFrame) -> DataFrame:
+    return counts.groupBy('term').agg(F.sum('df').alias('df'), F.sum('cf').alias('cf'))
+
+
+def frequent_terms(counts: DataFrame, size: int, eligible) -> DataFrame:
+    """(term, df, cf) of the ``size`` eligible terms of largest cf (ties: term ascending), from
+    counts of parts of the documents (see ``written_counts``).
 
     Counts by hash bucket are upper bounds of the counts of their terms and the same for any
     text; only terms of the largest buckets are counted and shuffled as strings.  If the last
     one kept has fewer occurrences than a bucket left out, all buckets of at least its count are
     taken in a second round, which then holds every term that can be among the first."""
-    totals = written(tf.groupBy('_bucket').agg(F.sum('tf').alias('_total')), 'buckets')  # BUCKETS rows at most
+    totals = written(counts.groupBy('_bucket').agg(F.sum('cf').alias('_total')), 'buckets')  # BUCKETS rows at most
     last = totals.orderBy(F.col('_total').desc()).limit(2 * size).agg(F.min('_total')).first()[0]
     for _ in range(2):
         some = totals.filter(F.col('_total') >= (last or 0)).select('_bucket')
-        top = _counted(tf.join(some, '_bucket', 'left_semi')).filter(eligible).orderBy(F.col('cf').desc(), F.col('term')).limit(size)
+        top = _counted(counts.join(some, '_bucket', 'left_semi')).filter(eligible).orderBy(F.col('cf').desc(), F.col('term')).limit(size)
         top = written(top, 'frequent')
         n, least = top.agg(F.count(F.lit(1)), F.min('cf')).first()
         need = least if n == size else 0
@@ -153,16 +211,19 @@ def fit_tfidf(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', m
     ``written_terms`` made before.
     """
     n_docs = docs.count()
-    tf = tf if tf is not None else written_terms(docs, id_col, text_col, ngram_range)
+    if tf is None:
+        counts = written_counts(docs, text_col, ngram_range)
+    else:
+        counts = tf.select('term', '_bucket', F.lit(1).alias('df'), F.col('tf').alias('cf'))
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
     eligible = (F.col('df') >= lo) & (F.col('df') <= hi)
     idf = F.log((F.lit(1 + n_docs)) / (F.col('df') + 1)) + 1
     if max_features is not None:
-        kept = frequent_terms(tf, max_features, eligible)
+        kept = frequent_terms(counts, max_features, eligible)
         kept = kept.withColumn('idx', F.row_number().over(Window.orderBy('term')) - 1)  # max_features rows
     else:
-        kept = global_positions(_counted(tf).filter(eligible), ['term'], 'idx')
+        kept = global_positions(_counted(counts).filter(eligible), ['term'], 'idx')
     return kept.select('term', F.col('idx').cast('int').alias('idx'),
                        F.col('df').cast('long').alias('df'), F.col('cf').cast('long').alias('cf'), idf.alias('idf'))
 

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,38 @@ def test_vocabulary_of_the_largest_buckets_is_exact(spark, monkeypatch, tmp_path
     vocab, about = D.load_vocabulary(spark, D.save_vocabulary(got, str(tmp_path / 'v'), ngram_range=[1, 2]))
     assert vocab.count() == got.count() and about == {'ngram_range': [1, 2]}
     assert D.fit_tfidf(df.limit(0)).collect() == []
+
+
+def test_terms_are_counted_over_ranges_of_rows(spark):
+    texts = [None, '', 'One', 'one two one two', 'Éa é éa', '1a a1 _b b_'] + ['one two three'] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), 'doc_id int, text string').coalesce(1)
+    want = D.tokenize_ngrams(df, 'text').collect()
+    for r in (1, 1), (2, 2), (1, 2):
+        keep = lambda t: r[0] <= t.count(' ') + 1 <= r[1]  # noqa: E731, B023
+        rows = {x.doc_id: Counter(t for t in x.terms if keep(t)) for x in want}
+        cf, dfs = Counter(), Counter()
+        for c in rows.values():
+            cf.update(c)
+            dfs.update(c.keys())
+        got = D.term_counts(df, 'doc_id', 'text', r).collect()
+        assert Counter((x.doc_id, x.term, x.tf) for x in got) == Counter((i, t, n) for i, c in rows.items() for t, n in c.items())
+        parts = D.written_counts(df, 'text', r).collect()
+        assert len(parts) == len(cf) == len({x.term for x in parts})  # one range: a term once, not once a document
+        assert {(x.term, x.df, x.cf) for x in parts} == {(t, dfs[t], n) for t, n in cf.items()}
+
+
+def test_ranges_of_few_tokens_count_alike():
+    rows = [['a', 'b', 'a'], [], ['b', 'a', 'b', 'a'], ['c']] * 3
+    batch = pa.RecordBatch.from_pydict({'i': pa.array(range(12)), 't': pa.array(rows, pa.list_(pa.string()))})
+    whole = pa.Table.from_batches(D._runs(iter([batch]), (1, 2), True)).to_pylist()
+    old = D.COUNTED, D.OUT_ROWS
+    try:
+        D.COUNTED, D.OUT_ROWS = 4, 2
+        assert sorted(pa.Table.from_batches(D._runs(iter([batch]), (1, 2), True)).to_pylist(), key=str) == sorted(whole, key=str)
+        cf, dfs = Counter(), Counter()
+        for r in pa.Table.from_batches(D._runs(iter([batch]), (1, 2), False)).to_pylist():
+            cf[r['term']] += r['cf']
+            dfs[r['term']] += r['df']
+    finally:
+        D.COUNTED, D.OUT_ROWS = old
+    assert cf == {'a': 12, 'b': 9, 'c': 3, 'a b': 6, 'b a': 9} and dfs == {'a': 6, 'b': 6, 'c': 3, 'a b': 6, 'b a': 6}
