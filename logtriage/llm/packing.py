@@ -88,10 +88,9 @@ class Words:
             return [self.whole(t) for t in texts.to_pylist()]
         parts = pc.split_pattern(pc.replace_substring(texts, '\n', ' '), ' ')
         words = parts.flatten().dictionary_encode()
-        found = self._found(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, size = self._found(words.dictionary)
         at = words.indices.to_numpy()
-        flat, ends = gather(np.frombuffer(b''.join(found), np.int32), (np.cumsum(size) - size)[at], size[at])
+        flat, ends = gather(ids, (np.cumsum(size) - size)[at], size[at])
         first = parts.offsets.to_numpy()
         off = ends[first - first[0]]
         out = [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -100,21 +99,43 @@ class Words:
                 out[i] = self.whole(texts[i].as_py())
         return out
 
-    def _found(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words, unseen ones learned."""
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has; unseen ones are learned.
+
+        A word of ASCII letters is parted from the marks behind it, and each half is looked up once.
+        """
         if len(self.known) > REMEMBERED:
             self.known = {'': b''}
+        base = pc.ascii_rtrim(words, _MARKS)
+        plain = pc.ascii_is_alpha(base).to_numpy(zero_copy_only=False)
+        letters = pc.ascii_lower(base.filter(pa.array(plain))).dictionary_encode()
+        cut = pc.binary_length(base.filter(pa.array(plain))).to_numpy(zero_copy_only=False).tolist()
+        marks = pa.array([w[n:] for w, n in zip(words.filter(pa.array(plain)).to_numpy(zero_copy_only=False).tolist(), cut, strict=True)], pa.string())
+        marks = marks.dictionary_encode()
+        heads, tails = letters.dictionary.to_numpy(zero_copy_only=False).tolist(), marks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn_words(set(heads))
+        self._learn(set(tails))
+        others = self._others(words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist())
+        table = [b'', *map(self.known.__getitem__, heads), *map(self.known.__getitem__, tails), *others]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        halves = np.zeros((len(words), 2), np.int64)  # rows of the table
+        halves[plain, 0] = letters.indices.to_numpy() + 1
+        halves[plain, 1] = marks.indices.to_numpy() + 1 + len(heads)
+        halves[~plain, 0] = np.arange(len(others)) + 1 + len(heads) + len(tails)
+        ids, _ = gather(np.frombuffer(b''.join(table), np.int32), (np.cumsum(size) - size)[halves].ravel(), size[halves].ravel())
+        return ids, size[halves].sum(1)
+
+    def _others(self, words: list[str]) -> list[bytes]:
         out = list(map(self.known.get, words))
         letters, others, marked, rest = set(), set(), [], []
         for k in [k for k, x in enumerate(out) if x is None]:
             p = words[k]
             base = p.rstrip(_MARKS)
             if base and base.isalpha():
-                word = base.lower() if base.isascii() else base
-                letters.add(word)
+                letters.add(base)
                 marks = p[len(base):]
                 others.add(marks)
-                marked.append((k, word, marks))  # not remembered: made from the two again
+                marked.append((k, base, marks))  # not remembered: made from the two again
             else:
                 others.add(p)
                 rest.append((k, p))

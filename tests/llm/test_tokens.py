@@ -185,3 +185,15 @@ def test_tasks_repeat_alike(spark):
     docs = docs_of(spark).coalesce(2)
     a, b = (sorted(map(str, packing.pack_texts(docs, WORDS).collect())) for _ in range(2))
     assert a == b
+
+
+def test_halves_of_a_word_are_looked_up_once():
+    w = packing.Words(public_tokenizers.path('word_bpe_49k.json'))
+    texts = ['Stone, stone. STONE! stone stone?! (stone) sto-ne', 'été, Été. 12, a1. ... é!', '', 'stone,\n stone.  ?!']
+    seen = []
+    learn = w._learn_words
+    w._learn_words = lambda some: (seen.append(set(some)), learn(some))
+    got = w.encode(texts)
+    assert seen[0] == {'stone'}  # in any case, with any marks behind it
+    assert [x.tolist() for x in got] == [w.whole(t).tolist() for t in texts]
+    assert [x.tolist() for x in w.encode(texts)] == [x.tolist() for x in got]
