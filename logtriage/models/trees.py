@@ -9,7 +9,9 @@
   are a function of the trees: those of the last ``WRITE_ROUNDS`` rounds are computed in the
   pass, older ones stand in a written column.
 * Many fits over one binned table that is proven small (``ROWS_PER_FIT``) run as one task each
-  over a broadcast copy instead (``grow_by_fit``); the trees are the same.
+  over a broadcast copy instead (``grow_by_fit``).  Rows of equal bins share a score, so a round
+  adds them up by cell, and cells by what the features drawn for its tree tell apart; its levels
+  read those sums.  The trees are the same, where rounding does not choose among equal cuts.
 
 Draws are reproducible in any engine: a row's draw in round t is the t-th term of the
 multiplicative congruential sequence (48271, 2**31 - 1) that starts at its hash.
@@ -21,7 +23,7 @@ import hashlib
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,14 @@ ACCURACY = 100_000
 #: Rounds between two writings of the scores.
 WRITE_ROUNDS = 10
 #: Binned rows (distinct, weighted) up to which fits run side by side, one task each.
-ROWS_PER_FIT = 1_000_000
+ROWS_PER_FIT = 2_000_000
+#: Rows from which a task merges those of equal bins.
+MERGED_ROWS = 1 << 14
+#: Share of the scores up to which the gains of merged rows are equal: their sums come in the
+#: order of the cells, and rounding would choose among cuts that part the same rows.
+TIE = 1e-10
+#: Choices of features whose kinds of cells a task remembers; rows drawn at a time.
+KINDS, RUN = 8, 1 << 16
 #: Bytes of sums from all tasks up to which the driver adds them up.
 SUM_BYTES = 64 << 20
 # ------------------------------------------------------------ fixed values: the draws
@@ -91,10 +100,20 @@ def binned(df: DataFrame, features: list[str], edges: list[list[float]], label:
     names = [f'b{i}' for i in range(len(features))]
     rows = df.select(*[code(F.col(f), e).alias(b) for f, e, b in zip(features, edges, names, strict=True)], F.when(label.isNotNull(), (label == 1).cast('int')).alias('y'), part.cast('int').alias('part'))
     rows = rows.filter('y is not null').groupBy(*names, 'y', 'part').agg(F.count(F.lit(1)).cast('double').alias('n'))
-    text = F.md5(F.concat_ws('|', F.lit(str(seed)), *[F.col(c).cast('string') for c in (*names, 'y', 'part')]))
+    return _drawable(rows, seed)
+
+
+def _drawable(rows: DataFrame, seed: int) -> DataFrame:
+    text = F.md5(F.concat_ws('|', F.lit(str(seed)), *[F.col(c).cast('string') for c in rows.columns if c != 'n']))
     return written(rows.withColumn('rid', hex8(text) % (MODULUS - 1) + 1), 'binned')
 
 
+def one_part(data: DataFrame, seed: int = 42) -> DataFrame:
+    """What ``binned`` gives for the rows of all parts of a binned table as part 0."""
+    names = [c for c in data.columns if c not in ('y', 'part', 'n', 'rid')]
+    return _drawable(data.groupBy(*names, 'y', F.lit(0).alias('part')).agg(F.sum('n').alias('n')), seed)
+
+
 def draws(rid: np.ndarray, t: int) -> np.ndarray:
     """The draw of round t (from 1) of each row, in (0, 1)."""
     return rid * pow(MULTIPLIER, t, MODULUS) % MODULUS / MODULUS
@@ -127,29 +146,31 @@ def soft(g, alpha: float):
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0) if alpha else g
 
 
-def splits_of(hist: np.ndarray, spec: Spec) -> list[tuple[float, int, int, np.ndarray] | None]:
-    """Best (gain, feature, cut, sums of the left side) of each node, from sums by (node, feature,
-    bin, channel); the first of equals."""
-    left = np.cumsum(hist, axis=2)
-    whole = left[:, :, -1:, :]
+def splits_of(hist: np.ndarray, spec: Spec, tie: float = 0.0) -> list[tuple[float, int, int, np.ndarray] | None]:
+    """Best (gain, feature, cut, sums of the left side) of each node, from sums by (channel, node,
+    feature, bin); the first of equals, up to a share ``tie`` of the scores."""
+    left = np.cumsum(hist, axis=3)
+    whole = left[..., -1:]
     right = whole - left
 
     def score(s):
-        d = s[..., 2] if spec.plain else s[..., 1] + spec.reg_lambda
-        return np.where(d > 0, soft(s[..., 0], spec.reg_alpha) ** 2 / np.where(d > 0, d, 1), 0.0)
+        d = s[2] if spec.plain else s[1] + spec.reg_lambda
+        return np.where(d > 0, soft(s[0], spec.reg_alpha) ** 2 / np.where(d > 0, d, 1), 0.0)
 
-    ok = (left[..., 2] >= spec.min_rows) & (right[..., 2] >= spec.min_rows) & (left[..., 1] >= spec.min_hessian) & (right[..., 1] >= spec.min_hessian)
-    gain = np.where(ok, score(left) + score(right) - score(whole) - spec.gamma, -np.inf).reshape(len(hist), -1)
+    ok = (left[2] >= spec.min_rows) & (right[2] >= spec.min_rows) & (left[1] >= spec.min_hessian) & (right[1] >= spec.min_hessian)
+    gain = np.where(ok, score(left) + score(right) - score(whole) - spec.gamma, -np.inf).reshape(hist.shape[1], -1)
     out = []
-    for i, at in enumerate(gain.argmax(axis=1).tolist()):
-        f, cut = divmod(at, hist.shape[2])
-        out.append((float(gain[i, at]), f, cut, left[i, f, cut].copy()) if gain[i, at] > 1e-9 else None)
+    best = gain.max(axis=1)
+    near = best - tie * (np.abs(best) + score(whole).reshape(len(best), -1).max(axis=1)) if tie else best
+    for i, at in enumerate((gain >= near[:, None]).argmax(axis=1).tolist()):
+        f, cut = divmod(at, hist.shape[3])
+        out.append((float(gain[i, at]), f, cut, left[:, i, f, cut].copy()) if gain[i, at] > 1e-9 else None)
     return out
 
 
 def split_of(hist: np.ndarray, spec: Spec) -> tuple[float, int, int, np.ndarray] | None:
-    """``splits_of`` one node."""
-    return splits_of(hist[None], spec)[0]
+    """``splits_of`` one node, from sums by (feature, bin, channel)."""
+    return splits_of(np.moveaxis(hist, 2, 0)[:, None], spec)[0]
 
 
 @dataclass
@@ -463,41 +484,158 @@ def _folded(data: DataFrame, fits: list[Fit], k: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- fits, one task each
-def grow_here(rows: Rows, fit: Fit) -> Fit:
-    """Grow one fit over rows in memory; scores and places are kept between levels, and the rows
-    drawn in a round are copied out once."""
-    margin, done = np.full(len(rows.y), fit.base), 0
-    bins, at = rows.bins.ravel(), np.arange(len(rows.y))
-    values = node = drawn = kept = None
-    while not fit.done:
-        for t in fit.trees[done:]:
-            margin += t.value[node]
-        done = len(fit.trees)
-        v = fit.view(0)
-        stats = watched(v, rows, margin) if v.ask else None
-        best = []
-        if len(v.frontier):
-            if fit.level == 0:
-                n, node = times(v, rows), np.ones(len(rows.y), np.int64)
-                drawn = np.flatnonzero(n > 0)
-                values = weighted(v, rows.y[drawn], n[drawn], margin[drawn])
-                kept = replace(rows, bins=rows.bins[:, drawn])  # of which only the bins are read
-            hist = added(v, kept, node[drawn], values, fit.shape)
-            best = [_best(hist[0], 0, fit.spec, fit.shape)] if fit.level == 0 else [(x, None) for x in splits_of(hist, fit.spec)]
-        _advance(fit, stats, best)
-        if len(v.frontier):  # on to the children that the level has got
-            f = v.open.feature.astype(np.int64)[node]
-            step = 2 * node + (bins[f * len(at) + at] > v.open.cut[node])  # leaves have feature -1, and stay
-            node = np.where(f >= 0, step, node)
-    return fit
+@dataclass
+class Cells:
+    """Binned rows over the distinct bins among them: a cell has one score whatever its rows'
+    class and part.  ``bins`` is (feature, cell), ``cell`` the cell of each row."""
+    bins: np.ndarray
+    cell: np.ndarray
+    y: np.ndarray
+    part: np.ndarray
+    n: np.ndarray
+    rid: np.ndarray
+    merged: bool
+
+    @staticmethod
+    def of(rows: Rows) -> Cells:
+        """Few rows are a cell each, in their order; more are sorted by cell.  Cells are mixed, by
+        their bins alone: sums of neighbours in one bin wait for each other."""
+        if len(rows.y) < MERGED_ROWS:
+            return Cells(rows.bins, np.arange(len(rows.y)), rows.y, rows.part, rows.n, rows.rid, False)
+        first, cell = distinct(rows.bins)
+        mixed = np.random.default_rng(0).permutation(len(first))
+        first[mixed], cell = first.copy(), mixed[cell]
+        order = np.argsort(cell, kind='stable')
+        return Cells(rows.bins[:, first], cell[order].astype(np.int32), rows.y[order].astype(np.int8), rows.part[order].astype(np.int32), rows.n[order], rows.rid[order].astype(np.int32), True)
+
+
+def distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one column of each kind, the kind of each column); kinds are ordered by their bins."""
+    order = np.lexsort(bins[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (bins[:, order[1:]] != bins[:, order[:-1]]).any(axis=0)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+class Grower:
+    """Grows one fit over cells in memory.  A round adds up its rows by cell once, and the cells
+    by what the features of the round tell apart; the levels read those sums."""
+
+    def __init__(self, cells: Cells, fit: Fit):
+        self.cells, self.fit, count = cells, fit, cells.bins.shape[1]
+        held = cells.part == fit.held if fit.held is not None else np.zeros(len(cells.y), bool)
+        place = cells.cell + count * cells.y.astype(np.int64)
+        self.own = np.flatnonzero(~held)
+        self.place, self.rid, self.n = place[self.own], cells.rid[self.own].astype(np.int64), cells.n[self.own]
+        self.train = self.by_class(self.place, self.n)
+        self.seen = self.by_class(place[held], cells.n[held])
+        self.margin = np.full(count, fit.base)
+        self.kinds: dict[tuple, tuple] = {}
+
+    def by_class(self, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Rows by (class, cell)."""
+        count = self.cells.bins.shape[1]
+        return np.bincount(place, n, 2 * count).reshape(2, count)
+
+    def drawn(self, v: View) -> np.ndarray:
+        """Rows of this round by (class, cell)."""
+        if v.spec.subsample >= 1:
+            return self.train
+        n = np.empty(len(self.n))
+        for i in range(0, len(n), RUN):
+            n[i:i + RUN] = np.floor(self.n[i:i + RUN] * v.spec.subsample + draws(self.rid[i:i + RUN], v.round))
+        return self.by_class(self.place, n)
+
+    def weighted(self, v: View) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(G, D, rows) of each cell in this round."""
+        n0, n1 = self.drawn(v)
+        if v.spec.kind == 'logistic':
+            p = 1 / (1 + np.exp(-self.margin))
+            return n1 * (p - 1) + n0 * p, (n0 + n1) * p * (1 - p), n0 + n1
+        c = 1.0 if v.spec.kind == 'samme.r' else 0.5
+        w0, w1 = (n * np.exp(np.minimum(s * c * self.margin - v.shift, 709.0)) for n, s in ((n0, 1), (n1, -1)))  # no infinity where there are no rows
+        return w1, w0 + w1, n0 + n1
+
+    def watched(self) -> np.ndarray:
+        """``watched``, by cells."""
+        m, hit = self.margin, self.margin > 0
+        small = np.log(1 + np.exp(-np.abs(m)))
+        one, zero = small + np.maximum(-m, 0), small + np.maximum(m, 0)
+        (n0, n1), (h0, h1) = self.train, self.seen
+        s0, s1 = self.train if self.fit.held is None else self.seen
+        return np.array([n1 @ one + n0 @ zero, self.train.sum(), h1 @ one + h0 @ zero, self.seen.sum(), s1 @ hit, s0 @ hit, s1 @ ~hit])
+
+    def kinds_by(self, features: list[int]) -> tuple[np.ndarray | None, np.ndarray]:
+        """(what each cell is to the features, or None; the bins of those kinds)."""
+        key = tuple(features)
+        if key not in self.kinds:
+            bins, kind = self.cells.bins[features], None
+            if self.cells.merged and len(features) < len(self.cells.bins):
+                first, kind = distinct(bins)
+                bins, kind = (bins[:, first], kind) if len(first) < 0.8 * len(kind) else (bins, None)
+            while len(self.kinds) >= KINDS:
+                self.kinds.pop(next(iter(self.kinds)))
+            self.kinds[key] = kind, np.ascontiguousarray(bins)
+        return self.kinds[key]
+
+    def run(self) -> Fit:
+        fit, (_, b), done = self.fit, self.fit.shape, 0
+        kind = bins = codes = node = everyone = values = use = None
+        while not fit.done:
+            for t in fit.trees[done:]:
+                self.margin += t.value[node] if kind is None else t.value[node][kind]
+            done = len(fit.trees)
+            v = fit.view(0)
+            stats = self.watched() if v.ask else None
+            best = []
+            if len(v.frontier):
+                if fit.level == 0:
+                    kind, bins = self.kinds_by(v.features)
+                    values = self.weighted(v)
+                    if kind is not None:
+                        values = [np.bincount(kind, x, bins.shape[1]) for x in values]
+                    use = np.flatnonzero(values[2] > 0)
+                    values, codes = [x[use] for x in values], bins[:, use]
+                    node, everyone = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
+                place = np.full(2 << fit.spec.depth, -1)
+                place[v.frontier] = np.arange(len(v.frontier))
+                slot = place[node[use]]
+                if (slot < 0).any():  # what has come to a leaf stays there
+                    on = np.flatnonzero(slot >= 0)
+                    use, slot, values, codes = use[on], slot[on], [x[on] for x in values], codes[:, on]
+                hist = np.empty((3, len(v.frontier), len(bins), b))
+                for f, own in enumerate(codes):
+                    at = slot * b + own
+                    for c, x in enumerate(values):
+                        hist[c, :, f] = np.bincount(at, x, len(v.frontier) * b).reshape(-1, b)
+                best = [s and (s[0], v.features[s[1]], *s[2:]) for s in splits_of(hist, fit.spec, TIE if self.cells.merged else 0.0)]
+                root = np.stack(hist[:, 0, int(hist[2, 0].sum(axis=1).argmax())], axis=1).sum(axis=0) if fit.level == 0 else None
+                best = [(s, root) for s in best]
+            _advance(fit, stats, best)
+            if len(v.frontier):  # on to the children that the level has got
+                f, nodes = v.open.feature, np.arange(len(v.open.feature))
+                where = np.zeros(fit.shape[0], np.int64)
+                where[v.features] = np.arange(len(bins)) * bins.shape[1]
+                at, cut, child = np.where(f >= 0, where[f], 0), np.where(f >= 0, v.open.cut, b), np.where(f >= 0, 2 * nodes, nodes)
+                node = child[node] + (bins.ravel()[at[node] + everyone] > cut[node])
+        return fit
+
+
+def grow_here(rows: Rows | Cells, fit: Fit) -> Fit:
+    """Grow one fit over rows in memory."""
+    return Grower(rows if isinstance(rows, Cells) else Cells.of(rows), fit).run()
 
 
 def grow_by_fit(data: DataFrame, fits: list[Fit]) -> None:
     """Grow each of ``fits`` in a task of its own over a broadcast copy of the binned table,
-    which the caller has found to be small."""
+    which the caller has found to be small.  All tasks run side by side; they write their fits,
+    which the driver reads one after another."""
     spark = data.sparkSession
     table, k = data.toArrow(), fits[0].shape[0]
-    shared = spark.sparkContext.broadcast(Rows.of(table.combine_chunks().to_batches()[0], k) if table.num_rows else None)
+    shared = spark.sparkContext.broadcast(Cells.of(Rows.of(table.combine_chunks().to_batches()[0], k)) if table.num_rows else None)
+    del table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,9 +644,10 @@ def grow_by_fit(data: DataFrame, fits: list[Fit]) -> None:
 
     longest = sorted((i for i, f in enumerate(fits) if not f.done), key=lambda i: -fits[i].spec.rounds * fits[i].spec.depth)
     todo = [(k, i, pickle.dumps(fits[i])) for k, i in enumerate(longest)]  # the longest fits begin first
-    jobs = spark.createDataFrame(todo, 'turn long, id long, fit binary').repartitionByRange(max(1, len(todo)), 'turn') if todo else None
-    for r in jobs.mapInArrow(run, 'id long, fit binary').toLocalIterator() if todo else []:
-        fits[r.id].__dict__.update(pickle.loads(r.fit).__dict__)
+    if todo:
+        jobs = spark.createDataFrame(todo, 'turn long, id long, fit binary').repartitionByRange(len(todo), 'turn')
+        for r in written(jobs.mapInArrow(run, 'id long, fit binary'), 'fits').toLocalIterator():
+            fits[r.id].__dict__.update(pickle.loads(r.fit).__dict__)
     shared.destroy()
 
 
