@@ -9,9 +9,9 @@
   are a function of the trees: those of the last ``WRITE_ROUNDS`` rounds are computed in the
   pass, older ones stand in a written column.
 * Many fits over one binned table that is proven small (``ROWS_PER_FIT``) run as one task each
-  over a broadcast copy instead (``grow_by_fit``).  Rows of equal bins share a score, so a round
-  adds them up by cell, and cells by what the features drawn for its tree tell apart; its levels
-  read those sums.  The trees are the same, where rounding does not choose among equal cuts.
+  over a broadcast copy instead (``grow_by_fit``).  Rows of equal bins share a score, so (from
+  ``MERGED_ROWS`` on) a round adds them up by cell, and cells by what the features drawn for its
+  tree tell apart; its levels read those sums.  The trees are the same, where rounding does not choose among equal cuts.
 
 Draws are reproducible in any engine: a row's draw in round t is the t-th term of the
 multiplicative congruential sequence (48271, 2**31 - 1) that starts at its hash.
@@ -41,8 +41,8 @@ ACCURACY = 100_000
 WRITE_ROUNDS = 10
 #: Binned rows (distinct, weighted) up to which fits run side by side, one task each.
 ROWS_PER_FIT = 2_000_000
-#: Rows from which a task merges those of equal bins.
-MERGED_ROWS = 1 << 14
+#: Binned rows from which a task merges those of equal bins; fewer are added up in their order.
+MERGED_ROWS = 1 << 17
 #: Share of the scores up to which the gains of merged rows are equal: their sums come in the
 #: order of the cells, and rounding would choose among cuts that part the same rows.
 TIE = 1e-10
@@ -596,12 +596,14 @@ class Grower:
                     values = self.weighted(v)
                     if kind is not None:
                         values = [np.bincount(kind, x, bins.shape[1]) for x in values]
-                    use = np.flatnonzero(values[2] > 0)
-                    values, codes = [x[use] for x in values], bins[:, use]
-                    node, everyone = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
+                    everyone = np.arange(bins.shape[1])
+                    node, use, codes = np.ones_like(everyone), everyone, bins
+                    if not (values[2] > 0).all():
+                        use = np.flatnonzero(values[2] > 0)
+                        values, codes = [x[use] for x in values], bins[:, use]
                 place = np.full(2 << fit.spec.depth, -1)
                 place[v.frontier] = np.arange(len(v.frontier))
-                slot = place[node[use]]
+                slot = place[node if use is everyone else node[use]]
                 if (slot < 0).any():  # what has come to a leaf stays there
                     on = np.flatnonzero(slot >= 0)
                     use, slot, values, codes = use[on], slot[on], [x[on] for x in values], codes[:, on]
